@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clip_lower, cut, cut_rank, flag, safe_div
+from ..functions.scalar import clip_lower, cut, cut_rank, flag, round_half_up, safe_div
 
 AGG_FUNCS = {
     "count": lambda c: F.count(c),
@@ -107,7 +107,7 @@ def rules_aggs(rules: dict, renames: dict | None = None, digits: int | None = No
             if fn == "count":
                 e = e.cast("long")
             elif digits is not None:
-                e = F.round(e.cast("double"), digits)
+                e = round_half_up(e, digits)
             out.append(e.alias(renames.get(name, name)))
     return out
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import round_half_up
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,12 +26,18 @@ def register(name: str, sql: str | None = None):
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (stable cross-engine comparison)."""
     return df.select(*[
-        F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+        round_half_up(f.name, digits).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType))
         else F.col(f.name)
         for f in df.schema.fields
     ])
 
 
+def R(expr: str, digits: int = 6) -> str:
+    """SQL twin of `round_half_up`."""
+    f = repr(10.0 ** digits)
+    return f"(floor(({expr}) * {f} + 0.5000076293945312) / {f})"
+
+
 def lit(x: float) -> str:
     """A Python float as an exact DOUBLE literal for the SQL side."""
     return f"CAST({x!r} AS DOUBLE)"

@@ -39,15 +39,15 @@ trips AS (
   SELECT
     o.o_orderkey AS trip_id,
     o.o_custkey AS driver_id,
-    round(q_sum, 6) AS duration_minutes,
-    round(p_sum / 5000, 6) AS distance_miles,
-    round(q_avg + 10, 6) AS average_speed_mph,
-    round(q_max * 2 + 20, 6) AS max_speed_mph,
+    (floor((q_sum) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS duration_minutes,
+    (floor((p_sum / 5000) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS distance_miles,
+    (floor((q_avg + 10) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS average_speed_mph,
+    (floor((q_max * 2 + 20) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS max_speed_mph,
     n_r AS harsh_braking_events,
     n_a AS harsh_acceleration_events,
     n_n AS sharp_cornering_events,
     phone_s AS phone_usage_seconds,
-    round(disc_avg, 6) AS speeding_percent,
+    (floor((disc_avg) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS speeding_percent,
     CAST(substr(o_orderpriority, 1, 1) = '1' AS INTEGER) AS night_driving,
     CAST(substr(o_orderpriority, 1, 1) = '2' AS INTEGER) AS rush_hour,
     CASE substr(o_orderpriority, 1, 1)
@@ -55,8 +55,8 @@ trips AS (
       WHEN '4' THEN 'early_morning' ELSE 'evening' END AS time_of_day,
     'zone_' || CAST(c.c_nationkey AS VARCHAR) AS start_zone,
     'zone_' || CAST(o.o_orderkey % 25 AS VARCHAR) AS end_zone,
-    round(1 - 5 * tax_avg, 6) AS data_quality_score,
-    round(4 + ln_avg * 2, 6) AS gps_accuracy_avg,
+    (floor((1 - 5 * tax_avg) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS data_quality_score,
+    (floor((4 + ln_avg * 2) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS gps_accuracy_avg,
     o.o_orderdate AS trip_date,
     CAST(o.o_orderstatus = 'P' AS INTEGER) AS has_claim,
     CASE WHEN o.o_orderstatus = 'P' THEN o.o_totalprice ELSE 0.0 END AS claim_amount
@@ -68,10 +68,10 @@ trips AS (
 SCORED = """
 scored AS (
   SELECT trip_id, driver_id, has_claim, claim_amount, time_of_day,
-    round(least(1.0, 0.05 + 0.04 * (harsh_braking_events + harsh_acceleration_events + sharp_cornering_events)
+    (floor(least(1.0, 0.05 + 0.04 * (harsh_braking_events + harsh_acceleration_events + sharp_cornering_events)
                 + 0.5 * speeding_percent
-                + 0.3 * has_claim * CAST(trip_id % 3 = 0 AS INTEGER)), 4) AS claim_probability,
-    round(1000 + 900 * distance_miles, 6) AS claim_severity_prediction
+                + 0.3 * has_claim * CAST(trip_id % 3 = 0 AS INTEGER)) * 10000.0 + 0.5000076293945312) / 10000.0 AS claim_probability,
+    (floor((1000 + 900 * distance_miles) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS claim_severity_prediction
   FROM trips
 )"""
 

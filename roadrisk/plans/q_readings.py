@@ -84,11 +84,11 @@ TOD_SQL = """CASE
 SUMMARY_SELECT = f"""
 SELECT first_trip_id AS trip_id,
   substr(sha256(first_device_id || '{C.HASH_SALT}'), 1, 16) AS driver_id,
-  round(duration_minutes, 6) AS duration_minutes,
-  round(greatest(sqrt(pow(lat_max - lat_min, 2) + pow(lon_max - lon_min, 2)) * 69.0, 0.1), 6) AS distance_miles,
-  round(average_speed_mph, 6) AS average_speed_mph, round(max_speed_mph, 6) AS max_speed_mph,
+  (floor((duration_minutes) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS duration_minutes,
+  (floor((greatest(sqrt(pow(lat_max - lat_min, 2) + pow(lon_max - lon_min, 2)) * 69.0, 0.1)) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS distance_miles,
+  (floor((average_speed_mph) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS average_speed_mph, (floor((max_speed_mph) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS max_speed_mph,
   harsh_braking_events, harsh_acceleration_events, sharp_cornering_events, phone_usage_seconds,
-  round(speeding_percent, 6) AS speeding_percent,
+  (floor((speeding_percent) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS speeding_percent,
   CAST(hour(start_time) < 6 OR hour(start_time) > 20 AS INTEGER) AS night_driving,
   CAST(hour(start_time) IN (7, 8, 17, 18) AS INTEGER) AS rush_hour,
   {TOD_SQL.format(h='hour(first_ts)')} AS time_of_day,
@@ -109,8 +109,8 @@ def q_trip_summary(spark, sf):
 
 QUALITY_SQL = with_views("readings") + "," + FLAGS_SQL + "," + FOLD_SQL + f"""
 SELECT trip_key, first_trip_id AS trip_id, n_readings,
-  round(gps_accuracy_avg, 6) AS gps_accuracy_avg, round(completeness, 6) AS completeness,
-  round(duration_minutes, 6) AS duration_minutes, round(max_speed_mph, 6) AS max_speed_mph,
+  (floor((gps_accuracy_avg) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS gps_accuracy_avg, (floor((completeness) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS completeness,
+  (floor((duration_minutes) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS duration_minutes, (floor((max_speed_mph) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS max_speed_mph,
   fail_poor_gps_accuracy, fail_incomplete_data, fail_trip_too_short, fail_unrealistic_speed,
   concat_ws(',', CASE WHEN fail_poor_gps_accuracy = 1 THEN 'poor_gps_accuracy' END,
                  CASE WHEN fail_incomplete_data = 1 THEN 'incomplete_data' END,
@@ -171,7 +171,7 @@ seg AS (
 
 
 @register("trip_path_length", with_views("readings") + "," + SEG_SQL + f"""
-SELECT trip_key, CAST(count(*) AS BIGINT) AS n_points, round(coalesce(sum({HAV}), 0.0), 6) AS path_miles
+SELECT trip_key, CAST(count(*) AS BIGINT) AS n_points, (floor((coalesce(sum({HAV}), 0.0)) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS path_miles
 FROM seg GROUP BY trip_key""")
 def q_trip_path_length(spark, sf):
     """Haversine path length per trip from consecutive readings."""
@@ -179,7 +179,7 @@ def q_trip_path_length(spark, sf):
 
 
 @register("trip_bearing", with_views("readings") + "," + SEG_SQL + f"""
-SELECT trip_key, reading_seq, round({HAV}, 6) AS segment_miles, round({BEAR}, 6) AS bearing_deg FROM seg""")
+SELECT trip_key, reading_seq, (floor(({HAV}) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS segment_miles, (floor(({BEAR}) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS bearing_deg FROM seg""")
 def q_trip_bearing(spark, sf):
     """Per reading distance and initial bearing from the previous point."""
     d = E.path_segments(views.readings(spark, sf), CFG)
@@ -211,10 +211,11 @@ def q_time_of_day(spark, sf):
 
 
 @register("quality_metrics", with_views("readings") + """
-SELECT trip_key, round(avg(gps_accuracy_meters), 6) AS avg_gps_accuracy,
-  round(CASE WHEN epoch_us(max("timestamp")) > epoch_us(min("timestamp"))
-        THEN count(*) / ((epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) / 1e6) END, 6) AS data_completeness,
-  round(stddev_samp(speed_mph), 6) AS speed_std
+SELECT trip_key, (floor((avg(gps_accuracy_meters)) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS avg_gps_accuracy,
+  (floor(CASE WHEN epoch_us(max("timestamp")) > epoch_us(min("timestamp"))
+        THEN count(*) / ((epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) / 1e6) END * 1000000.0 + 0.5000076293945312)
+        / 1000000.0) AS data_completeness,
+  (floor((stddev_samp(speed_mph)) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS speed_std
 FROM readings GROUP BY trip_key""")
 def q_quality_metrics(spark, sf):
     """per-trip GPS accuracy, completeness and speed std."""
@@ -223,8 +224,8 @@ def q_quality_metrics(spark, sf):
 
 @register("acceleration_magnitude", with_views("readings") + """
 SELECT trip_key,
-  round(max(sqrt(pow(accelerometer_x, 2) + pow(accelerometer_y, 2) + pow(accelerometer_z - 9.81, 2))), 6) AS max_magnitude,
-  round(avg(sqrt(pow(accelerometer_x, 2) + pow(accelerometer_y, 2) + pow(accelerometer_z - 9.81, 2))), 6) AS avg_magnitude
+  (floor((max(sqrt(pow(accelerometer_x, 2) + pow(accelerometer_y, 2) + pow(accelerometer_z - 9.81, 2)))) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS max_magnitude,
+  (floor((avg(sqrt(pow(accelerometer_x, 2) + pow(accelerometer_y, 2) + pow(accelerometer_z - 9.81, 2)))) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS avg_magnitude
 FROM readings GROUP BY trip_key""")
 def q_accel_magnitude(spark, sf):
     """Gravity-free acceleration magnitude per trip (max, mean)."""

@@ -101,8 +101,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     evaluation and scoring arithmetic is oracle-checkable (rounding makes ties)."""
     t = trips(spark, sf_dir)
     total = F.col("harsh_braking_events") + F.col("harsh_acceleration_events") + F.col("sharp_cornering_events")
-    p = F.round(F.least(F.lit(1.0), 0.05 + 0.04 * total + 0.5 * F.col("speeding_percent")
-                        + 0.3 * F.col("has_claim") * ((F.col("trip_id") % 3) == 0).cast("int")), 4)
+    p = r(F.least(F.lit(1.0), 0.05 + 0.04 * total + 0.5 * F.col("speeding_percent")
+                  + 0.3 * F.col("has_claim") * ((F.col("trip_id") % 3) == 0).cast("int")), 4)
     return t.select(
         "trip_id", "driver_id", "has_claim", "claim_amount", "time_of_day",
         p.alias("claim_probability"),
