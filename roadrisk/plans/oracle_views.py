@@ -67,7 +67,7 @@ trips AS (
 
 SCORED = """
 scored AS (
-  SELECT trip_id, driver_id, has_claim, claim_amount, time_of_day,
+  SELECT trip_id, driver_id, has_claim, claim_amount, time_of_day, trip_date,
     (floor(least(1.0, 0.05 + 0.04 * (harsh_braking_events + harsh_acceleration_events + sharp_cornering_events)
                 + 0.5 * speeding_percent
                 + 0.3 * has_claim * CAST(trip_id % 3 = 0 AS INTEGER)) * 10000.0 + 0.5000076293945312) / 10000.0) AS claim_probability,

@@ -104,7 +104,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = r(F.least(F.lit(1.0), 0.05 + 0.04 * total + 0.5 * F.col("speeding_percent")
                   + 0.3 * F.col("has_claim") * ((F.col("trip_id") % 3) == 0).cast("int")), 4)
     return t.select(
-        "trip_id", "driver_id", "has_claim", "claim_amount", "time_of_day",
+        "trip_id", "driver_id", "has_claim", "claim_amount", "time_of_day", "trip_date",
         p.alias("claim_probability"),
         r(1000 + 900 * F.col("distance_miles")).alias("claim_severity_prediction"),
     )
