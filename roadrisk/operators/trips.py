@@ -65,7 +65,7 @@ def with_quality(folded: DataFrame, cfg: ProcessingConfig = DEFAULT_CONFIG) -> D
     )
 
 
-def summary_columns(d: DataFrame, cfg: ProcessingConfig = DEFAULT_CONFIG) -> DataFrame:
+def summary_columns(d: DataFrame, cfg: ProcessingConfig = DEFAULT_CONFIG, extra: tuple = ()) -> DataFrame:
     """The 16 trip-summary columns (privacy transforms applied)."""
     start_hour = F.hour("start_time")
     dist = F.sqrt(F.pow(F.col("lat_max") - F.col("lat_min"), 2) + F.pow(F.col("lon_max") - F.col("lon_min"), 2))
@@ -86,6 +86,7 @@ def summary_columns(d: DataFrame, cfg: ProcessingConfig = DEFAULT_CONFIG) -> Dat
         time_of_day(F.hour("first.timestamp"), cfg.time_of_day_bins).alias("time_of_day"),
         location_zone("first.gps_latitude", "first.gps_longitude", cfg.location_precision).alias("start_zone"),
         location_zone("last.gps_latitude", "last.gps_longitude", cfg.location_precision).alias("end_zone"),
+        *extra,
     )
 
 

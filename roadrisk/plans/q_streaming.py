@@ -1 +1,63 @@
-"""Placeholder."""
+"""Streaming queries (X1-X5): each runs a Structured Streaming query to
+completion (availableNow) over the driver's files and returns the sink table.
+Rows-only check (no oracle)."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..config import TESTDATA_CONFIG
+from ..operators.scoring import baseline_stats
+from ..sources.tables import checkpoint_dir
+from ..streaming import streams as X
+from . import views
+from .catalog import register, rounded
+
+ORDERS_SCHEMA = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, " \
+                "o_orderdate timestamp_ntz, o_orderpriority string"
+
+
+def _out(spark, name):
+    base = checkpoint_dir(spark) or "/tmp"
+    return os.path.join(base, "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+
+
+def _readings_stream(spark, sf):
+    ev = X.stream_source(spark, os.path.join(sf, "events.parquet"), X.EVENTS_SCHEMA)
+    return views.readings_from_events(ev)
+
+
+@register("stream_trip_summary")
+def q_stream_trip_summary(spark, sf):
+    """Device sessions (1 day silence gap on this data) -> trip summaries."""
+    s = X.stream_trip_summary(_readings_stream(spark, sf), TESTDATA_CONFIG, gap="1 day", watermark="1 day")
+    return rounded(X.run_to_table(s, _out(spark, "trip_summary")))
+
+
+@register("stream_event_counts")
+def q_stream_event_counts(spark, sf):
+    """Event counts per 1-hour tumbling window (watermark 1 hour)."""
+    s = X.stream_event_counts(_readings_stream(spark, sf), TESTDATA_CONFIG, window="1 hour", watermark="1 hour")
+    return X.run_to_table(s, _out(spark, "event_counts"))
+
+
+@register("stream_score")
+def q_stream_score(spark, sf):
+    """Orders arrive as a stream, join the static lineitem aggregate and
+    customer (stream-static joins), are scored per row; idempotent
+    foreachBatch sink."""
+    o = X.stream_source(spark, os.path.join(sf, "orders.parquet"), spark.createDataFrame([], ORDERS_SCHEMA).schema)
+    s = X.stream_score(views.scored(spark, sf, orders=o))
+    return rounded(X.run_foreach_batch(s, _out(spark, "score")))
+
+
+@register("stream_monitor")
+def q_stream_monitor(spark, sf):
+    """30-day windowed monitoring of streamed predictions vs the batch baseline."""
+    o = X.stream_source(spark, os.path.join(sf, "orders.parquet"), spark.createDataFrame([], ORDERS_SCHEMA).schema)
+    pred = views.scored(spark, sf, orders=o).withColumn("trip_date", F.col("trip_date"))
+    base = baseline_stats(views.scored(spark, sf))
+    return rounded(X.run_to_table(X.stream_monitor(pred, base), _out(spark, "monitor")))

@@ -19,7 +19,12 @@ KM = 1.609344
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> per-second readings; trip = user x 7-day block."""
-    e = table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    return readings_from_events(table(spark, sf_dir, "events",
+                                      ["event_id", "ts", "user_id", "event_type", "value", "props"]))
+
+
+def readings_from_events(e: DataFrame) -> DataFrame:
+    """The events -> readings mapping (batch or streaming DataFrame)."""
     k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
     trip = (F.col("user_id") * 10 + F.floor((F.dayofmonth("ts") - 1) / 7)).cast("long")
     return e.select(
@@ -41,9 +46,11 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trips(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """orders x lineitem x customer -> one trip row per order (inner).
 
+    ``orders`` may be a streaming DataFrame (stream-static joins).
+
     lineitem is pre-aggregated per order before the join (the aggregate is
     hash-partitioned on l_orderkey, so the join with orders reuses it);
     customer joins on custkey, where AQE's skew-join split handles a hot
@@ -64,8 +71,9 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg("l_tax").alias("tax_avg"),
         F.avg("l_linenumber").alias("ln_avg"),
     )
-    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                                        "o_orderdate", "o_orderpriority"])
+    o = orders if orders is not None else table(
+        spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+                                  "o_orderpriority"])
     c = table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
     j = o.join(agg, o.o_orderkey == agg.l_orderkey).join(c, o.o_custkey == c.c_custkey)
     p = F.substring("o_orderpriority", 1, 1)
@@ -96,10 +104,10 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """trips + a fixed scoring formula standing in for the models, so that
     evaluation and scoring arithmetic is oracle-checkable (rounding makes ties)."""
-    t = trips(spark, sf_dir)
+    t = trips(spark, sf_dir, orders)
     total = F.col("harsh_braking_events") + F.col("harsh_acceleration_events") + F.col("sharp_cornering_events")
     p = r(F.least(F.lit(1.0), 0.05 + 0.04 * total + 0.5 * F.col("speeding_percent")
                   + 0.3 * F.col("has_claim") * ((F.col("trip_id") % 3) == 0).cast("int")), 4)
