@@ -30,8 +30,11 @@ def _reading_from_doc(e: Column) -> Column:
 
 def parse_documents(text: DataFrame) -> DataFrame:
     """(file_path, doc_no, value) -> one row per trip: trip_key, readings, meta."""
-    arr = F.from_json("value", T.ArrayType(RAW_DOC))
-    obj = F.from_json("value", RAW_DOC)
+    # from_json with an array schema also wraps a lone object, so the top-level
+    # kind is decided from the first non-blank character.
+    is_array = F.ltrim("value").startswith("[")
+    arr = F.when(is_array, F.from_json("value", T.ArrayType(RAW_DOC)))
+    obj = F.when(~is_array, F.from_json("value", RAW_DOC))
     d = text.select("file_path", "doc_no", arr.alias("arr"), obj.alias("obj"))
     trip_t = lambda rd, meta: F.struct(rd.alias("readings"), meta.alias("meta"))
     no_meta = F.lit(None).cast(RAW_DOC["trip_metadata"].dataType)
@@ -78,7 +81,7 @@ def normalize_readings(trips: DataFrame, convert_speed_ms: bool = False) -> Data
 
     def num(f: str, default: float) -> Column:
         # N1 then N2: absent column -> default; present but null/garbage -> 0.
-        return F.when(has(f), F.coalesce(F.try_cast(F.col("r")[f], "double"), F.lit(0.0))).otherwise(F.lit(default))
+        return F.when(has(f), F.coalesce(F.col("r")[f].try_cast("double"), F.lit(0.0))).otherwise(F.lit(default))
 
     defaults = dict(C.READING_DEFAULTS)
     start = F.to_timestamp(F.lit(C.SYNTHETIC_START))
@@ -106,7 +109,7 @@ def normalize_readings(trips: DataFrame, convert_speed_ms: bool = False) -> Data
     out.append(F.when(has("app_foreground"), F.col("r")["app_foreground"])
                .otherwise(F.lit(defaults["app_foreground"])).alias("app_foreground"))
     for f in OPTIONAL_NUMERIC_FIELDS:
-        out.append(F.try_cast(F.col("r")[f], "double").alias(f))
+        out.append(F.col("r")[f].try_cast("double").alias(f))
     out.append(F.col("r")["network_type"].alias("network_type"))
     res = x.select(*out)
     if convert_speed_ms:
