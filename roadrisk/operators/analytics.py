@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cut, cut_rank, flag, safe_div
@@ -44,19 +44,21 @@ def top_n_rows(df: DataFrame, by: str, n: int = 5, tie: Sequence[str] = ()) -> D
 
 
 def describe(df: DataFrame, columns: Sequence[str], approx_accuracy: int | None = None) -> DataFrame:
-    """Q7: count/mean/std/min/quartiles/max for each column, one row per column."""
-    aggs = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        aggs.append(F.struct(
-            F.lit(c).alias("column_name"),
-            F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"), _pct(x, 0.25, approx_accuracy).alias("p25"),
-            _pct(x, 0.5, approx_accuracy).alias("p50"), _pct(x, 0.75, approx_accuracy).alias("p75"),
-            F.max(x).alias("max"),
-        ).alias(c))
-    one = df.agg(*aggs)
-    return one.select(F.inline(F.array(*[F.col(c) for c in columns])))
+    """Q7: count/mean/std/min/quartiles/max for each column, one row per
+    column (unpivot + one group-by keyed by column name)."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in columns])
+    x = F.col("x")
+    return df.select(F.inline(pairs)).groupBy("column_name").agg(
+        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+        F.min(x).alias("min"), _pct(x, 0.25, approx_accuracy).alias("p25"),
+        _pct(x, 0.5, approx_accuracy).alias("p50"), _pct(x, 0.75, approx_accuracy).alias("p75"),
+        F.max(x).alias("max"))
+
+
+def label_table(spark, labels: Sequence[str], name: str, rank: str = "bin_rank") -> DataFrame:
+    """Small fixed label dimension built JVM-side (no Python data transfer)."""
+    rows = F.array(*[F.struct(F.lit(i + 1).alias(rank), F.lit(lab).alias(name)) for i, lab in enumerate(labels)])
+    return spark.range(1).select(F.inline(rows))
 
 
 def group_means(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
@@ -77,14 +79,14 @@ def weekday_profile(trips: DataFrame, date_col: str = "trip_date") -> DataFrame:
     """Q10: Monday..Sunday, absent days kept as empty rows (7-row dimension
     left-joined to the aggregate)."""
     spark = trips.sparkSession
-    days = spark.createDataFrame([(i + 1, d) for i, d in enumerate(WEEKDAYS)], "day_order int, day_of_week string")
+    days = label_table(spark, WEEKDAYS, "day_of_week", "day_order")
     total = F.col("harsh_braking_events") + F.col("harsh_acceleration_events") + F.col("sharp_cornering_events")
     agg = (trips.select(F.date_format(date_col, "EEEE").alias("day_of_week"), "distance_miles",
                         total.alias("total_harsh_events"))
            .groupBy("day_of_week").agg(F.count(F.lit(1)).alias("trips"),
                                        F.avg("distance_miles").alias("distance_miles_mean"),
                                        F.avg("total_harsh_events").alias("total_harsh_events_mean")))
-    return F.broadcast(days).join(agg, "day_of_week", "left").select(
+    return agg.join(F.broadcast(days), "day_of_week", "right").select(
         "day_order", "day_of_week", F.coalesce("trips", F.lit(0)).alias("trips"),
         "distance_miles_mean", "total_harsh_events_mean")
 
@@ -148,9 +150,9 @@ def labelled_bins(df: DataFrame, column: str, edges, labels, out: str, closed: s
 def bin_counts(binned: DataFrame, out: str, labels: Sequence[str]) -> DataFrame:
     """Counts per bin label, empty bins included (label dimension left join)."""
     spark = binned.sparkSession
-    dim = spark.createDataFrame([(i + 1, lab) for i, lab in enumerate(labels)], f"bin_rank int, {out} string")
+    dim = label_table(spark, labels, out)
     agg = binned.filter(F.col(out).isNotNull()).groupBy(out).agg(F.count(F.lit(1)).alias("n"))
-    return F.broadcast(dim).join(agg, out, "left").select("bin_rank", out, F.coalesce("n", F.lit(0)).alias("n"))
+    return agg.join(F.broadcast(dim), out, "right").select("bin_rank", out, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def quantile_edges(df: DataFrame, column: str, q: int, approx_accuracy: int | None = None) -> DataFrame:
@@ -234,23 +236,29 @@ def segment_lift(scored: DataFrame, prob: str = "claim_probability", actual: str
                  edges=SEGMENT_EDGES, labels=SEGMENT_LABELS, id_col: str = "driver_id") -> DataFrame:
     """Q19: per right-closed probability segment: count, actual claims, claim
     rate, mean/std probability, lift = rate / overall rate. Empty segments
-    are listed; rows outside all segments still count in the overall rate."""
+    are listed; rows outside all segments still count in the overall rate.
+
+    One scan: the group-by keeps the NULL (outside) segment so the overall
+    rate comes from the grouped table itself (<= #segments + 1 rows)."""
     spark = scored.sparkSession
     seg = cut(prob, edges, labels)
-    agg = scored.select(seg.alias("risk_segment"), id_col, actual, prob).filter(F.col("risk_segment").isNotNull()) \
-        .groupBy("risk_segment").agg(
-            F.count(id_col).alias("driver_count"),
-            F.sum(actual).cast("long").alias("actual_claims"),
-            F.avg(actual).alias("claim_rate"),
-            F.avg(prob).alias("avg_predicted_prob"),
-            F.stddev_samp(prob).alias("std_predicted_prob"))
-    overall = scored.agg(F.avg(actual).alias("__overall"))
-    dim = spark.createDataFrame([(i + 1, s) for i, s in enumerate(labels)], "segment_rank int, risk_segment string")
-    return (F.broadcast(dim).join(agg, "risk_segment", "left").crossJoin(F.broadcast(overall))
+    g = scored.select(seg.alias("risk_segment"), id_col, actual, prob).groupBy("risk_segment").agg(
+        F.count(id_col).alias("driver_count"),
+        F.sum(actual).cast("long").alias("actual_claims"),
+        F.count(actual).alias("__n_actual"),
+        F.avg(actual).alias("claim_rate"),
+        F.avg(prob).alias("avg_predicted_prob"),
+        F.stddev_samp(prob).alias("std_predicted_prob"))
+    everything = Window.partitionBy()  # over the tiny grouped table only
+    g = g.withColumn("__overall", F.sum("actual_claims").over(everything) / F.sum("__n_actual").over(everything))
+    dim = label_table(spark, labels, "risk_segment", "segment_rank")
+    seg_rows = g.filter(F.col("risk_segment").isNotNull())
+    overall = g.select(F.max("__overall").alias("__o"))
+    return (seg_rows.join(F.broadcast(dim), "risk_segment", "right").crossJoin(F.broadcast(overall))
             .select("segment_rank", "risk_segment", F.coalesce("driver_count", F.lit(0)).alias("driver_count"),
                     F.coalesce("actual_claims", F.lit(0)).alias("actual_claims"), "claim_rate",
                     "avg_predicted_prob", "std_predicted_prob",
-                    safe_div(F.col("claim_rate"), F.col("__overall")).alias("lift")))
+                    safe_div(F.col("claim_rate"), F.col("__o")).alias("lift")))
 
 
 def residuals(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -274,9 +282,8 @@ def severity_segments(res: DataFrame, actual: str = "actual_severity", predicted
             F.stddev_samp(predicted).alias("pred_std"),
             F.avg("absolute_error").alias("mae_mean"), F.median("absolute_error").alias("mae_median"),
             F.avg("percentage_error").alias("mape_mean"), F.median("percentage_error").alias("mape_median"))
-    dim = spark.createDataFrame([(i + 1, s) for i, s in enumerate(labels)],
-                                "segment_rank int, severity_segment string")
-    return F.broadcast(dim).join(agg, "severity_segment", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    dim = label_table(spark, labels, "severity_segment", "segment_rank")
+    return agg.join(F.broadcast(dim), "severity_segment", "right").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def group_stats(df: DataFrame, by: str, column: str) -> DataFrame:

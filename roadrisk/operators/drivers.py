@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clip_lower, cut, cut_rank, flag, round_half_up, safe_div
+from ..functions.scalar import clip_lower, cut, cut_rank, flag, quote, round_half_up_sql, safe_div
 
 AGG_FUNCS = {
     "count": lambda c: F.count(c),
@@ -96,19 +96,24 @@ COMPOSITE_EDGES = (float("-inf"), 10.0, 25.0, 50.0, float("inf"))
 COMPOSITE_LABELS = ("Low", "Medium", "High", "Very High")
 
 
+AGG_SQL = {"count": "count", "sum": "sum", "mean": "avg", "std": "stddev_samp", "max": "max", "min": "min",
+           "median": "median"}
+
+
 def rules_aggs(rules: dict, renames: dict | None = None, digits: int | None = None) -> list[Column]:
-    """`{col: [fn, ...]}` -> aggregate columns named `{col}_{fn}` (pandas flattening)."""
+    """`{col: [fn, ...]}` -> aggregate columns named `{col}_{fn}` (pandas
+    flattening). Built as SQL expression text: one JVM call per column."""
     renames = renames or {}
     out = []
     for c, fns in rules.items():
         for fn in fns:
             name = f"{c}_{fn}"
-            e = AGG_FUNCS[fn](F.col(c))
+            e = f"{AGG_SQL[fn]}({quote(c)})"
             if fn == "count":
-                e = e.cast("long")
+                e = f"CAST({e} AS BIGINT)"
             elif digits is not None:
-                e = round_half_up(e, digits)
-            out.append(e.alias(renames.get(name, name)))
+                e = round_half_up_sql(e, digits)
+            out.append(F.expr(e).alias(renames.get(name, name)))
     return out
 
 

@@ -64,12 +64,14 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
     return per.unionByName(avg_rows)
 
 
-def score_table(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 64) -> DataFrame:
+def score_table(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 64,
+                extra: list | None = None) -> DataFrame:
     """One row per distinct score with pos/neg counts and inclusive
-    ascending running sums (cum_pos, cum_neg) plus global totals."""
+    ascending running sums (cum_pos, cum_neg) plus global totals. `extra`
+    aggregates ride along in the same group-by (one pass over the rows)."""
     y = F.col(label).cast("long")
     s = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(
-        F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+        F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"), *(extra or []))
     s = ordered_prefix_sums(s, "score", ["pos", "neg"], buckets=buckets)
     tot = s.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return s.crossJoin(F.broadcast(tot))

@@ -178,17 +178,21 @@ def create_features(df: DataFrame, keep: tuple[str, ...] = ("trip_id", "driver_i
     return out.select(*ids, *[F.col(n).cast("double").alias(n) for n in FEATURE_NAMES])
 
 
+def long_values(df: DataFrame, columns: list[str], name: str = "feature", value: str = "v") -> DataFrame:
+    """Unpivot columns to (name, value) rows (doubles), nulls kept."""
+    pairs = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in columns])
+    return df.select(F.inline(pairs))
+
+
 def _long_stats(df: DataFrame, columns: list[str], stats: dict) -> DataFrame:
-    """One aggregate pass over all columns, then unpivot to one row per column."""
-    aggs = []
-    for c in columns:
-        for s, fn in stats.items():
-            aggs.append(fn(F.col(c)).alias(f"{c}\u0001{s}"))
-    one = df.agg(*aggs)
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("feature"), *[F.col(f"`{c}\u0001{s}`").alias(s) for s in stats]) for c in columns
-    ])
-    return one.select(F.inline(rows))
+    """Per-column statistics as one small group-by over the unpivoted values.
+
+    One aggregate per statistic keyed by column name (57 groups, partial
+    aggregation map-side) instead of columns x statistics aggregates in one
+    row: the wide form exceeds the generated-method limit and runs
+    interpreted, the long form stays in whole-stage codegen."""
+    long = long_values(df, columns)
+    return long.groupBy("feature").agg(*[fn(F.col("v")).alias(s) for s, fn in stats.items()])
 
 
 def feature_stats(features: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -111,24 +111,39 @@ def baseline_stats(pred: DataFrame) -> DataFrame:
                     F.avg("claim_severity_prediction").alias("severity_mean"))
 
 
-def live_performance(pred: DataFrame, claims: DataFrame, buckets: int = 64) -> DataFrame:
+def live_performance(pred: DataFrame, claims: DataFrame, buckets: int = 64, threshold: float = 0.5) -> DataFrame:
     """R9 + J2: predictions inner-join actual claims on trip_id, then claim
-    rates, ROC-AUC, precision/recall at 0.5 and severity RMSE/MAE on claims.
-    AQE picks broadcast or sort-merge for the join from runtime sizes."""
+    rates, ROC-AUC, precision/recall at the threshold and severity RMSE/MAE
+    on claims. AQE picks broadcast or sort-merge for the join from runtime
+    sizes. Everything derives from ONE group-by of the joined rows per
+    distinct score (counts and error sums ride along), so the join is
+    computed once and the rest works on the small score table."""
     j = pred.join(claims.select("trip_id", "has_claim", "claim_amount"), "trip_id", "inner").select(
         F.col("has_claim").cast("int").alias("label"), F.col("claim_probability").alias("score"),
-        (F.col("claim_probability") > 0.5).cast("int").alias("prediction"),
         "claim_amount", "claim_severity_prediction")
-    rates = j.agg(F.avg("label").alias("actual_claim_rate"), F.avg("prediction").alias("predicted_claim_rate"),
-                  F.count(F.lit(1)).alias("matched"))
-    cm = V.classification_metrics(j, "label", "prediction").select("precision", "recall")
-    auc = V.roc_auc(j, "label", "score", buckets).select("roc_auc")
-    claims_only = j.filter(F.col("label") == 1)
-    sev = claims_only.agg(
-        F.sqrt(F.avg(F.pow(F.col("claim_amount") - F.col("claim_severity_prediction"), 2))).alias("severity_rmse"),
-        F.avg(F.abs(F.col("claim_amount") - F.col("claim_severity_prediction"))).alias("severity_mae"))
-    # Four 1-row tables.
-    return rates.crossJoin(cm).crossJoin(auc).crossJoin(sev).filter(F.col("matched") > 0)
+    is_claim = F.col("label") == 1
+    err = F.col("claim_amount") - F.col("claim_severity_prediction")
+    t = V.score_table(j, "label", "score", buckets, extra=[
+        F.sum(F.when(is_claim, err * err)).alias("sq_err"), F.sum(F.when(is_claim, F.abs(err))).alias("abs_err")])
+    hi = F.col("score") > threshold
+    a = t.groupBy().agg(
+        F.max("P").alias("P"), F.max("N").alias("N"),
+        F.sum(F.when(hi, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(hi, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.col("pos") * ((F.col("cum_neg") - F.col("neg")) + 0.5 * F.col("neg"))).alias("u"),
+        F.sum("sq_err").alias("sq_err"), F.sum("abs_err").alias("abs_err"))
+    n = F.col("P") + F.col("N")
+    zero = F.lit(0.0)
+    return a.filter(n > 0).select(
+        (F.col("P") / n).alias("actual_claim_rate"),
+        ((F.col("tp") + F.col("fp")) / n).alias("predicted_claim_rate"),
+        n.alias("matched"),
+        F.coalesce(safe_div(F.col("tp"), F.col("tp") + F.col("fp")), zero).alias("precision"),
+        F.coalesce(safe_div(F.col("tp"), F.col("P")), zero).alias("recall"),
+        F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("u") / (F.col("P") * F.col("N"))).otherwise(zero)
+        .alias("roc_auc"),
+        F.sqrt(safe_div(F.col("sq_err"), F.col("P"))).alias("severity_rmse"),
+        safe_div(F.col("abs_err"), F.col("P")).alias("severity_mae"))
 
 
 def unscored(trips: DataFrame, scored: DataFrame, key: str = "trip_id") -> DataFrame:
