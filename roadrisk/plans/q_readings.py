@@ -250,3 +250,26 @@ SIMPLE_FLAGS_SQL = FLAGS_SQL.replace(f"< {lit(TH['brake'])}", f"< {lit(-2.94)}")
 def q_simple_etl(spark, sf):
     """The simple ETL profile (+-2.94 m/s^2, phone = screen on, > 65 mph)."""
     return rounded(TR.summarize_trips(views.readings(spark, sf), SIMPLE))
+
+
+@register("trips_sink_roundtrip", "SELECT time_of_day, count(*) AS trips, count(*) AS matching_rows FROM ("
+          + TRIP_SUMMARY_SQL + ") AS s WHERE time_of_day <> 'night' GROUP BY time_of_day")
+def q_sink_roundtrip(spark, sf):
+    """Trip summaries written as Parquet partitioned by time of day
+    and as header CSV into the shared folder, read back (the CSV with its
+    explicit schema), with a partition filter that prunes directories."""
+    import os
+    import uuid
+
+    from ..sources.tables import checkpoint_dir, read_trips_csv, write_table
+    base = os.path.join(checkpoint_dir(spark) or "/tmp", "sinks", uuid.uuid4().hex[:8])
+    s = TR.summarize_trips(views.readings(spark, sf), CFG).withColumn("trip_id", F.col("trip_id").cast("string"))
+    write_table(s, os.path.join(base, "parquet"), partition_by=["time_of_day"])
+    write_table(s, os.path.join(base, "csv"), fmt="csv")
+    pq = spark.read.parquet(os.path.join(base, "parquet")).filter(F.col("time_of_day") != "night")
+    csv = read_trips_csv(spark, os.path.join(base, "csv")).filter(F.col("time_of_day") != "night")
+    both = pq.select("trip_id", "driver_id", "time_of_day", "phone_usage_seconds").join(
+        csv.select("trip_id", F.col("phone_usage_seconds").alias("csv_phone")), "trip_id")
+    return both.groupBy("time_of_day").agg(F.count(F.lit(1)).alias("trips"),
+                                           F.count_if(F.col("phone_usage_seconds") == F.col("csv_phone"))
+                                           .alias("matching_rows"))
