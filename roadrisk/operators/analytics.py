@@ -179,21 +179,26 @@ def quantile_bins(df: DataFrame, column: str, q: int, labels: Sequence[str] | No
     return d.select(*df.columns, rank.alias(f"{out}_rank"), lab.alias(out))
 
 
-def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
-    """Q17: equal-width bins over [min, max] (max falls in the last bin),
-    counts and density, empty bins included."""
+def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None) -> DataFrame:
+    """Q17: equal-width bins over the global [min, max] (max falls in the
+    last bin), counts and density (per group when `by` is given, each group's
+    density over its own count), empty bins included."""
     x = F.col(column).cast("double")
-    mm = df.agg(F.min(x).alias("__mn"), F.max(x).alias("__mx"), F.count(x).alias("__n"))
-    d = df.select(x.alias("__x")).filter(F.col("__x").isNotNull()).crossJoin(F.broadcast(mm))
+    mm = df.agg(F.min(x).alias("__mn"), F.max(x).alias("__mx"))
+    keys = [by] if by else []
+    d = df.select(*keys, x.alias("__x")).filter(F.col("__x").isNotNull()).crossJoin(F.broadcast(mm))
     width = (F.col("__mx") - F.col("__mn"))
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("__x") - F.col("__mn")) / width * bins), F.lit(bins - 1))).cast("int")
-    counts = d.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = d.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    totals = counts.groupBy(*keys).agg(F.sum("count").alias("__n"))
     spark = df.sparkSession
-    dim = spark.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(mm))
+    # dimension: bins x groups (both small: #bins rows times #groups)
+    dim = spark.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(mm)) \
+        .crossJoin(F.broadcast(totals))
     w = (F.col("__mx") - F.col("__mn")) / bins
-    return dim.join(counts, "bin", "left").select(
-        "bin",
+    return dim.join(counts, [*keys, "bin"], "left").select(
+        *keys, "bin",
         (F.col("__mn") + F.col("bin") * w).alias("bin_start"),
         (F.col("__mn") + (F.col("bin") + 1) * w).alias("bin_end"),
         F.coalesce("count", F.lit(0)).alias("count"),

@@ -38,7 +38,10 @@ def score_predictions(df: DataFrame, p: str = "claim_probability", sev: str = "c
                       ids=("driver_id", "trip_id"), with_uncertainty: bool = True,
                       timestamp: bool = False) -> DataFrame:
     """R1 tail + R3-R5: expected amount, risk score, category, interval.
-    Ids travel through the projection (never positional)."""
+    Ids travel through the projection (never positional); R2: a missing
+    trip_id is replaced by a generated unique id (not positional-stable)."""
+    if "trip_id" in ids and "trip_id" not in df.columns:
+        df = df.withColumn("trip_id", F.concat(F.lit("trip_"), F.monotonically_increasing_id().cast("string")))
     cols = [c for c in ids if c in df.columns]
     out = [*cols, F.col(p).alias("claim_probability"), F.col(sev).alias("claim_severity_prediction"),
            (F.col(p) * F.col(sev)).alias("expected_claim_amount"),

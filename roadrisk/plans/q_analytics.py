@@ -338,3 +338,60 @@ def q_claim_stats(spark, sf):
     prof = D.driver_profiles(FE.enrich_trips(t)).select("driver_id", "risk_category")
     claims = D.driver_claims(t).filter("had_claim_sum > 0")
     return rounded(A.group_stats(prof.join(claims, "driver_id"), "risk_category", "claim_amount_sum"))
+
+
+@register("probability_histogram_by_class", rnd(with_views("scored") + """,
+mm AS (SELECT min(claim_probability) AS mn, max(claim_probability) AS mx FROM scored),
+b AS (SELECT has_claim, CAST(CASE WHEN mx - mn = 0 THEN 0
+                                  ELSE least(floor((claim_probability - mn) / (mx - mn) * 30), 29) END AS INTEGER) AS bin
+      FROM scored CROSS JOIN mm WHERE claim_probability IS NOT NULL),
+c AS (SELECT has_claim, bin, count(*) AS cnt FROM b GROUP BY has_claim, bin),
+tot AS (SELECT has_claim, sum(cnt) AS n FROM c GROUP BY has_claim),
+r AS (SELECT CAST(range AS INTEGER) AS bin FROM range(30))
+SELECT tot.has_claim, r.bin, mn + r.bin * ((mx - mn) / 30) AS bin_start, mn + (r.bin + 1) * ((mx - mn) / 30) AS bin_end,
+  coalesce(cnt, 0) AS count, coalesce(cnt, 0) / (n * ((mx - mn) / 30)) AS density
+FROM r CROSS JOIN mm CROSS JOIN tot LEFT JOIN c ON r.bin = c.bin AND tot.has_claim = c.has_claim""",
+    ["bin_start", "bin_end", "density"]))
+def q_prob_hist(spark, sf):
+    """Q17: 30-bin density of the claim probability per actual class."""
+    return rounded(A.histogram(views.scored(spark, sf), "claim_probability", 30, by="has_claim"))
+
+
+@register("phone_usage_histogram", rnd(with_views("trips") + """,
+p AS (SELECT phone_usage_seconds AS x FROM trips WHERE phone_usage_seconds > 0),
+mm AS (SELECT min(x) AS mn, max(x) AS mx FROM p),
+b AS (SELECT CAST(CASE WHEN mx - mn = 0 THEN 0 ELSE least(floor((x - mn) / (mx - mn) * 30), 29) END AS INTEGER) AS bin
+      FROM p CROSS JOIN mm),
+c AS (SELECT bin, count(*) AS cnt FROM b GROUP BY bin),
+tot AS (SELECT sum(cnt) AS n FROM c),
+r AS (SELECT CAST(range AS INTEGER) AS bin FROM range(30))
+SELECT r.bin, mn + r.bin * ((mx - mn) / 30) AS bin_start, mn + (r.bin + 1) * ((mx - mn) / 30) AS bin_end,
+  coalesce(cnt, 0) AS count, coalesce(cnt, 0) / (n * ((mx - mn) / 30)) AS density
+FROM r CROSS JOIN mm CROSS JOIN tot LEFT JOIN c ON r.bin = c.bin""", ["bin_start", "bin_end", "density"]))
+def q_phone_hist(spark, sf):
+    """F11 + Q17: phone-use seconds among trips with any phone use."""
+    t = views.trips(spark, sf).filter(F.col("phone_usage_seconds") > 0)
+    return rounded(A.histogram(t, "phone_usage_seconds", 30))
+
+
+@register("error_by_prediction_quartile", rnd(with_views("scored") + "," + RES_SQL + """,
+ed AS (SELECT quantile_cont(predicted_severity, [0.0, 0.25, 0.5, 0.75, 1.0]) AS e FROM res),
+qd AS (SELECT res.*, CASE WHEN predicted_severity <= e[2] THEN 1 WHEN predicted_severity <= e[3] THEN 2
+                          WHEN predicted_severity <= e[4] THEN 3 WHEN predicted_severity <= e[5] THEN 4 END AS q
+       FROM res CROSS JOIN ed),
+lab AS (SELECT *, ['Q1', 'Q2', 'Q3', 'Q4'][q] AS quartile FROM qd),
+s AS (SELECT quartile, quantile_cont(absolute_error, 0.25) AS q1, quantile_cont(absolute_error, 0.5) AS median,
+             quantile_cont(absolute_error, 0.75) AS q3, count(absolute_error) AS n
+      FROM lab WHERE quartile IS NOT NULL GROUP BY quartile),
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM s),
+w AS (SELECT l.quartile,
+             min(CASE WHEN absolute_error >= lo AND absolute_error <= hi THEN absolute_error END) AS whisker_low,
+             max(CASE WHEN absolute_error >= lo AND absolute_error <= hi THEN absolute_error END) AS whisker_high,
+             count(*) FILTER (WHERE NOT (absolute_error >= lo AND absolute_error <= hi)) AS outliers
+      FROM lab l JOIN f ON l.quartile = f.quartile GROUP BY l.quartile)
+SELECT f.quartile, q1, median, q3, n, iqr, whisker_low, whisker_high, outliers
+FROM f JOIN w ON f.quartile = w.quartile""", ["q1", "median", "q3", "iqr", "whisker_low", "whisker_high"]))
+def q_error_quartile(spark, sf):
+    """Q16 + Q18: absolute error box plot per predicted-severity quartile."""
+    r = A.quantile_bins(_residuals(spark, sf), "predicted_severity", 4, ["Q1", "Q2", "Q3", "Q4"], out="quartile")
+    return rounded(A.boxplot_stats(r, "quartile", "absolute_error"))

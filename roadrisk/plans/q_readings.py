@@ -273,3 +273,18 @@ def q_sink_roundtrip(spark, sf):
     return both.groupBy("time_of_day").agg(F.count(F.lit(1)).alias("trips"),
                                            F.count_if(F.col("phone_usage_seconds") == F.col("csv_phone"))
                                            .alias("matching_rows"))
+
+
+@register("privacy_projection", with_views("readings") + """
+SELECT trip_key, trip_id, reading_seq, gps_accuracy_meters, speed_mph, accelerometer_x, accelerometer_y,
+  accelerometer_z, screen_on, app_foreground,
+  'zone_' || CAST(round(gps_latitude, 2) AS VARCHAR) || '_' || CAST(round(gps_longitude, 2) AS VARCHAR) AS zone,
+  """ + TOD_SQL.format(h='hour("timestamp")') + """ AS time_of_day
+FROM readings""")
+def q_privacy(spark, sf):
+    """Readings with exact time, position and device removed;
+    the zone and time-of-day category kept."""
+    r = views.readings(spark, sf)
+    r = r.select("*", location_zone("gps_latitude", "gps_longitude").alias("zone"),
+                 time_of_day(F.hour("timestamp")).alias("time_of_day"))
+    return TR.privacy_projection(r)
