@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantile, exact_quantiles
 from ..functions.scalar import cut, cut_rank, flag, safe_div
 
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -156,9 +157,12 @@ def bin_counts(binned: DataFrame, out: str, labels: Sequence[str]) -> DataFrame:
 
 
 def quantile_edges(df: DataFrame, column: str, q: int, approx_accuracy: int | None = None) -> DataFrame:
-    """1-row table of the q+1 quantile edges (linear interpolation)."""
+    """1-row table of the q+1 quantile edges (linear interpolation), exact
+    and distributed (functions/quantiles.py) unless an accuracy is given."""
     probs = [i / q for i in range(q + 1)]
-    return df.agg(_pct(F.col(column), probs, approx_accuracy).alias("__edges"))
+    if approx_accuracy:
+        return df.agg(F.percentile_approx(F.col(column), probs, approx_accuracy).alias("__edges"))
+    return exact_quantiles(df, column, probs, out="__edges")
 
 
 def quantile_bins(df: DataFrame, column: str, q: int, labels: Sequence[str] | None = None, out: str = "tier",
@@ -215,8 +219,8 @@ def boxplot_stats(df: DataFrame, by: str, column: str, approx_accuracy: int | No
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
          .withColumn("lo_fence", F.col("q1") - 1.5 * F.col("iqr")) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * F.col("iqr"))
-    # q has one row per group (small): broadcast it back to the rows.
-    j = df.select(by, x.alias("__x")).join(F.broadcast(q.select(by, "lo_fence", "hi_fence")), by)
+    # q has one row per group; AQE broadcasts it when it is small.
+    j = df.select(by, x.alias("__x")).join(q.select(by, "lo_fence", "hi_fence"), by)
     inside = (F.col("__x") >= F.col("lo_fence")) & (F.col("__x") <= F.col("hi_fence"))
     w = j.groupBy(by).agg(
         F.min(F.when(inside, F.col("__x"))).alias("whisker_low"),
@@ -227,7 +231,8 @@ def boxplot_stats(df: DataFrame, by: str, column: str, approx_accuracy: int | No
 
 def above_quantile(df: DataFrame, column: str, q: float, approx_accuracy: int | None = None) -> DataFrame:
     """Q12: rows strictly above the q-quantile of `column` (1-row threshold, broadcast)."""
-    t = df.agg(_pct(F.col(column), q, approx_accuracy).alias("__thr"))
+    t = (df.agg(F.percentile_approx(F.col(column), q, approx_accuracy).alias("__thr")) if approx_accuracy
+         else exact_quantile(df, column, q, out="__thr"))
     return df.crossJoin(F.broadcast(t)).filter(F.col(column) > F.col("__thr")).drop("__thr")
 
 
@@ -301,7 +306,7 @@ def group_stats(df: DataFrame, by: str, column: str) -> DataFrame:
 def high_error_summary(res: DataFrame, q: float = 0.9, actual: str = "actual_severity",
                        predicted: str = "predicted_severity") -> DataFrame:
     """Q22: rows above the q-quantile of percentage error: count and means."""
-    t = res.agg(F.percentile("percentage_error", q).alias("threshold"))
+    t = exact_quantile(res, "percentage_error", q, out="threshold")
     hi = res.crossJoin(F.broadcast(t)).filter(F.col("percentage_error") > F.col("threshold"))
     return hi.groupBy("threshold").agg(
         F.count(F.lit(1)).alias("cases"), F.avg("percentage_error").alias("avg_percentage_error"),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prefix import ordered_prefix_sums
+from ..functions.quantiles import exact_quantiles
 from ..functions.scalar import safe_div
 
 
@@ -143,7 +144,11 @@ def regression_metrics(df: DataFrame, actual: str = "actual", predicted: str = "
 
 def error_percentiles(df: DataFrame, actual: str = "actual", predicted: str = "predicted",
                       approx_accuracy: int | None = None) -> DataFrame:
-    """V9: median, p90, p95 of the absolute error."""
+    """V9: median, p90, p95 of the absolute error (exact, distributed)."""
     e = F.abs(F.col(actual) - F.col(predicted))
-    pct = (lambda q: F.percentile_approx(e, q, approx_accuracy)) if approx_accuracy else (lambda q: F.percentile(e, q))
-    return df.agg(pct(0.5).alias("median_error"), pct(0.9).alias("p90_error"), pct(0.95).alias("p95_error"))
+    if approx_accuracy:
+        q = df.agg(F.percentile_approx(e, [0.5, 0.9, 0.95], approx_accuracy).alias("quantiles"))
+    else:
+        q = exact_quantiles(df, e, [0.5, 0.9, 0.95])
+    return q.select(F.col("quantiles")[0].alias("median_error"), F.col("quantiles")[1].alias("p90_error"),
+                    F.col("quantiles")[2].alias("p95_error"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantile
 from ..functions.scalar import clip_lower, flag, safe_div
 
 FEATURE_NAMES = [
@@ -259,10 +260,12 @@ def median_impute(df: DataFrame, columns: list[str], approx_accuracy: int | None
 
     cleaned = df.select(*[c for c in df.columns if c not in columns], *[clean(c).alias(c) for c in columns])
     if approx_accuracy:
-        med = [F.percentile_approx(c, 0.5, approx_accuracy).alias(f"__med_{c}") for c in columns]
-    else:
-        med = [F.median(c).alias(f"__med_{c}") for c in columns]
-    m = cleaned.agg(*med)
+        m = cleaned.agg(*[F.percentile_approx(c, 0.5, approx_accuracy).alias(f"__med_{c}") for c in columns])
+    else:  # exact and distributed, one 1-row table per column
+        m = None
+        for c in columns:
+            one = exact_quantile(cleaned, c, 0.5, out=f"__med_{c}")
+            m = one if m is None else m.crossJoin(one)
     d = cleaned.crossJoin(F.broadcast(m))
     return d.select(*[F.coalesce(F.col(c), F.col(f"__med_{c}")).alias(c) if c in columns else F.col(c)
                       for c in df.columns])

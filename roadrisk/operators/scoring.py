@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.quantiles import exact_quantiles
 from ..functions.scalar import cut, cut_rank, safe_div
 from . import evaluation as V
 
@@ -68,16 +69,17 @@ def prediction_summary(pred: DataFrame, approx_accuracy: int | None = None) -> D
     """One-row summary of a prediction table (category counts are Q1)."""
     pcol, e, rs = F.col("claim_probability"), F.col("expected_claim_amount"), F.col("risk_score")
     qs = [0.25, 0.5, 0.75, 0.9, 0.95]
-    pct = F.percentile_approx(pcol, qs, approx_accuracy) if approx_accuracy else F.percentile(pcol, qs)
+    q = (pred.agg(F.percentile_approx(pcol, qs, approx_accuracy).alias("__q")) if approx_accuracy
+         else exact_quantiles(pred, "claim_probability", qs, out="__q"))
     a = pred.agg(
         F.count(F.lit(1)).alias("total_predictions"),
         F.avg(pcol).alias("p_mean"), F.stddev_samp(pcol).alias("p_std"), F.min(pcol).alias("p_min"),
-        F.max(pcol).alias("p_max"), pct.alias("__q"),
+        F.max(pcol).alias("p_max"),
         F.avg(e).alias("expected_mean"), F.stddev_samp(e).alias("expected_std"), F.min(e).alias("expected_min"),
         F.max(e).alias("expected_max"), F.sum(e).alias("expected_total"),
         F.avg(rs).alias("risk_score_mean"), F.stddev_samp(rs).alias("risk_score_std"),
         F.min(rs).alias("risk_score_min"), F.max(rs).alias("risk_score_max"),
-        F.count_if(pcol > C.HIGH_RISK_PROBABILITY).alias("high_risk_count"))
+        F.count_if(pcol > C.HIGH_RISK_PROBABILITY).alias("high_risk_count")).crossJoin(q)
     names = ["p_p25", "p_p50", "p_p75", "p_p90", "p_p95"]
     return a.select(*[c for c in a.columns if c != "__q"],
                     *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])

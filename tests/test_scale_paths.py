@@ -51,3 +51,17 @@ def test_shuffles_for_trip_fold(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(trip_key") <= 4
     assert plan.count("Window [") + plan.count("Window (") >= 1
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    from roadrisk.functions.quantiles import exact_quantiles
+    rnd = random.Random(11)
+    rows = [(float(rnd.randint(0, 40)) if rnd.random() > 0.05 else None,) for _ in range(700)]
+    df = spark.createDataFrame(rows, "x double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.95, 1.0]
+    want = df.agg(F.percentile("x", probs)).first()[0]
+    for buckets in (3, 64):
+        got = exact_quantiles(df, "x", probs, buckets=buckets).first()[0]
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
+    empty = spark.createDataFrame([(None,)], "x double")
+    assert exact_quantiles(empty, "x", [0.5]).first()[0] == [None]
