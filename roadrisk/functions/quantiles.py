@@ -16,38 +16,56 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut_lineage
 from .prefix import ordered_prefix_sums
 
 
 def exact_quantiles(df: DataFrame, column, probs: Sequence[float], buckets: int = 64,
-                    out: str = "quantiles") -> DataFrame:
-    """1-row DataFrame with one array column `out` (quantiles in `probs`
-    order; NULL entries when the column has no non-null value)."""
+                    out: str = "quantiles", by: Sequence[str] = (), materialize: bool = True) -> DataFrame:
+    """One row (per ``by`` group) with an array column `out` of the quantiles
+    in `probs` order (NULL entries when a group has no non-null value).
+
+    The (value, count) table is referenced several times (bounds, offsets,
+    totals, rank lookup); with ``materialize`` it is checkpointed into the
+    shared checkpoint folder once, so the input pipeline runs once and the
+    remaining plan stays small."""
     x = F.col(column) if isinstance(column, str) else column
-    probs = [float(p) for p in probs]
-    v = df.select(x.cast("double").alias("__v")).filter(F.col("__v").isNotNull()) \
-        .groupBy("__v").agg(F.count(F.lit(1)).alias("__c"))
-    v = ordered_prefix_sums(v, "__v", ["__c"], buckets=buckets, prefix="__cum")
-    n = v.agg(F.sum("__c").alias("__n"))
-    pos = n.select(F.inline(F.array(*[
+    probs, by = [float(p) for p in probs], list(by)
+    v = df.select(*by, x.cast("double").alias("__v")).filter(F.col("__v").isNotNull()) \
+        .groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    if materialize:
+        v = cut_lineage(v)
+    v = ordered_prefix_sums(v, "__v", ["__c"], buckets=buckets, prefix="__cum", by=by)
+    if materialize:
+        v = cut_lineage(v)
+    n = v.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    pos = n.select(*by, F.inline(F.array(*[
         F.struct(F.lit(i).alias("__i"), ((F.col("__n") - 1) * p).alias("__pos")) for i, p in enumerate(probs)])))
-    pos = pos.select("__i", "__pos", F.floor("__pos").alias("__lo"), F.ceil("__pos").alias("__hi"))
+    pos = pos.select(*by, "__i", "__pos", F.floor("__pos").alias("__lo"), F.ceil("__pos").alias("__hi"))
     # rank r (0-based) lives in the row with cum - count <= r < cum
-    hit = v.crossJoin(F.broadcast(pos)).filter(
-        ((F.col("__cum__c") - F.col("__c") <= F.col("__lo")) & (F.col("__lo") < F.col("__cum__c")))
-        | ((F.col("__cum__c") - F.col("__c") <= F.col("__hi")) & (F.col("__hi") < F.col("__cum__c"))))
     in_lo = (F.col("__cum__c") - F.col("__c") <= F.col("__lo")) & (F.col("__lo") < F.col("__cum__c"))
     in_hi = (F.col("__cum__c") - F.col("__c") <= F.col("__hi")) & (F.col("__hi") < F.col("__cum__c"))
-    per = hit.groupBy("__i").agg(
+    hit = (v.join(pos, by) if by else v.crossJoin(F.broadcast(pos))).filter(in_lo | in_hi)
+    per = hit.groupBy(*by, "__i").agg(
         F.max("__pos").alias("__pos"), F.max("__lo").alias("__lo"), F.max("__hi").alias("__hi"),
         F.max(F.when(in_lo, F.col("__v"))).alias("__vlo"), F.max(F.when(in_hi, F.col("__v"))).alias("__vhi"))
     q = F.when(F.col("__hi") == F.col("__lo"), F.col("__vlo")).otherwise(
         (F.col("__hi") - F.col("__pos")) * F.col("__vlo") + (F.col("__pos") - F.col("__lo")) * F.col("__vhi"))
-    vals = per.select("__i", q.alias("__q"))
-    # one slot per probability (missing when the column is all NULL)
+    vals = per.select(*by, "__i", q.alias("__q"))
+    # one slot per probability; collect_list holds <= len(probs) entries
     slots = F.array(*[F.lit(i) for i in range(len(probs))])
-    agg = vals.agg(F.map_from_entries(F.collect_list(F.struct("__i", "__q"))).alias("__m"))
-    return agg.select(F.transform(slots, lambda i: F.col("__m")[i]).alias(out))
+    agg = vals.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("__i", "__q"))).alias("__m"))
+    res = agg.select(*by, F.transform(slots, lambda i: F.col("__m")[i]).alias(out))
+    if by:
+        return res
+    return _one_row(df, res, out, len(probs))  # a row even when every value is NULL
+
+
+def _one_row(df: DataFrame, res: DataFrame, out: str, k: int) -> DataFrame:
+    """res has 0 or 1 rows: left-join it to a 1-row table."""
+    one = df.sparkSession.range(1).select(F.lit(1).alias("__k"))
+    return one.join(res.withColumn("__k", F.lit(1)), "__k", "left").select(
+        F.coalesce(F.col(out), F.array_repeat(F.lit(None).cast("double"), k)).alias(out))
 
 
 def exact_quantile(df: DataFrame, column, prob: float, buckets: int = 64, out: str = "quantile") -> DataFrame:

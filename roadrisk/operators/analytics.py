@@ -46,14 +46,26 @@ def top_n_rows(df: DataFrame, by: str, n: int = 5, tie: Sequence[str] = ()) -> D
 
 def describe(df: DataFrame, columns: Sequence[str], approx_accuracy: int | None = None) -> DataFrame:
     """Q7: count/mean/std/min/quartiles/max for each column, one row per
-    column (unpivot + one group-by keyed by column name)."""
+    column: unpivot, one group-by keyed by column name, and exact quartiles
+    per column from the distributed quantile operator (no per-column value
+    map in one task)."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = df.select(F.inline(pairs))
     x = F.col("x")
-    return df.select(F.inline(pairs)).groupBy("column_name").agg(
-        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"), _pct(x, 0.25, approx_accuracy).alias("p25"),
-        _pct(x, 0.5, approx_accuracy).alias("p50"), _pct(x, 0.75, approx_accuracy).alias("p75"),
-        F.max(x).alias("max"))
+    st = long.groupBy("column_name").agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
+                                         F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = _grouped_quartiles(long, "x", ["column_name"], approx_accuracy)
+    return st.join(q, "column_name", "left").select("column_name", "count", "mean", "std", "min", "p25", "p50", "p75",
+                                                     "max")
+
+
+def _grouped_quartiles(df: DataFrame, column: str, by: list[str], approx_accuracy: int | None = None,
+                       probs=(0.25, 0.5, 0.75), names=("p25", "p50", "p75")) -> DataFrame:
+    if approx_accuracy:
+        q = df.groupBy(*by).agg(F.percentile_approx(column, list(probs), approx_accuracy).alias("__q"))
+    else:
+        q = exact_quantiles(df, column, probs, out="__q", by=by)
+    return q.select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
 
 
 def label_table(spark, labels: Sequence[str], name: str, rank: str = "bin_rank") -> DataFrame:
@@ -213,20 +225,20 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None)
 def boxplot_stats(df: DataFrame, by: str, column: str, approx_accuracy: int | None = None) -> DataFrame:
     """Q18: quartiles, 1.5 IQR whiskers and outlier count per group."""
     x = F.col(column).cast("double")
-    q = df.filter(F.col(by).isNotNull()).groupBy(by).agg(
-        _pct(x, 0.25, approx_accuracy).alias("q1"), _pct(x, 0.5, approx_accuracy).alias("median"),
-        _pct(x, 0.75, approx_accuracy).alias("q3"), F.count(x).alias("n"))
+    base = df.filter(F.col(by).isNotNull()).select(by, x.alias("__x"))
+    n = base.groupBy(by).agg(F.count("__x").alias("n"))
+    q = _grouped_quartiles(base, "__x", [by], approx_accuracy, names=("q1", "median", "q3")).join(n, by)
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
          .withColumn("lo_fence", F.col("q1") - 1.5 * F.col("iqr")) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * F.col("iqr"))
     # q has one row per group; AQE broadcasts it when it is small.
-    j = df.select(by, x.alias("__x")).join(q.select(by, "lo_fence", "hi_fence"), by)
+    j = base.join(q.select(by, "lo_fence", "hi_fence"), by)
     inside = (F.col("__x") >= F.col("lo_fence")) & (F.col("__x") <= F.col("hi_fence"))
     w = j.groupBy(by).agg(
         F.min(F.when(inside, F.col("__x"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("__x"))).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"))
-    return q.join(w, by).drop("lo_fence", "hi_fence")
+    return q.join(w, by).select(by, "q1", "median", "q3", "n", "iqr", "whisker_low", "whisker_high", "outliers")
 
 
 def above_quantile(df: DataFrame, column: str, q: float, approx_accuracy: int | None = None) -> DataFrame:
@@ -280,27 +292,38 @@ def residuals(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 def severity_segments(res: DataFrame, actual: str = "actual_severity", predicted: str = "predicted_severity",
                       edges=SEVERITY_EDGES, labels=SEVERITY_LABELS) -> DataFrame:
-    """Q20: 11 statistics per right-closed predicted-severity segment."""
+    """Q20: 11 statistics per right-closed predicted-severity segment; the
+    four medians come from one distributed exact-quantile pass over the
+    unpivoted (segment, metric, value) rows."""
     spark = res.sparkSession
     seg = cut(predicted, edges, labels)
-    agg = res.select("*", seg.alias("severity_segment")).filter(F.col("severity_segment").isNotNull()) \
-        .groupBy("severity_segment").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.avg(actual).alias("actual_mean"), F.median(actual).alias("actual_median"),
-            F.stddev_samp(actual).alias("actual_std"),
-            F.avg(predicted).alias("pred_mean"), F.median(predicted).alias("pred_median"),
-            F.stddev_samp(predicted).alias("pred_std"),
-            F.avg("absolute_error").alias("mae_mean"), F.median("absolute_error").alias("mae_median"),
-            F.avg("percentage_error").alias("mape_mean"), F.median("percentage_error").alias("mape_median"))
+    d = res.select("*", seg.alias("severity_segment")).filter(F.col("severity_segment").isNotNull())
+    agg = d.groupBy("severity_segment").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(actual).alias("actual_mean"), F.stddev_samp(actual).alias("actual_std"),
+        F.avg(predicted).alias("pred_mean"), F.stddev_samp(predicted).alias("pred_std"),
+        F.avg("absolute_error").alias("mae_mean"), F.avg("percentage_error").alias("mape_mean"))
+    metrics = {"actual_median": actual, "pred_median": predicted, "mae_median": "absolute_error",
+               "mape_median": "percentage_error"}
+    long = d.select("severity_segment", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("metric"), F.col(v).cast("double").alias("v")) for k, v in metrics.items()])))
+    med = exact_quantiles(long, "v", [0.5], out="__q", by=["severity_segment", "metric"]) \
+        .groupBy("severity_segment").agg(*[F.max(F.when(F.col("metric") == k, F.col("__q")[0])).alias(k)
+                                           for k in metrics])
+    agg = agg.join(med, "severity_segment", "left")
     dim = label_table(spark, labels, "severity_segment", "segment_rank")
     return agg.join(F.broadcast(dim), "severity_segment", "right").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def group_stats(df: DataFrame, by: str, column: str) -> DataFrame:
-    """Q21: count/mean/median/std/min/max of a column per category."""
-    return df.filter(F.col(by).isNotNull()).groupBy(by).agg(
-        F.count(column).alias("count"), F.avg(column).alias("mean"), F.median(column).alias("median"),
-        F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    """Q21: count/mean/median/std/min/max of a column per category (median
+    exact and distributed)."""
+    d = df.filter(F.col(by).isNotNull())
+    st = d.groupBy(by).agg(
+        F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"),
+        F.min(column).alias("min"), F.max(column).alias("max"))
+    med = exact_quantiles(d, column, [0.5], out="__q", by=[by]).select(by, F.col("__q")[0].alias("median"))
+    return st.join(med, by, "left").select(by, "count", "mean", "median", "std", "min", "max")
 
 
 def high_error_summary(res: DataFrame, q: float = 0.9, actual: str = "actual_severity",

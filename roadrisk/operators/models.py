@@ -257,7 +257,7 @@ def predict_calibrated(models: list, df: DataFrame, keep=("trip_id", "driver_id"
 
 def save_model(model: PipelineModel, name: str, version_no: int, root: str | None = None) -> str:
     """PipelineModel under <root>/<name>/v<n> in the shared folder."""
-    base = root or os.path.join(checkpoint_dir(SparkSession.getActiveSession()) or "/tmp", "models")
+    base = root or os.path.join(checkpoint_dir(SparkSession.getActiveSession()), "models")
     path = os.path.join(base, name, f"v{version_no}")
     model.write().overwrite().save(path)
     return path

@@ -262,7 +262,7 @@ def q_sink_roundtrip(spark, sf):
     import uuid
 
     from ..sources.tables import checkpoint_dir, read_trips_csv, write_table
-    base = os.path.join(checkpoint_dir(spark) or "/tmp", "sinks", uuid.uuid4().hex[:8])
+    base = os.path.join(checkpoint_dir(spark), "sinks", uuid.uuid4().hex[:8])
     s = TR.summarize_trips(views.readings(spark, sf), CFG).withColumn("trip_id", F.col("trip_id").cast("string"))
     write_table(s, os.path.join(base, "parquet"), partition_by=["time_of_day"])
     write_table(s, os.path.join(base, "csv"), fmt="csv")

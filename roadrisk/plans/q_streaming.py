@@ -21,7 +21,7 @@ ORDERS_SCHEMA = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_to
 
 
 def _out(spark, name):
-    base = checkpoint_dir(spark) or "/tmp"
+    base = checkpoint_dir(spark)
     return os.path.join(base, "streams", f"{name}-{uuid.uuid4().hex[:8]}")
 
 

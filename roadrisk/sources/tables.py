@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,19 +47,26 @@ def write_summary_json(df: DataFrame, path: str, mode: str = "overwrite") -> Non
     df.coalesce(1).write.mode(mode).json(path)
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared checkpoint folder the cluster configured, if any."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Read from the session first. Only when it is unset AND the session runs
+    in local mode (tests, single-machine checks) a scratch folder is created;
+    a cluster session without the setting is an error (a machine-local temp
+    folder would not survive executor loss)."""
     sc = spark.sparkContext
-    return sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder for this cluster")
+        d = tempfile.mkdtemp(prefix="roadrisk-ckpt-", dir="/tmp")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into spark.checkpoint.dir (survives executor loss;
     never a local checkpoint)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        d = sc.getConf().get("spark.checkpoint.dir", None)
-        if not d:
-            raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder")
-        sc.setCheckpointDir(d)
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
