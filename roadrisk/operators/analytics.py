@@ -210,8 +210,10 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None)
     totals = counts.groupBy(*keys).agg(F.sum("count").alias("__n"))
     spark = df.sparkSession
     # dimension: bins x groups (both small: #bins rows times #groups)
+    # bins x groups: the output grid itself (totals has one row per group,
+    # so it is left to AQE instead of a forced broadcast)
     dim = spark.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(mm)) \
-        .crossJoin(F.broadcast(totals))
+        .crossJoin(totals)
     w = (F.col("__mx") - F.col("__mn")) / bins
     return dim.join(counts, [*keys, "bin"], "left").select(
         *keys, "bin",

@@ -2,9 +2,9 @@
 operators.
 
 Row-count windows do not exist on streams, so a closed trip is a session of
-one device (silence gap), and the phone debounce runs over the session's
-(sequence, flag) pairs with ``aggregate`` once the watermark closes it. All
-aggregates are watermarked; sinks are files in the cluster's shared folder
+one device (silence gap), and the phone debounce runs in a per-device
+stateful operator holding only the current run length and last event time.
+All aggregates are watermarked; sinks are files in the cluster's shared folder
 with a checkpoint location next to them, so a restarted query resumes
 exactly once. ``foreachBatch`` writes are keyed by batch id (idempotent).
 """
@@ -45,7 +45,8 @@ def stream_source(spark: SparkSession, path: str, schema: T.StructType, fmt: str
 
 def _debounced_count(pairs: Column, n: int) -> Column:
     """Rows whose last n flags (in sequence order) are all 1, from a sorted
-    array of struct(seq, flag): a left fold carrying the current run length."""
+    array of struct(seq, flag): a left fold carrying the current run length.
+    (Batch helper for one trip's pairs.)"""
     init = F.struct(F.lit(0).alias("run"), F.lit(0).cast("long").alias("hits"))
 
     def step(acc, x):
@@ -55,10 +56,61 @@ def _debounced_count(pairs: Column, n: int) -> Column:
     return F.aggregate(pairs, init, step, lambda acc: acc["hits"])
 
 
+def _run_lengths(flags, resets, run0):
+    """Vectorised run length of consecutive 1-flags, restarting at `resets`,
+    continuing a run of length `run0` carried in from earlier rows."""
+    import numpy as np
+
+    idx = np.arange(len(flags))
+    prev = np.concatenate([[1 if run0 > 0 else 0], flags[:-1]])
+    start = (flags == 1) & ((prev == 0) | resets)
+    start_idx = np.maximum.accumulate(np.where(start, idx, -1))
+    run = np.where(start_idx >= 0, idx - start_idx + 1, idx + 1 + run0)
+    return np.where(flags == 1, run, 0)
+
+
+def _debounce_state_fn(n: int, gap_us: int):
+    def fn(key, pdfs, state):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("reading_seq", kind="stable")
+        ts = pdf["timestamp"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        run0, last = (state.get if state.exists else (0, None))
+        prev_ts = np.concatenate([[ts[0] if last is None else last], ts[:-1]])
+        resets = (ts - prev_ts) >= gap_us
+        run0 = 0 if (last is not None and ts[0] - last >= gap_us) else run0
+        run = _run_lengths(pdf["phone_raw"].to_numpy(), resets, run0)
+        state.update((int(run[-1]), int(ts[-1])))
+        yield pdf.assign(phone_use=(run >= n).astype("int32"))
+
+    return fn
+
+
+def debounce_stream(flags: DataFrame, n: int, gap: str, watermark: str, key: str = "device_id") -> DataFrame:
+    """E5 on a stream with O(1) state per device: the current run length of
+    phone flags and the last event time (runs restart after a session gap).
+    No state timeout (an event-time timeout would make the operator emit rows
+    behind the global watermark): state is two numbers per device ever seen.
+    Rows are ordered by reading_seq inside each micro-batch; a device's rows
+    that arrive out of order across micro-batches count in arrival order."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    spark = flags.sparkSession
+    gap_us = int(spark.range(1).select(F.expr(f"unix_micros(timestamp'2000-01-01' + INTERVAL {gap})")
+                                       - F.expr("unix_micros(timestamp'2000-01-01')")).first()[0])
+    out = T.StructType(flags.schema.fields + [T.StructField("phone_use", T.IntegerType())])
+    d = flags.withWatermark("timestamp", watermark).groupBy(key).applyInPandasWithState(
+        _debounce_state_fn(n, gap_us), out, "run int, last_us long", "append", GroupStateTimeout.NoTimeout)
+    return d.withWatermark("timestamp", watermark)
+
+
 def stream_trip_summary(readings: DataFrame, cfg: ProcessingConfig = DEFAULT_CONFIG, gap: str = "5 minutes",
                         watermark: str = "10 minutes") -> DataFrame:
-    """A1 on a stream — one trip per device session."""
-    f = detect_events(readings, cfg).withWatermark("timestamp", watermark)
+    """A1 on a stream — one trip per device session. The debounce runs
+    in a per-device stateful operator (bounded state), so the session
+    aggregate below is purely algebraic (no per-session row lists)."""
+    f = debounce_stream(detect_events(readings, cfg), cfg.sensors.phone_use_min_duration_sec, gap, watermark)
     g = f.groupBy("device_id", F.session_window("timestamp", gap).alias("session")).agg(
         F.count(F.lit(1)).alias("n_readings"),
         F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"),
@@ -69,15 +121,12 @@ def stream_trip_summary(readings: DataFrame, cfg: ProcessingConfig = DEFAULT_CON
         F.sum("harsh_brake").cast("long").alias("harsh_braking_events"),
         F.sum("harsh_accel").cast("long").alias("harsh_acceleration_events"),
         F.sum("sharp_corner").cast("long").alias("sharp_cornering_events"),
+        F.sum("phone_use").cast("long").alias("phone_usage_seconds"),
         F.avg("speeding").alias("speeding_percent"),
         F.min_by(F.struct("trip_id", "device_id", "gps_latitude", "gps_longitude", "timestamp"),
                  "reading_seq").alias("first"),
         F.max_by(F.struct("gps_latitude", "gps_longitude"), "reading_seq").alias("last"),
-        F.array_sort(F.collect_list(F.struct(F.col("reading_seq").alias("seq"), F.col("phone_raw").alias("flag"))))
-        .alias("__pairs"),
     )
-    g = g.withColumn("phone_usage_seconds",
-                     _debounced_count(F.col("__pairs"), cfg.sensors.phone_use_min_duration_sec)).drop("__pairs")
     q = with_quality(g, cfg).filter("is_valid = 1") \
         .withColumn("session_start", F.col("session.start")).withColumn("session_end", F.col("session.end"))
     return summary_columns(q, cfg, extra=("session_start", "session_end"))

@@ -30,3 +30,21 @@ def test_stream_event_counts_equal_batch(spark):
     got = s.select("window_start", "readings", "harsh_brake", "phone_raw")
     # every window the watermark closed equals the batch window
     assert got.count() > 0 and got.exceptAll(b).count() == 0
+
+
+def test_stream_trip_debounce_equals_batch_sessions(spark):
+    from pyspark.sql import Window
+    from roadrisk.functions.scalar import hash_id
+
+    s = E.queries()["stream_trip_summary"](spark, SF).select("driver_id", "session_start", "phone_usage_seconds")
+    r = detect_events(views.readings(spark, SF), TESTDATA_CONFIG)
+    w = Window.partitionBy("device_id").orderBy("reading_seq")
+    gap = F.unix_micros("timestamp") - F.unix_micros(F.lag("timestamp").over(w))
+    r = r.withColumn("new", F.coalesce(gap >= 86_400_000_000, F.lit(True)).cast("int")) \
+         .withColumn("sid", F.sum("new").over(w))
+    ws = Window.partitionBy("device_id", "sid").orderBy("reading_seq").rowsBetween(-2, 0)
+    r = r.withColumn("use", (F.sum("phone_raw").over(ws) >= 3).cast("int"))
+    b = r.groupBy("device_id", "sid").agg(F.min("timestamp").alias("session_start"),
+                                          F.sum("use").cast("long").alias("phone_usage_seconds")) \
+        .select(hash_id("device_id").alias("driver_id"), "session_start", "phone_usage_seconds")
+    assert s.count() > 0 and s.exceptAll(b).count() == 0
