@@ -395,3 +395,25 @@ def q_error_quartile(spark, sf):
     """Q16 + Q18: absolute error box plot per predicted-severity quartile."""
     r = A.quantile_bins(_residuals(spark, sf), "predicted_severity", 4, ["Q1", "Q2", "Q3", "Q4"], out="quartile")
     return rounded(A.boxplot_stats(r, "quartile", "absolute_error"))
+
+
+@register("boxplot_by_tier", rnd(with_views("trips") + "," + ENRICHED_SQL + "," + FULL_SQL + """,
+dc AS (SELECT driver_id, CAST(sum(has_claim) AS BIGINT) AS had_claim_sum, sum(claim_amount) AS claim_amount_sum
+       FROM trips GROUP BY driver_id),
+b AS (SELECT risk_category, claim_amount_sum AS x FROM profiles JOIN dc USING (driver_id)
+      WHERE had_claim_sum > 0 AND risk_category IS NOT NULL),
+q AS (SELECT risk_category, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
+             quantile_cont(x, 0.75) AS q3, count(x) AS n FROM b GROUP BY risk_category),
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q),
+w AS (SELECT b.risk_category, min(CASE WHEN x >= lo AND x <= hi THEN x END) AS whisker_low,
+             max(CASE WHEN x >= lo AND x <= hi THEN x END) AS whisker_high,
+             count(*) FILTER (WHERE NOT (x >= lo AND x <= hi)) AS outliers
+      FROM b JOIN f ON b.risk_category = f.risk_category GROUP BY b.risk_category)
+SELECT f.risk_category, q1, median, q3, n, iqr, whisker_low, whisker_high, outliers
+FROM f JOIN w ON f.risk_category = w.risk_category""", ["q1", "median", "q3", "iqr", "whisker_low", "whisker_high"]))
+def q_boxplot_tier(spark, sf):
+    """Q18: box plot of claimants' claim amounts per driver risk category."""
+    t = views.trips(spark, sf)
+    prof = D.driver_profiles(FE.enrich_trips(t)).select("driver_id", "risk_category")
+    claims = D.driver_claims(t).filter("had_claim_sum > 0")
+    return rounded(A.boxplot_stats(prof.join(claims, "driver_id"), "risk_category", "claim_amount_sum"))

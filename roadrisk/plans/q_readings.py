@@ -288,3 +288,15 @@ def q_privacy(spark, sf):
     r = r.select("*", location_zone("gps_latitude", "gps_longitude").alias("zone"),
                  time_of_day(F.hour("timestamp")).alias("time_of_day"))
     return TR.privacy_projection(r)
+
+
+@register("readings_normalize", with_views("readings") + """
+SELECT trip_key, reading_seq, "timestamp", device_id, gps_latitude, gps_longitude, gps_accuracy_meters, speed_mph,
+  accelerometer_x, accelerometer_y, accelerometer_z, screen_on, app_foreground FROM readings""")
+def q_readings_normalize(spark, sf):
+    """N1-N5 on the driver's events: the normalised reading table every
+    reading operator consumes (typed, defaults applied, trip key and order)."""
+    r = views.readings(spark, sf)
+    return r.select("trip_key", "reading_seq", "timestamp", "device_id", "gps_latitude", "gps_longitude",
+                    "gps_accuracy_meters", "speed_mph", "accelerometer_x", "accelerometer_y", "accelerometer_z",
+                    "screen_on", "app_foreground")

@@ -323,3 +323,26 @@ FROM trips""", ["scale_pos_weight"]))
 def q_class_weight(spark, sf):
     """M4: negative / positive ratio for the classifier weight."""
     return rounded(S.class_weight(views.trips(spark, sf)))
+
+
+@register("risk_score", rnd(with_views("scored") + "," + PRED_SQL + "\nSELECT trip_id, risk_score FROM pred",
+                            ["risk_score"]))
+def q_risk_score(spark, sf):
+    """0-100 risk score from probability and capped severity."""
+    return rounded(_pred(spark, sf).select("trip_id", "risk_score"))
+
+
+@register("risk_category", with_views("scored") + "," + PRED_SQL
+          + "\nSELECT trip_id, risk_category, risk_category_rank FROM pred")
+def q_risk_category(spark, sf):
+    """Left-closed probability categories with their order."""
+    return _pred(spark, sf).select("trip_id", "risk_category", "risk_category_rank")
+
+
+@register("confidence_interval", rnd(with_views("scored") + "," + PRED_SQL + """
+SELECT trip_id, severity_uncertainty, confidence_interval_lower, confidence_interval_upper FROM pred""",
+                                     ["severity_uncertainty", "confidence_interval_lower", "confidence_interval_upper"]))
+def q_confidence_interval(spark, sf):
+    """Severity uncertainty and the 2-sigma interval floored at 0."""
+    return rounded(_pred(spark, sf).select("trip_id", "severity_uncertainty", "confidence_interval_lower",
+                                           "confidence_interval_upper"))
