@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prefix import ordered_prefix_sums
 from ..functions.quantiles import exact_quantiles
+from ..sources.tables import cut_lineage
 from ..functions.scalar import safe_div
 
 
@@ -66,14 +67,21 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
 
 
 def score_table(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 64,
-                extra: list | None = None) -> DataFrame:
+                extra: list | None = None, materialize: bool = True) -> DataFrame:
     """One row per distinct score with pos/neg counts and inclusive
     ascending running sums (cum_pos, cum_neg) plus global totals. `extra`
-    aggregates ride along in the same group-by (one pass over the rows)."""
+    aggregates ride along in the same group-by (one pass over the rows).
+
+    The per-score table is read several times by the prefix sums; it is
+    checkpointed once (shared folder) so the input pipeline runs once."""
     y = F.col(label).cast("long")
     s = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"), *(extra or []))
+    if materialize:
+        s = cut_lineage(s)
     s = ordered_prefix_sums(s, "score", ["pos", "neg"], buckets=buckets)
+    if materialize:
+        s = cut_lineage(s)
     tot = s.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return s.crossJoin(F.broadcast(tot))
 

@@ -8,11 +8,13 @@ prunes the scans to the columns used here.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import r
-from ..sources.tables import table
+from ..sources.tables import cut_lineage, table
 
 KM = 1.609344
 
@@ -46,10 +48,32 @@ def readings_from_events(e: DataFrame) -> DataFrame:
     )
 
 
-def trips(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
-    """orders x lineitem x customer -> one trip row per order (inner).
+_MATERIALIZED: dict = {}
+
+
+def trips(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None,
+          materialize: bool | None = None) -> DataFrame:
+    """The trip table, derived once per session and data folder and kept as
+    a reliable checkpoint in the shared folder (like the reference's
+    processed-trips file that every analysis reads): queries that read trips
+    several times (global statistics + rows) scan it instead of re-deriving
+    it from lineitem each time. ``materialize=False`` returns the lazy plan.
+
+    ``orders`` may be a streaming DataFrame (stream-static joins; never
+    materialized)."""
+    if orders is not None or materialize is False or not MATERIALIZE_TRIPS:
+        return derive_trips(spark, sf_dir, orders)
+    key = (spark._jsparkSession.hashCode(), os.path.abspath(sf_dir))
+    if key not in _MATERIALIZED:
+        _MATERIALIZED[key] = cut_lineage(derive_trips(spark, sf_dir))
+    return _MATERIALIZED[key]
 
-    ``orders`` may be a streaming DataFrame (stream-static joins).
+
+MATERIALIZE_TRIPS = True
+
+
+def derive_trips(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """orders x lineitem x customer -> one trip row per order (inner).
 
     lineitem is pre-aggregated per order before the join (the aggregate is
     hash-partitioned on l_orderkey, so the join with orders reuses it);

@@ -37,7 +37,7 @@ def test_scan_is_pruned_and_filters_pushed(spark):
     load_all()
     plan = QUERIES["trip_summary"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "props" in plan and "o_comment" not in plan
-    t = views.trips(spark, SF).filter(F.col("trip_date") >= "1997-01-01")
+    t = views.trips(spark, SF, materialize=False).filter(F.col("trip_date") >= "1997-01-01")
     p = t._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in p
 
