@@ -15,7 +15,8 @@ frame.
 Edge cases: null text is empty, a document of the end id alone; a document of
 exactly one sequence is one piece; ties fall to the smaller gap; repeated rows
 are packed as often as they occur; null doc_ids are ids; an empty table gives
-an empty result; other columns pass through `pack`.
+an empty result; other columns pass through `pack` (names with two leading
+underscores, sequence_id and offset are its own).
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ def pack(pieces: DataFrame, limit: int = 4096, group: int = 4096, rounds: int =
     ship(pieces.sparkSession)
     cols = [c for c in pieces.columns]
     todo = checkpoint(pieces.withColumn("__row", F.monotonically_increasing_id()))
-    schema = f"{_ddl(todo)}, sequence_id long, offset long, gap long"
+    schema = f"{_ddl(todo)}, sequence_id long, offset long, __gap long"
     done = None
     for r in range(rounds):
         n = todo.count()
@@ -101,10 +102,10 @@ def pack(pieces: DataFrame, limit: int = 4096, group: int = 4096, rounds: int =
         dealt = todo.withColumn("__group", F.pmod(F.xxhash64(F.lit(seed + r), F.col("__row")), F.lit(groups)))
         out = checkpoint(dealt.groupBy("__group").applyInPandas(_pack_group(r, limit), schema))
         if r + 1 < rounds:
-            full = out.filter("gap = 0").drop("gap")
-            todo = out.filter("gap > 0").select(*todo.columns)
+            full = out.filter("__gap = 0").drop("__gap")
+            todo = out.filter("__gap > 0").select(*todo.columns)
         else:
-            full = out.drop("gap")
+            full = out.drop("__gap")
         done = full if done is None else done.unionByName(full)
         if r + 1 == rounds:
             break
@@ -119,7 +120,7 @@ def _pack_group(r: int, limit: int):
         pdf = pdf.iloc[order].drop(columns="__group")
         bins, offsets, gaps = sum_of_squares(pdf["length"].to_numpy(), limit)
         # number of the sequence: round, group, bin
-        return pdf.assign(sequence_id=((r << 58) + (int(key[0]) << 24) + bins), offset=offsets, gap=gaps[bins])
+        return pdf.assign(sequence_id=((r << 58) + (int(key[0]) << 24) + bins), offset=offsets, __gap=gaps[bins])
 
     return run
 
