@@ -13,18 +13,18 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from struct import pack
 
-import numpy as np
-
 #: Unicode White_Space, as the pre-tokenizers' \\s
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECE = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 #: for tokenizers that drop white space, ASCII's is enough to split at
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: white space at which a plain split at spaces would not be right
-_ODD = re.compile("[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|^[ \\n]| [ \\n]|\\n |[ \\n]$")
-_STOPS = ".,;:!?"
+#: Unicode white space beyond ASCII
+_WIDE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: after a word, a run of these is one piece of its own for the pre-tokenizers
+_STOPS = string.punctuation
 
 _encoders: dict[tuple[str, int], Encoder] = {}
 
@@ -34,6 +34,12 @@ def _plain(word: str) -> bool:
     return word.isalpha() and (word.isascii() or max(word) < "\u0180" and "\u0149" not in word and "\u0130" not in word)
 
 
+def _runs_of_space(text: str) -> bool:
+    """Not just words with one space or one line break between them."""
+    return (any(x in text for x in ("  ", "\n ", " \n", "\n\n", "\t", "\x0b", "\x0c", "\r")) or text[:1] == " " or text[-1:] == " "
+            or not text.isascii() and _WIDE.search(text) is not None)
+
+
 class Known(dict):
     """Piece -> ids as bytes; a piece not met yet is encoded. ``lead``: what
     stands before each piece in its text."""
@@ -47,26 +53,46 @@ class Known(dict):
         mapped = lambda c: as_bytes.pre_tokenize_str(normal(c))[0][0]
         self.table = {c: mapped(chr(c)) for c in range(0x180) if chr(c) == " " or _plain(chr(c))}
         self.mapped_lead = mapped(lead) if lead else ""
+        #: ASCII letters stay, or are only lower-cased
+        self.lowers = self.table[ord("A")] == "a"
+        self.stops: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, piece: str) -> bytes:
         word = piece.rstrip(_STOPS)
         if not word or not _plain(word):
-            ids = self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids
-        elif word is not piece and len(word) < len(piece):
-            stops = np.array(self.tokenizer.encode(piece[len(word):], add_special_tokens=False).ids, "<u4").tobytes()
-            out = self[piece] = self[word] + stops
-            return out
+            out = self._whole(self.lead + piece)
+        elif len(word) < len(piece):
+            stops = piece[len(word):]
+            if stops not in self.stops:
+                self.stops[stops] = self._whole(stops)
+            out = self[word] + self.stops[stops]
+        elif not word.isascii():
+            out = self._model(word.translate(self.table))
+        elif self.lowers and not word.islower():
+            out = self[word.lower()]
         else:
-            ids = [t.id for t in self.model.tokenize(self.mapped_lead + word.translate(self.table))]
-        out = self[piece] = pack(f"<{len(ids)}I", *ids)
+            out = self._model(word)
+        self[piece] = out
         return out
 
+    def _model(self, word: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(self.mapped_lead + word)]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def clear(self) -> None:
+        super().clear()
+        self.stops.clear()
+
 
 class Encoder:
     """A tokenizer file and the ids of the pieces met so far (at most ``keep`` of
     them outlive a call, which bounds a worker's memory)."""
 
-    def __init__(self, path: str, keep: int = 900_000):
+    def __init__(self, path: str, keep: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         t = self.tokenizer = Tokenizer.from_file(path)
@@ -78,21 +104,30 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers."""
-        if len(self.bare) + len(self.led) > self.keep:
-            self.bare.clear()
-            self.led.clear()
+        bare, led = self.bare, self.led
+        if len(bare) + len(led) > self.keep:
+            bare.clear()
+            led.clear()
         if self.words_only:
-            return b"".join(map(self.bare.__getitem__, _WORD.findall(text) if _ODD.search(text) else text.split()))
-        if _ODD.search(text):
-            return b"".join(map(self.bare.__getitem__, _PIECE.findall(text)))
-        first, *rest = text.split(" ")
-        return (self.bare[first] if first else b"") + b"".join(map(self.led.__getitem__, rest))
+            # the separators \x1c-\x1f aren't white space for the pre-tokenizers
+            odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
+            return b"".join(map(bare.__getitem__, _WORD.findall(text) if odd else text.split()))
+        if _runs_of_space(text):
+            return b"".join(map(bare.__getitem__, _PIECE.findall(text)))
+        out, line_break = [], bare["\n"]
+        for i, line in enumerate(text.split("\n")):
+            if i:
+                out.append(line_break)
+            first, *rest = line.split(" ")
+            out.append(bare[first])
+            out.extend(map(led.__getitem__, rest))
+        return b"".join(out)
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         return [self.ids(t) for t in texts]
 
 
-def encoder(path: str, keep: int = 900_000) -> Encoder:
+def encoder(path: str, keep: int = 1_200_000) -> Encoder:
     if (path, keep) not in _encoders:
         _encoders[path, keep] = Encoder(path, keep)
     return _encoders[path, keep]
