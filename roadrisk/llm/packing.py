@@ -30,13 +30,17 @@ from .common import checkpoint, ship
 from .tokenize import encoder
 
 
+#: pieces of text whose ids a worker remembers (some 150 MB)
+KEEP = 700_000
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = 4096) -> DataFrame:
     """(doc_id, piece, start, length, ids binary): ids as unsigned 32-bit integers."""
     ship(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, KEEP)
         end = np.uint32(end_id).astype("<u4").tobytes()
         for b in batches:
             for k in range(0, len(b), 256):
