@@ -23,16 +23,9 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-# The registered queries round doubles only so that the DuckDB comparison is
-# stable; the bench times the operators themselves and switches it off.
-ROUND_OUTPUTS = True
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (stable cross-engine comparison); one
     selectExpr so a wide table costs one JVM call."""
-    if not ROUND_OUTPUTS:
-        return df
     exprs = []
     for f in df.schema.fields:
         q = quote(f.name)

@@ -1,6 +1,6 @@
 """Streaming queries (X1-X5): each runs a Structured Streaming query to
-completion (availableNow) over the driver's files and returns the sink table.
-Rows-only check (no oracle)."""
+completion (availableNow) over the driver's files, closes the input so that
+the last windows and sessions come out too, and returns the sink table."""
 
 from __future__ import annotations
 
@@ -25,23 +25,30 @@ def _out(spark, name):
     return os.path.join(base, "streams", f"{name}-{uuid.uuid4().hex[:8]}")
 
 
-def _readings_stream(spark, sf):
+def _readings_stream(spark, sf, out):
+    """(stream of readings, what closes it)."""
     ev = X.stream_source(spark, os.path.join(sf, "events.parquet"), X.EVENTS_SCHEMA)
-    return views.readings_from_events(ev)
+    r = views.readings_from_events(ev)
+    folder = os.path.join(out, "end")
+    return X.with_end(r, folder), lambda: X.end_input(r, folder, "timestamp")
 
 
 @register("stream_trip_summary")
 def q_stream_trip_summary(spark, sf):
     """Device sessions (1 day silence gap on this data) -> trip summaries."""
-    s = X.stream_trip_summary(_readings_stream(spark, sf), TESTDATA_CONFIG, gap="1 day", watermark="1 day")
-    return rounded(X.run_to_table(s, _out(spark, "trip_summary")))
+    out = _out(spark, "trip_summary")
+    r, end = _readings_stream(spark, sf, out)
+    s = X.stream_trip_summary(r, TESTDATA_CONFIG, gap="1 day", watermark="1 day")
+    return rounded(X.run_to_table(s, out, end=end))
 
 
 @register("stream_event_counts")
 def q_stream_event_counts(spark, sf):
     """Event counts per 1-hour tumbling window (watermark 1 hour)."""
-    s = X.stream_event_counts(_readings_stream(spark, sf), TESTDATA_CONFIG, window="1 hour", watermark="1 hour")
-    return X.run_to_table(s, _out(spark, "event_counts"))
+    out = _out(spark, "event_counts")
+    r, end = _readings_stream(spark, sf, out)
+    s = X.stream_event_counts(r, TESTDATA_CONFIG, window="1 hour", watermark="1 hour")
+    return X.run_to_table(s, out, end=end)
 
 
 @register("stream_score")
@@ -58,6 +65,9 @@ def q_stream_score(spark, sf):
 def q_stream_monitor(spark, sf):
     """30-day windowed monitoring of streamed predictions vs the batch baseline."""
     o = X.stream_source(spark, os.path.join(sf, "orders.parquet"), spark.createDataFrame([], ORDERS_SCHEMA).schema)
-    pred = views.scored(spark, sf, orders=o).withColumn("trip_date", F.col("trip_date"))
+    pred = views.scored(spark, sf, orders=o)
     base = baseline_stats(views.scored(spark, sf))
-    return rounded(X.run_to_table(X.stream_monitor(pred, base), _out(spark, "monitor")))
+    out = _out(spark, "monitor")
+    folder = os.path.join(out, "end")
+    s = X.stream_monitor(X.with_end(pred, folder), base)
+    return rounded(X.run_to_table(s, out, end=lambda: X.end_input(pred, folder, "trip_date")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import r
-from ..sources.tables import cut_lineage, table
+from ..sources.tables import cut_lineage, input_version, table
 
 KM = 1.609344
 
@@ -48,28 +48,34 @@ def readings_from_events(e: DataFrame) -> DataFrame:
     )
 
 
-_MATERIALIZED: dict = {}
+TRIP_INPUTS = ("orders", "lineitem", "customer")
 
 
-def trips(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None,
-          materialize: bool | None = None) -> DataFrame:
-    """The trip table, derived once per session and data folder and kept as
-    a reliable checkpoint in the shared folder (like the reference's
-    processed-trips file that every analysis reads): queries that read trips
-    several times (global statistics + rows) scan it instead of re-deriving
-    it from lineitem each time. ``materialize=False`` returns the lazy plan.
+def trip_inputs_key(spark: SparkSession, sf_dir: str) -> tuple:
+    """What a materialized derivation is valid for: this session and exactly these input files."""
+    return spark._jsparkSession.hashCode(), input_version(spark, sf_dir, TRIP_INPUTS)
+
+
+_TRIPS: dict = {}
+
+
+def trips(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """The trip table, kept as a reliable checkpoint in the shared folder (like
+    the reference's processed-trips file that every analysis reads): queries
+    that read trips several times (global statistics + rows) scan it instead of
+    re-deriving it from lineitem. It is derived anew whenever an input file is
+    added, replaced or removed, and in every new session; only the last
+    derivation of a session is held.
 
     ``orders`` may be a streaming DataFrame (stream-static joins; never
     materialized)."""
-    if orders is not None or materialize is False or not MATERIALIZE_TRIPS:
+    if orders is not None:
         return derive_trips(spark, sf_dir, orders)
-    key = (spark._jsparkSession.hashCode(), os.path.abspath(sf_dir))
-    if key not in _MATERIALIZED:
-        _MATERIALIZED[key] = cut_lineage(derive_trips(spark, sf_dir))
-    return _MATERIALIZED[key]
-
-
-MATERIALIZE_TRIPS = True
+    key = trip_inputs_key(spark, sf_dir)
+    if key not in _TRIPS:
+        _TRIPS.clear()
+        _TRIPS[key] = cut_lineage(derive_trips(spark, sf_dir))
+    return _TRIPS[key]
 
 
 def derive_trips(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:

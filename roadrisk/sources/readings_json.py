@@ -28,13 +28,33 @@ def _reading_from_doc(e: Column) -> Column:
     return F.struct(*[e[f].alias(f) for f in READING_FIELDS])
 
 
+CORRUPT = "_corrupt_record"
+
+
+def _parsed(text: DataFrame) -> tuple[Column, Column]:
+    """(is the document a list, the document as an object or null). A document
+    that isn't JSON, or neither a list nor an object, is null: from_json alone
+    would make a struct of nulls of it."""
+    bare = F.regexp_replace("value", r"^[\s\uFEFF]+", "")
+    checked = F.from_json("value", T.StructType([*RAW_DOC.fields, T.StructField(CORRUPT, T.StringType())]),
+                          {"columnNameOfCorruptRecord": CORRUPT})
+    good = F.when(bare.startswith("{") & checked[CORRUPT].isNull(), checked)
+    return bare.startswith("["), F.when(good.isNotNull(), F.struct(*[good[f.name].alias(f.name) for f in RAW_DOC.fields]))
+
+
+def rejected_documents(text: DataFrame) -> DataFrame:
+    """(file_path, doc_no, value) of the documents that cannot be parsed and give no trips."""
+    is_array, obj = _parsed(text)
+    arr = F.from_json("value", T.ArrayType(RAW_DOC))
+    return text.filter(F.coalesce(~F.when(is_array, arr.isNotNull()).otherwise(obj.isNotNull()), F.lit(True)))
+
+
 def parse_documents(text: DataFrame) -> DataFrame:
     """(file_path, doc_no, value) -> one row per trip: trip_key, readings, meta."""
     # from_json with an array schema also wraps a lone object, so the top-level
     # kind is decided from the first non-blank character.
-    is_array = F.ltrim("value").startswith("[")
+    is_array, obj = _parsed(text)
     arr = F.when(is_array, F.from_json("value", T.ArrayType(RAW_DOC)))
-    obj = F.when(~is_array, F.from_json("value", RAW_DOC))
     d = text.select("file_path", "doc_no", arr.alias("arr"), obj.alias("obj"))
     trip_t = lambda rd, meta: F.struct(rd.alias("readings"), meta.alias("meta"))
     no_meta = F.lit(None).cast(RAW_DOC["trip_metadata"].dataType)
@@ -80,8 +100,9 @@ def normalize_readings(trips: DataFrame, convert_speed_ms: bool = False) -> Data
         return F.col(f"__has_{f}")
 
     def num(f: str, default: float) -> Column:
-        # N1 then N2: absent column -> default; present but null/garbage -> 0.
-        return F.when(has(f), F.coalesce(F.col("r")[f].try_cast("double"), F.lit(0.0))).otherwise(F.lit(default))
+        # N1 then N2: absent column -> default; present but null/garbage/"NaN" -> 0.
+        x = F.nanvl(F.col("r")[f].try_cast("double"), F.lit(0.0))
+        return F.when(has(f), F.coalesce(x, F.lit(0.0))).otherwise(F.lit(default))
 
     defaults = dict(C.READING_DEFAULTS)
     start = F.to_timestamp(F.lit(C.SYNTHETIC_START))

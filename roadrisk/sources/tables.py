@@ -18,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
+def input_version(spark: SparkSession, sf_dir: str, names) -> tuple:
+    """(path, length, modification time) of every file of some tables: changes
+    whenever a file is added, replaced or removed."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{name}.parquet"))
+        files = path.getFileSystem(conf).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def read_trips_csv(spark: SparkSession, path: str, schema=TRIP_SCHEMA) -> DataFrame:
     """Header CSV of trip summaries with an explicit schema (no inference)."""
     return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)

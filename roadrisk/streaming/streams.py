@@ -168,15 +168,41 @@ def stream_monitor(pred_stream: DataFrame, baseline: DataFrame, time_col: str =
         .alias("severity_drift"))
 
 
-def run_to_table(df: DataFrame, out_dir: str, fmt: str = "parquet", mode: str = "append") -> DataFrame:
+#: event time of the row that closes a stream, beyond any data
+END_OF_INPUT = "2200-01-01 00:00:00"
+
+
+def with_end(stream: DataFrame, folder: str) -> DataFrame:
+    """The stream and, unioned to it, a folder for one closing row (`end_input`)."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
+def end_input(stream: DataFrame, folder: str, time_col: str) -> None:
+    """Write the closing row: all null but its event time, which moves the
+    watermark past everything that came before; its own window never closes,
+    so it is never emitted."""
+    row = stream.sparkSession.range(1).select(*[
+        F.lit(END_OF_INPUT if f.name == time_col else None).cast(f.dataType).alias(f.name) for f in stream.schema])
+    row.write.mode("append").parquet(folder)
+
+
+def run_to_table(df: DataFrame, out_dir: str, fmt: str = "parquet", mode: str = "append", end=None) -> DataFrame:
     """Run a streaming query to completion (availableNow) into files under
-    ``out_dir`` (checkpoint alongside) and return the written table."""
+    ``out_dir`` (checkpoint alongside) and return the written table.
+
+    ``end``: called once all input is read; the query then resumes from its
+    checkpoint, so a closing row written by it flushes the open windows."""
     spark = df.sparkSession
-    q = (df.writeStream.format(fmt).outputMode(mode)
-         .option("checkpointLocation", os.path.join(out_dir, "_checkpoint"))
-         .option("path", os.path.join(out_dir, "data"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    for step in [None, end] if end else [None]:
+        if step:
+            step()
+        q = (df.writeStream.format(fmt).outputMode(mode)
+             .option("checkpointLocation", os.path.join(out_dir, "_checkpoint"))
+             .option("path", os.path.join(out_dir, "data"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.format(fmt).load(os.path.join(out_dir, "data"))
 
 

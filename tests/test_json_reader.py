@@ -94,3 +94,15 @@ def test_quality_gates(spark, tmp_path):
     assert q["acc50.json#0#0"]["is_valid"] == 1  # average accuracy exactly 50 is accepted
     s = TR.summarize_trips(read_readings_json(spark, str(tmp_path)), DEFAULT_CONFIG).first()
     assert s["time_of_day"] == "night" and s["night_driving"] == 1
+
+
+def test_malformed_files_give_no_trips_and_nan_is_zero(spark, tmp_path):
+    from roadrisk.sources.readings_json import read_raw_documents, rejected_documents
+    bad = {"a": "{not json at all", "b": "42", "c": '{"sensor_readings": [{"speed_mph": 3}', "d": '[{"speed_mph": 3}', "e": "null"}
+    for n, t in bad.items():
+        (tmp_path / f"{n}.json").write_text(t)
+    (tmp_path / "good.json").write_text('{"readings": [{"speed_mph": "NaN", "trip_id": "t"}, {"speed_mph": 5, "trip_id": "t"}]}')
+    got = read_readings_json(spark, str(tmp_path)).select("trip_id", "speed_mph").collect()
+    assert sorted(tuple(r) for r in got) == [("t", 0.0), ("t", 5.0)]
+    out = rejected_documents(read_raw_documents(spark, str(tmp_path))).select("value").collect()
+    assert sorted(r.value for r in out) == sorted(bad.values())

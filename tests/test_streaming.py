@@ -28,8 +28,14 @@ def test_stream_event_counts_equal_batch(spark):
         F.sum("phone_raw").alias("phone_raw")).select(
         F.col("w.start").alias("window_start"), "readings", "harsh_brake", "phone_raw")
     got = s.select("window_start", "readings", "harsh_brake", "phone_raw")
-    # every window the watermark closed equals the batch window
-    assert got.count() > 0 and got.exceptAll(b).count() == 0
+    # every window, the last ones too
+    assert got.exceptAll(b).count() == 0 and b.exceptAll(got).count() == 0
+    assert got.agg(F.sum("readings")).first()[0] == views.readings(spark, SF).count()
+
+
+def test_stream_monitor_counts_every_prediction(spark):
+    got = E.queries()["stream_monitor"](spark, SF).agg(F.sum("total_predictions")).first()[0]
+    assert got == views.scored(spark, SF).count()
 
 
 def test_stream_trip_debounce_equals_batch_sessions(spark):
@@ -47,4 +53,12 @@ def test_stream_trip_debounce_equals_batch_sessions(spark):
     b = r.groupBy("device_id", "sid").agg(F.min("timestamp").alias("session_start"),
                                           F.sum("use").cast("long").alias("phone_usage_seconds")) \
         .select(hash_id("device_id").alias("driver_id"), "session_start", "phone_usage_seconds")
-    assert s.count() > 0 and s.exceptAll(b).count() == 0
+    assert s.exceptAll(b).count() == 0
+    # every session that passes the quality gates is there
+    from roadrisk.operators.trips import with_quality
+    r = r.groupBy("device_id", "sid").agg(
+        F.count(F.lit(1)).alias("n_readings"), F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"),
+        F.avg("gps_accuracy_meters").alias("gps_accuracy_avg"), F.max("speed_mph").alias("max_speed_mph"),
+        F.avg("speed_mph").alias("average_speed_mph"), F.min("gps_latitude").alias("lat_min"), F.max("gps_latitude").alias("lat_max"),
+        F.min("gps_longitude").alias("lon_min"), F.max("gps_longitude").alias("lon_max"))
+    assert s.count() == with_quality(r, TESTDATA_CONFIG).filter("is_valid = 1").count()
