@@ -24,6 +24,7 @@ AGG_FUNCS = {
     "median": lambda c: F.median(c),
 }
 
+# Fixed values that must equal the reference.
 BASIC_RULES = {
     "trip_id": ["count"],
     "duration_minutes": ["sum", "mean", "std"],
@@ -39,6 +40,7 @@ BASIC_RULES = {
     "rush_hour": ["mean"],
 }
 
+# Fixed values that must equal the reference.
 FULL_RULES = {
     "trip_id": ["count"],
     "duration_minutes": ["mean", "std", "sum"],
@@ -78,6 +80,7 @@ FULL_RENAMES = {
     "distance_miles_sum": "total_distance_miles",
 }
 
+# Fixed values that must equal the reference.
 EDA_RULES = {
     "trip_id": ["count"],
     "duration_minutes": ["sum", "mean"],
@@ -92,6 +95,7 @@ EDA_RULES = {
 }
 
 # Composite-score cut points and labels (right-closed bins).
+# Fixed values that must equal the reference.
 COMPOSITE_EDGES = (float("-inf"), 10.0, 25.0, 50.0, float("inf"))
 COMPOSITE_LABELS = ("Low", "Medium", "High", "Very High")
 
@@ -222,6 +226,7 @@ def driver_hourly_rates(trips: DataFrame, key: str = "driver_id") -> DataFrame:
                     safe_div("phone_usage_seconds", hours).alias("phone_usage_per_hour"))
 
 
+# Fixed values that must equal the reference.
 MINMAX_FACTORS = ("harsh_events_per_hour", "phone_usage_per_hour", "speeding_percent", "night_driving")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.quantiles import exact_quantile
 from ..functions.scalar import clip_lower, flag, safe_div
 
+# Fixed values that must equal the reference.
 FEATURE_NAMES = [
     # basic
     "trip_duration_minutes", "trip_distance_km", "avg_trip_speed", "log_trip_duration", "log_trip_distance",
