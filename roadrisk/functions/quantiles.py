@@ -1,73 +1,97 @@
-"""Exact global quantiles without a single-task value map.
+"""Exact quantiles in two passes, without shuffling the values.
 
 ``percentile(x, p)`` merges a value->count map of every distinct value in
-one final task. Here the values are first reduced to (value, count) rows,
-running counts come from ``ordered_prefix_sums`` (range buckets, parallel),
-and only the (at most two) rows holding the interpolation ranks of each
-probability are kept: linear interpolation between the values at ranks
-floor((n-1)p) and ceil((n-1)p), the definition shared by Spark's
-``percentile``, DuckDB's ``quantile_cont`` and pandas.
+one final task. Here pass 1 takes mergeable sketches (``percentile_approx``,
+map-side) that bracket every probability from below and above. Pass 2 counts
+rows per value inside the brackets and only per gap outside them, so that what
+shuffles is one partial row a gap and task plus the bracketed values: about
+8 / accuracy of a group's rows for each probability (groups of at most
+``accuracy`` rows, where a bracket would be narrower than a rank, are counted
+by value). Running counts over those
+cells give the exact values at ranks floor((n-1)p) and ceil((n-1)p) and their
+linear interpolation, the definition shared by Spark's ``percentile``, DuckDB's
+``quantile_cont`` and pandas. Brackets reach a little beyond the sketched
+values, since sums of doubles may come out with other last bits when the input
+is computed again. A rank outside its bracket (the sketch's error bound forbids
+it) is an error, never a wrong value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut_lineage
-from .prefix import ordered_prefix_sums
+from .bounded import broadcast_if_small
 
+#: a bracket reaches this many times the sketch's error bound to either side
+MARGIN = 4
 
-def exact_quantiles(df: DataFrame, column, probs: Sequence[float], buckets: int = 64,
-                    out: str = "quantiles", by: Sequence[str] = (), materialize: bool = True) -> DataFrame:
-    """One row (per ``by`` group) with an array column `out` of the quantiles
-    in `probs` order (NULL entries when a group has no non-null value).
 
-    The (value, count) table is referenced several times (bounds, offsets,
-    totals, rank lookup); with ``materialize`` it is checkpointed into the
-    shared checkpoint folder once, so the input pipeline runs once and the
-    remaining plan stays small."""
+def exact_quantiles(df: DataFrame, column, probs: Sequence[float], out: str = "quantiles", by: Sequence[str] = (),
+                    accuracy: int = 10_000) -> DataFrame:
+    """One row (per ``by`` group with a non-null value) with an array column
+    `out` of the quantiles in `probs` order; without ``by`` one row always,
+    its entries NULL when there is no non-null value."""
     x = F.col(column) if isinstance(column, str) else column
     probs, by = [float(p) for p in probs], list(by)
-    v = df.select(*by, x.cast("double").alias("__v")).filter(F.col("__v").isNotNull()) \
-        .groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    if materialize:
-        v = cut_lineage(v)
-    v = ordered_prefix_sums(v, "__v", ["__c"], buckets=buckets, prefix="__cum", by=by)
-    if materialize:
-        v = cut_lineage(v)
-    n = v.groupBy(*by).agg(F.sum("__c").alias("__n"))
-    pos = n.select(*by, F.inline(F.array(*[
-        F.struct(F.lit(i).alias("__i"), ((F.col("__n") - 1) * p).alias("__pos")) for i, p in enumerate(probs)])))
-    pos = pos.select(*by, "__i", "__pos", F.floor("__pos").alias("__lo"), F.ceil("__pos").alias("__hi"))
-    # rank r (0-based) lives in the row with cum - count <= r < cum
-    in_lo = (F.col("__cum__c") - F.col("__c") <= F.col("__lo")) & (F.col("__lo") < F.col("__cum__c"))
-    in_hi = (F.col("__cum__c") - F.col("__c") <= F.col("__hi")) & (F.col("__hi") < F.col("__cum__c"))
-    hit = (v.join(pos, by) if by else v.crossJoin(F.broadcast(pos))).filter(in_lo | in_hi)
-    per = hit.groupBy(*by, "__i").agg(
-        F.max("__pos").alias("__pos"), F.max("__lo").alias("__lo"), F.max("__hi").alias("__hi"),
-        F.max(F.when(in_lo, F.col("__v"))).alias("__vlo"), F.max(F.when(in_hi, F.col("__v"))).alias("__vhi"))
-    q = F.when(F.col("__hi") == F.col("__lo"), F.col("__vlo")).otherwise(
-        (F.col("__hi") - F.col("__pos")) * F.col("__vlo") + (F.col("__pos") - F.col("__lo")) * F.col("__vhi"))
-    vals = per.select(*by, "__i", q.alias("__q"))
-    # one slot per probability; collect_list holds <= len(probs) entries
-    slots = F.array(*[F.lit(i) for i in range(len(probs))])
-    agg = vals.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("__i", "__q"))).alias("__m"))
-    res = agg.select(*by, F.transform(slots, lambda i: F.col("__m")[i]).alias(out))
-    if by:
-        return res
-    return _one_row(df, res, out, len(probs))  # a row even when every value is NULL
-
-
-def _one_row(df: DataFrame, res: DataFrame, out: str, k: int) -> DataFrame:
-    """res has 0 or 1 rows: left-join it to a 1-row table."""
-    one = df.sparkSession.range(1).select(F.lit(1).alias("__k"))
-    return one.join(res.withColumn("__k", F.lit(1)), "__k", "left").select(
-        F.coalesce(F.col(out), F.array_repeat(F.lit(None).cast("double"), k)).alias(out))
-
-
-def exact_quantile(df: DataFrame, column, prob: float, buckets: int = 64, out: str = "quantile") -> DataFrame:
+    v = df.select(*by, x.cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    cells = _cells(v, _sketches(v, probs, by, accuracy), probs, by, accuracy)
+    upto = Window.partitionBy(*by).orderBy("__x", "__gap").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = cells.withColumns({"__cum": F.sum("__c").over(upto), "__n": F.sum("__c").over(Window.partitionBy(*by))})
+    value = F.when(F.col("__gap") == 0, F.col("__x")).otherwise(
+        F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
+
+    def at(rank):  # rank r (0-based) lives in the cell with cum - count <= r < cum
+        return F.max(F.when((F.col("__cum") - F.col("__c") <= rank) & (rank < F.col("__cum")), value))
+
+    pos = [(F.col("__n") - 1) * p for p in probs]
+    got = ranked.groupBy(*by).agg(
+        F.max("__n").alias("__n"),
+        *[at(F.floor(p)).alias(f"__lo{i}") for i, p in enumerate(pos)],
+        *[at(F.ceil(p)).alias(f"__hi{i}") for i, p in enumerate(pos)])
+    between = [
+        F.when(F.ceil(p) == F.floor(p), F.col(f"__lo{i}")).otherwise(
+            (F.ceil(p) - p) * F.col(f"__lo{i}") + (p - F.floor(p)) * F.col(f"__hi{i}"))
+        for i, p in enumerate(pos)]
+    return got.select(*by, F.array(*between).alias(out))
+
+
+def _sketches(v: DataFrame, probs: list[float], by: list[str], accuracy: int) -> DataFrame:
+    """Pass 1: per group its rows, largest size and sketched values around each probability."""
+    m = MARGIN / accuracy
+    around = [min(1.0, max(0.0, q)) for p in probs for q in (p - m, p + m)]
+    size = F.abs("__v")
+    s = v.groupBy(*by).agg(F.count("__v").alias("__n"), F.percentile_approx("__v", around, accuracy).alias("__s"),
+                           F.max(F.when(size < float("inf"), size)).alias("__max"))
+    if not by:
+        return F.broadcast(s)  # one row by construction
+    return broadcast_if_small(s)
+
+
+def _cells(v: DataFrame, sketches: DataFrame, probs: list[float], by: list[str], accuracy: int) -> DataFrame:
+    """Pass 2: (by, __x, __gap, __c): rows of each bracketed value (__gap 0),
+    and of each gap (1), filed under the bracket end below it."""
+    m = MARGIN / accuracy
+    x, s = F.col("__v"), F.col("__s")
+
+    def slack(e):
+        return F.abs(e) * 1e-9 + F.coalesce("__max", F.lit(0.0)) * 1e-15
+
+    # NaN is above all values in Spark's order
+    low = [s[2 * i] - slack(s[2 * i]) if p - m > 0 else F.lit(float("-inf")) for i, p in enumerate(probs)]
+    high = [s[2 * i + 1] + slack(s[2 * i + 1]) if p + m < 1 else F.lit(float("nan")) for i, p in enumerate(probs)]
+    inside, below = F.col("__n") <= accuracy, [F.lit(float("-inf")), F.lit(float("-inf"))]
+    for lo, hi in zip(low, high):
+        inside = inside | ((lo <= x) & (x <= hi))
+        below.append(F.when(hi < x, hi))
+    j = v.join(sketches, by) if by else v.crossJoin(sketches)
+    return j.select(
+        *by, F.when(inside, x).otherwise(F.greatest(*below)).alias("__x"),
+        F.when(inside, 0).otherwise(1).alias("__gap")).groupBy(*by, "__x", "__gap").agg(F.count("*").alias("__c"))
+
+
+def exact_quantile(df: DataFrame, column, prob: float, out: str = "quantile") -> DataFrame:
     """1-row DataFrame with the single quantile as a double column."""
-    return exact_quantiles(df, column, [prob], buckets).select(F.col("quantiles")[0].alias(out))
+    return exact_quantiles(df, column, [prob]).select(F.col("quantiles")[0].alias(out))

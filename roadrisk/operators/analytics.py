@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bounded import broadcast_if_small
 from ..functions.quantiles import exact_quantile, exact_quantiles
 from ..functions.scalar import cut, cut_rank, flag, safe_div
 
@@ -228,19 +229,19 @@ def boxplot_stats(df: DataFrame, by: str, column: str, approx_accuracy: int | No
     """Q18: quartiles, 1.5 IQR whiskers and outlier count per group."""
     x = F.col(column).cast("double")
     base = df.filter(F.col(by).isNotNull()).select(by, x.alias("__x"))
-    n = base.groupBy(by).agg(F.count("__x").alias("n"))
-    q = _grouped_quartiles(base, "__x", [by], approx_accuracy, names=("q1", "median", "q3")).join(n, by)
+    q = _grouped_quartiles(base, "__x", [by], approx_accuracy, names=("q1", "median", "q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
          .withColumn("lo_fence", F.col("q1") - 1.5 * F.col("iqr")) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * F.col("iqr"))
-    # q has one row per group; AQE broadcasts it when it is small.
-    j = base.join(q.select(by, "lo_fence", "hi_fence"), by)
+    q = broadcast_if_small(q)  # one row per group
+    j = base.join(q, by)
     inside = (F.col("__x") >= F.col("lo_fence")) & (F.col("__x") <= F.col("hi_fence"))
-    w = j.groupBy(by).agg(
+    return j.groupBy(by, "q1", "median", "q3", "iqr").agg(
+        F.count("__x").alias("n"),
         F.min(F.when(inside, F.col("__x"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("__x"))).alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"))
-    return q.join(w, by).select(by, "q1", "median", "q3", "n", "iqr", "whisker_low", "whisker_high", "outliers")
+        F.count_if(~inside).alias("outliers")) \
+        .select(by, "q1", "median", "q3", "n", "iqr", "whisker_low", "whisker_high", "outliers")
 
 
 def above_quantile(df: DataFrame, column: str, q: float, approx_accuracy: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import exact_quantile
+from ..functions.quantiles import exact_quantiles
 from ..functions.scalar import clip_lower, flag, safe_div
 
 # Fixed values that must equal the reference.
@@ -254,7 +254,7 @@ def null_audit(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def median_impute(df: DataFrame, columns: list[str], approx_accuracy: int | None = None) -> DataFrame:
     """+-inf -> NULL, then NULL -> column median (exact, pandas linear
     interpolation; pass `approx_accuracy` for percentile_approx at scale).
-    The medians are one 1-row aggregate joined back with a broadcast."""
+    The medians of all columns are one 1-row aggregate joined back with a broadcast."""
     def clean(c):
         x = F.col(c).cast("double")
         return F.when(F.abs(x) == float("inf"), F.lit(None).cast("double")).otherwise(x)
@@ -262,11 +262,10 @@ def median_impute(df: DataFrame, columns: list[str], approx_accuracy: int | None
     cleaned = df.select(*[c for c in df.columns if c not in columns], *[clean(c).alias(c) for c in columns])
     if approx_accuracy:
         m = cleaned.agg(*[F.percentile_approx(c, 0.5, approx_accuracy).alias(f"__med_{c}") for c in columns])
-    else:  # exact and distributed, one 1-row table per column
-        m = None
-        for c in columns:
-            one = exact_quantile(cleaned, c, 0.5, out=f"__med_{c}")
-            m = one if m is None else m.crossJoin(one)
+    else:
+        pairs = F.array(*[F.struct(F.lit(c).alias("__column"), F.col(c).alias("__x")) for c in columns])
+        q = exact_quantiles(cleaned.select(F.inline(pairs)), "__x", [0.5], out="__q", by=["__column"])
+        m = q.agg(*[F.max(F.when(F.col("__column") == c, F.col("__q")[0])).alias(f"__med_{c}") for c in columns])
     d = cleaned.crossJoin(F.broadcast(m))
     return d.select(*[F.coalesce(F.col(c), F.col(f"__med_{c}")).alias(c) if c in columns else F.col(c)
                       for c in df.columns])

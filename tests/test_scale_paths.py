@@ -37,7 +37,7 @@ def test_scan_is_pruned_and_filters_pushed(spark):
     load_all()
     plan = QUERIES["trip_summary"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "props" in plan and "o_comment" not in plan
-    t = views.trips(spark, SF, materialize=False).filter(F.col("trip_date") >= "1997-01-01")
+    t = views.derive_trips(spark, SF).filter(F.col("trip_date") >= "1997-01-01")
     p = t._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in p
 
@@ -60,8 +60,36 @@ def test_exact_quantiles_equal_percentile(spark):
     df = spark.createDataFrame(rows, "x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.95, 1.0]
     want = df.agg(F.percentile("x", probs)).first()[0]
-    for buckets in (3, 64):
-        got = exact_quantiles(df, "x", probs, buckets=buckets).first()[0]
+    for accuracy in (20, 200, 10_000):
+        got = exact_quantiles(df, "x", probs, accuracy=accuracy).first()[0]
         assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
     empty = spark.createDataFrame([(None,)], "x double")
     assert exact_quantiles(empty, "x", [0.5]).first()[0] == [None]
+
+
+def test_grouped_quantiles_keep_only_bracketed_values(spark):
+    from roadrisk.functions.quantiles import _cells, _sketches, exact_quantiles
+    probs = [0.0, 0.1, 0.5, 0.95, 1.0]
+    # distinct values, ties, an own distribution per group, a group of nulls
+    df = spark.range(120_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "ties").otherwise("tail").alias("g"),
+        F.when(F.col("id") % 3 == 0, F.rand(5)).when(F.col("id") % 3 == 1, F.col("id") % 7)
+        .otherwise(F.exp(F.randn(6) * 4)).alias("x")).unionByName(
+        spark.createDataFrame([("none", None)], "g string, x double"))
+    df = df.checkpoint()
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("x", probs).alias("q")).collect() if r.q}
+    for accuracy in (100, 10_000):
+        got = {r.g: r.q for r in exact_quantiles(df, "x", probs, out="q", by=["g"], accuracy=accuracy).collect()}
+        assert got.keys() == want.keys()
+        for g in want:
+            assert all(abs(a - b) <= 1e-9 * max(1.0, abs(b)) for a, b in zip(got[g], want[g]))
+    small = df.filter("abs(hash(x)) % 500 = 0")
+    want = {r.g: r.q for r in small.groupBy("g").agg(F.percentile("x", probs).alias("q")).collect() if r.q}
+    got = {r.g: r.q for r in exact_quantiles(small, "x", probs, out="q", by=["g"]).collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) <= 1e-9 * max(1.0, abs(b)) for g in want for a, b in zip(got[g], want[g]))
+    v = df.select("g", F.col("x").alias("__v")).filter("x IS NOT NULL")
+    cells = _cells(v, _sketches(v, probs, ["g"], 10_000), probs, ["g"], 10_000)
+    assert cells.count() < 120_000 * 8 * len(probs) / 10_000 + 50
+    # the values meet their group's sketch by broadcast, not by a shuffle on the group
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
