@@ -48,5 +48,5 @@ def lit(x: float) -> str:
 
 
 def load_all() -> None:
-    from . import (q_analytics, q_drivers, q_features, q_models, q_readings, q_scoring,  # noqa: F401
+    from . import (q_analytics, q_drivers, q_features, q_json, q_models, q_readings, q_scoring,  # noqa: F401
                    q_streaming)
