@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT_CONFIG, ProcessingConfig
+from ..functions.ship import ship
 from ..operators.events import detect_events
 from ..operators.scoring import score_predictions
 from ..operators.trips import summary_columns, with_quality
@@ -97,6 +98,7 @@ def debounce_stream(flags: DataFrame, n: int, gap: str, watermark: str, key: str
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     spark = flags.sparkSession
+    ship(spark)
     gap_us = int(spark.range(1).select(F.expr(f"unix_micros(timestamp'2000-01-01' + INTERVAL {gap})")
                                        - F.expr("unix_micros(timestamp'2000-01-01')")).first()[0])
     out = T.StructType(flags.schema.fields + [T.StructField("phone_use", T.IntegerType())])
