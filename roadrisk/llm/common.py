@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship  # noqa: F401 (the operators take it from here)
 from ..sources.tables import checkpoint_dir, cut_lineage
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -23,24 +21,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, so that Python
-    workers find it whatever folder or path they start with."""
-    sc = spark.sparkContext
-    if getattr(sc, "_roadrisk_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = os.path.join(tempfile.mkdtemp(prefix="roadrisk-ship-"), "roadrisk.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for folder, _, names in os.walk(top):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    p = os.path.join(folder, n)
-                    z.write(p, os.path.join("roadrisk", os.path.relpath(p, top)))
-    sc.addPyFile(out)
-    sc._roadrisk_shipped = True
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
