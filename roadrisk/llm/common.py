@@ -21,6 +21,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` over the batches of a task, after which the worker, which Spark
+    keeps for later tasks and stages, gives its freed memory back."""
+    def whole(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not glibc
+                pass
+
+    return whole
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

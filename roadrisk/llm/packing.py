@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ship
+from .common import checkpoint, ship, tidy
 from .tokenize import encoder
 
 
-#: pieces of text whose ids a worker remembers (some 150 MB)
-KEEP = 700_000
+#: pieces of text whose ids a worker remembers (some 35 MB)
+KEEP = 150_000
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = 4096) -> DataFrame:
@@ -54,7 +54,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids binary")
+        tidy(run), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def sum_of_squares(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_group_stats, checkpoint, connected_components, drop_listed, ship
+from .common import attach_group_stats, checkpoint, connected_components, drop_listed, ship, tidy
 
 SEED = 42
 #: set bits of each byte value, lowest first
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, words_in_shingle: int = 4) -> DataFrame:
                 names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, fp long")
+        tidy(run), "doc_id long, fp long")
 
 
 def bit_moments(nodes: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -90,7 +90,7 @@ def bit_moments(nodes: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], names=["i", "x"])
 
     got = np.zeros(1 + 64 + 64 * 64)
-    for r in nodes.select("fp").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+    for r in nodes.select("fp").mapInArrow(tidy(run), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
         got[r.i] = r.x
     return int(got[0]), got[1:65], got[65:].reshape(64, 64)
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, running_starts, ship, shuffle_partitions, text_or_empty
+from .common import checkpoint, running_starts, ship, shuffle_partitions, text_or_empty, tidy
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -222,5 +222,5 @@ def mix(docs: DataFrame, block: int = 128, **how) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return j.select(*docs.columns, F.col("first").alias("__first"), F.col("times").alias("__times")).mapInArrow(run, ddl)
+    return j.select(*docs.columns, F.col("first").alias("__first"), F.col("times").alias("__times")).mapInArrow(tidy(run), ddl)
 
