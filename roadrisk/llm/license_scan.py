@@ -8,6 +8,12 @@ of a text (unknown sentences between them don't matter); the first rule that
 fits takes its identifiers away, so a longer rule stands before the shorter
 ones it contains. Known sentences that no rule takes are reported apart.
 
+Notices are wrapped in real files: a known sentence may go on over line breaks
+with their comment leaders (#, //, *, ;; and the like), though not over a blank
+line or an end mark. It starts where a line or a sentence starts and ends where
+one ends, so one-line notices without a full stop match too; where several
+start, the longest is taken. `oracle` says the same of unwrapped notices.
+
 A text without a known sentence costs one search for the key words that every
 known sentence holds one of.
 
@@ -20,7 +26,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
@@ -28,6 +34,9 @@ from .common import text_or_empty
 #: A sentence ends at a line break, or at . ! ? ; : before white space.
 SENTENCE_END = r"[\r\n]+|[.!?;:]+(?=\s)"
 NOT_A_WORD = r"[^a-z0-9]+"
+#: Whose name may not be used: any holder, also one whose name holds an end mark ('Inc.').
+HOLDER = r"(?<=[|\n])neither([ \n])the([ \n])name([ \n])of[ \n][a-z0-9 |\n]{1,200}?[ |\n]nor([ \n])the([ \n])names"
+ANY_HOLDER = "neither$1the$2name$3of the copyright holder nor$4the$5names"
 
 # Sentences of public licence notices, normalised when loaded.
 SENTENCES = {
@@ -62,6 +71,8 @@ SENTENCES = {
                  "following disclaimer",
     "BSDBinary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
                  "the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "BSDEndorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                  "promote products derived from this software without specific prior written permission",
     "BSDName": "Released under the BSD License",
     "MPL2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "CCBY": "Licensed under CC BY 4.0",
@@ -86,6 +97,7 @@ RULES = [
     ("GPL-2.0-or-later", ["GPLFree", "GPL2OrLater"]),
     ("GPL-3.0", ["GPL3Work"]),
     ("GPL-2.0", ["GPL2Work"]),
+    ("BSD-3-Clause", ["BSDGrant", "BSDSource", "BSDBinary", "BSDEndorse"]),
     ("BSD-2-Clause", ["BSDGrant", "BSDSource", "BSDBinary"]),
     ("BSD", ["BSDName"]),
     ("MPL-2.0", ["MPL2"]),
@@ -118,15 +130,30 @@ def sql_text(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def words_and_breaks(text: Column) -> Column:
+    """Normalised words with a space, a line break or | (an end mark) between
+    them; two breaks in a row are a blank line."""
+    t = F.regexp_replace(F.concat(F.lit("\n"), F.translate(F.lower(text), "|", ","), F.lit("\n")), r"\r\n?", "\n")
+    t = F.regexp_replace(t, r"(?<=\n)[\p{Punct} \t]+", "")  # comment leaders: their ; : ! . end nothing
+    t = F.regexp_replace(t, r"[.!?;:]+(?=\s)", "|")
+    t = F.regexp_replace(t, r"[^a-z0-9|\n]+", " ")
+    return F.regexp_replace(F.regexp_replace(t, r" ?([|\n]) ?", "$1"), HOLDER, ANY_HOLDER)
+
+
+def known_pattern(known: dict[str, str]) -> str:
+    """Matches known sentences in `words_and_breaks`, the longest first."""
+    longest = sorted(known, key=lambda s: (-len(s), s))
+    return r"(?<=[|\n])(?:" + "|".join(s.replace(" ", r"[ \n]") for s in longest) + r")(?=[|\n])"
+
+
 def license_matches(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
     """(doc_id, sentence_ids, licences, unmatched): arrays of strings, one row
     per row of ``docs``; licences in rule order, each as often as it matched."""
     known = known_sentences(sentences)
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     text = text_or_empty()
-    parts = F.split(text, SENTENCE_END)
-    norm = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), NOT_A_WORD, " ")))
-    ids = F.filter(F.transform(norm, lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull())
+    found = F.regexp_extract_all(words_and_breaks(text), F.lit(known_pattern(known)), F.lit(0))
+    ids = F.transform(found, lambda s: F.try_element_at(table, F.translate(s, "\n", " ")))
     low = F.lower(text)
     maybe = F.lit(False)
     for w in KEY_WORDS:

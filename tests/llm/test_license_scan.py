@@ -70,3 +70,87 @@ def test_sql_says_the_same(spark):
 
 def test_empty_table(spark):
     assert L.license_scan(cases.documents(spark, [])).count() == 0
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+APACHE = """Licensed under the Apache License, Version 2.0
+(the "License"); you may not use this file except in compliance
+with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version {} of the License, or
+(at your option) any later version."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """3. Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+WRAPPED = {
+    "MIT": MIT, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL.format(":", 3), "GPL-2.0-or-later": GPL.format(";", 2),
+    "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3.format("the copyright holder"),
+}
+
+
+def test_wrapped_notices_match_whole_under_any_comment_leader(spark):
+    rows, want = [], {}
+    for leader in ("", "# ", "// ", " * ", ";; ", "-- ", "! "):
+        for end in ("\n", "\r\n"):
+            for name, text in WRAPPED.items():
+                lines = "The header\n\n" + text + "\n\nint x = 1;"
+                want[len(rows)] = name
+                rows.append((len(rows), end.join((leader + x).rstrip() for x in lines.split("\n")), "en", "s", 1))
+    got = L.license_scan(cases.documents(spark, rows)).collect()
+    assert {r.doc_id: r.licences for r in got} == want and {r.unmatched for r in got} == {""}
+
+
+def test_bsd_3_clause_of_any_holder(spark):
+    holders = ["the copyright holder", "Google Inc.", "the University of\n   California, Berkeley", "[project]"]
+    rows = [(i, BSD3.format(h), "en", "s", 1) for i, h in enumerate(holders)]
+    assert [r.licences for r in L.license_scan(cases.documents(spark, rows)).collect()] == ["BSD-3-Clause"] * len(rows)
+
+
+def test_where_lines_join(spark):
+    texts = {
+        "Released under\nthe MIT License": "MIT",
+        "a title\nReleased under the MIT License\nint x": "MIT",
+        "a title\n# Released under the\n# MIT License\nint x": "MIT",
+        "Released under\n\nthe MIT License": "",
+        "# Released under\n#\n# the MIT License": "",
+        "Released under.\nthe MIT License": "",
+        "not Released under\nthe MIT License": "",
+        "Released under\nthe MIT License or not": "",
+        "x | Released under\nthe MIT License": "",
+        "Released under the MIT License\nLicensed under\nCC BY 4.0": "MIT,CC-BY-4.0",
+    }
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.licences for r in L.license_scan(cases.documents(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == list(texts.values())
