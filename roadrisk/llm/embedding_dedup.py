@@ -1,10 +1,11 @@
 """Embedding near-dedup by sorted projection passes.
 
 A pass gives every vector a code, the signs of its products with random
-directions, orders the vectors of a label lexicographically by code (range
-partitions, sorted within) and compares each with its neighbours in a bounded
-window. Passes with other directions bring other neighbours together; what
-they verify is united.
+directions, orders the vectors of a label lexicographically by code and
+compares each with its neighbours in a bounded window. Passes with other
+directions bring other neighbours together; what they verify is united. The
+window goes by the place in the label's whole order: blocks of places get the
+window before them along, so neither partitions nor blocks cut it.
 
 A dense group would need every pair of its members, more than a window holds.
 So the first passes gather classes: a vector within half the link angle of a
@@ -14,9 +15,17 @@ size-1 inner links need no pairs, and windows compare leaders only. Two
 classes whose leaders are near enough to hold a linked pair are compared
 member by member in blocks of bounded size; only counts leave a block.
 
+Two leaders meet for certain in a pass if their codes share the first
+log2(leaders / window) bits (directions in general position), each of which
+they share with probability 1 - angle / pi. So a label with more leaders gets
+more passes, as many as bring a pair at the link angle together with
+probability ``recall``; a label that fits one window gets one, which compares
+all its pairs.
+
 Cosines are computed in double precision. Links reported are verified; links
-missed are those whose classes never meet in a window (the test measures
-recall against brute force, and asks for 0.9 and more).
+missed are those whose classes never meet in a window (tests measure recall
+against brute force). Leaders crowded round one direction fill windows faster
+than the formula says.
 
 Edge cases: a vector that is null, empty, zero or has a null or non-finite
 component, or whose label is null, links with nothing (n_links 0, its own
@@ -32,10 +41,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_group_stats, checkpoint, connected_components, ship, shuffle_partitions
+from .common import attach_group_stats, checkpoint, connected_components, running_starts, ship, shuffle_partitions
 
 #: slack of the angle bounds, far above double rounding
 SLACK = 1e-9
@@ -69,11 +78,12 @@ def _sorted_pass(vectors: DataFrame, seed: int, bits: int) -> DataFrame:
     return coded.repartitionByRange(n, *key).sortWithinPartitions(*key)
 
 
-def _runs(frames, rows: int):
-    """Sorted frames cut into pieces of one (label, dim) and at most ``rows`` rows."""
+def _runs(frames, rows: int, keys=("label", "dim")):
+    """Sorted frames cut into pieces of equal ``keys`` and at most ``rows`` rows."""
+    keys = list(keys)
     for f in frames:
         if len(f):
-            new = (f["label"].ne(f["label"].shift()) | f["dim"].ne(f["dim"].shift())).cumsum()
+            new = f[keys].ne(f[keys].shift()).any(axis=1).cumsum()
             for _, part in f.groupby(new, sort=False):
                 for k in range(0, len(part), rows):
                     yield part.iloc[k:k + rows]
@@ -114,27 +124,71 @@ def gather_classes(vectors: DataFrame, cosine: float, seed: int, bits: int, wind
     return _sorted_pass(vectors, seed, bits).mapInPandas(run, "row long, leader long, near double")
 
 
-def near_classes(leaders: DataFrame, cosine: float, seed: int, bits: int, window: int) -> DataFrame:
-    """(a, b, c) with a < b: leaders in one window, c their cosine, near enough
-    for their classes to hold a linked pair."""
+def passes_needed(n: Column, radius: Column, cosine: float, window: int, least: int, recall: float) -> Column:
+    """Passes after which two linked members' leaders have met with probability
+    ``recall``, for ``n`` leaders of classes of at most ``radius``, whose members
+    lie off their leaders in unrelated directions."""
+    angle = F.acos(F.lit(cosine) * F.cos(radius) * F.cos(radius))
+    meet = F.pow(1 - angle / math.pi, F.log2(n / window))
+    more = F.ceil(math.log(1 - recall) / F.log1p(-meet)).cast("int")
+    return F.when(n <= window, F.lit(1)).otherwise(F.greatest(F.lit(least), more))
+
+
+def code_places(leaders: DataFrame, cosine: float, seed: int, bits: int, window: int, passes: int, recall: float) -> DataFrame:
+    """(pass, label, dim, row, n, place): each leader's place, from 0, in the code
+    order of its label and length, for every pass that these need."""
+    group = ["label", "dim"]
+    sized = attach_group_stats(leaders, group, {"n": (F.count("*"), F.sum), "most": (F.max("radius"), F.max)}, ["row"])
+    sized = sized.filter("n > 1").withColumn("passes", passes_needed(F.col("n"), F.col("most"), cosine, window, passes, recall))
+
+    def run(frames):
+        for f in frames:
+            for _, part in f.groupby("dim"):
+                x = _unit(part["embedding"])
+                for k in range(part["passes"].max()):
+                    own = (part["passes"] > k).to_numpy()
+                    out = part.loc[own, ["label", "dim", "row", "n"]]
+                    yield out.assign(code=_code(x[own], seed + k, bits)).assign(**{"pass": k})
+
+    label = leaders.schema["label"].dataType.simpleString()
+    coded = sized.select("label", "dim", "row", "n", "passes", "embedding").mapInPandas(
+        run, f"label {label}, dim int, row long, n long, code binary, pass int")
+    # the row number ends the order: copies with the same code may be parted
+    return running_starts(coded.withColumn("one", F.lit(1)), ["pass", *group], ["code", "row"], "one", "place") \
+        .select("pass", *group, "row", "n", "place")
+
+
+def near_classes(leaders: DataFrame, cosine: float, seed: int, bits: int, window: int, passes: int, recall: float) -> DataFrame:
+    """(a, b, c) with a < b: leaders in one window of a pass, c their cosine, near
+    enough for their classes to hold a linked pair."""
     link = math.acos(cosine) + SLACK
+    cut = 2 * window
+    key = ["pass", "label", "dim", "block"]
 
     def run(frames):
-        key = old = old_row = old_r = None
-        for part in _runs(frames, BLOCK):
-            here = (part["label"].iat[0], part["dim"].iat[0])
+        last = old = old_row = old_r = None
+        for part in _runs(frames, BLOCK, key):
+            here = tuple(part[k].iat[0] for k in key)
             x, rows = _unit(part["embedding"]), part["row"].to_numpy()
-            r = part["radius"].to_numpy()
-            if here != key:
-                key, old, old_row, old_r = here, np.empty((0, x.shape[1])), np.empty(0, np.int64), np.empty(0)
+            r, own = part["radius"].to_numpy(), part["own"].to_numpy()
+            if here != last:
+                last, old, old_row, old_r = here, np.empty((0, x.shape[1])), np.empty(0, np.int64), np.empty(0)
             both, both_row, both_r = np.concatenate([old, x]), np.concatenate([old_row, rows]), np.concatenate([old_r, r])
             s = x @ both.T
             limit = np.cos(np.minimum(math.pi, link + r[:, None] + both_r[None, :]))
-            i, j = np.nonzero((s >= limit) & (np.arange(len(both))[None, :] < len(old) + np.arange(len(x))[:, None]))
+            # rows of the block before compare there
+            i, j = np.nonzero((s >= limit) & own[:, None] & (np.arange(len(both))[None, :] < len(old) + np.arange(len(x))[:, None]))
             yield pd.DataFrame({"a": np.minimum(rows[i], both_row[j]), "b": np.maximum(rows[i], both_row[j]), "c": s[i, j]})
             old, old_row, old_r = both[-window:], both_row[-window:], both_r[-window:]
 
-    return _sorted_pass(leaders, seed, bits).mapInPandas(run, "a long, b long, c double")
+    block = F.floor(F.col("place") / cut).cast("long")
+    along = (F.col("place") % cut >= cut - window) & ((block + 1) * cut < F.col("n"))
+    dealt = code_places(leaders, cosine, seed, bits, window, passes, recall).select(
+        "pass", "label", "dim", "row", "place", F.explode(F.when(along, F.array(block, block + 1)).otherwise(F.array(block))).alias("block")) \
+        .withColumn("own", F.col("block") == block)
+    return dealt.join(leaders.select("row", "embedding", "radius"), "row") \
+        .repartition(shuffle_partitions(leaders.sparkSession), *key).sortWithinPartitions(*key, "place") \
+        .mapInPandas(run, "a long, b long, c double")
 
 
 def compare_members(pairs: DataFrame, members: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
@@ -160,8 +214,10 @@ def compare_members(pairs: DataFrame, members: DataFrame, classes: DataFrame, co
 
 
 def near_duplicate_vectors(df: DataFrame, cosine: float = 0.93, passes: int = 8, window: int = 512, bits: int = 64,
-                           seed: int = 7) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row per row of ``df``."""
+                           seed: int = 7, recall: float = 0.97) -> DataFrame:
+    """(vec_id, n_links, component_id, kept), one row per row of ``df``.
+
+    ``passes`` is the least number for a label that doesn't fit one window."""
     ship(df.sparkSession)
     e = F.col("embedding").cast("array<double>")
     # finite: a value less itself is 0, for NaN and infinities it isn't
@@ -180,10 +236,7 @@ def near_duplicate_vectors(df: DataFrame, cosine: float = 0.93, passes: int = 8,
     classes = checkpoint(member.groupBy("leader").agg(
         F.count("*").alias("size"), F.acos(F.least(F.lit(1.0), F.min("near"))).alias("radius")))
     leaders = checkpoint(vectors.join(classes, F.col("row") == F.col("leader")).select(*vectors.columns, "radius"))
-    met = None
-    for k in range(passes):
-        p = near_classes(leaders, cosine, seed + 1 + k, bits, window)
-        met = p if met is None else met.unionByName(p)
+    met = near_classes(leaders, cosine, seed + 1, bits, window, passes, recall)
     of = classes.select(F.col("leader"), F.col("size"), F.col("radius"))
     met = met.groupBy("a", "b").agg(F.max("c").alias("c")) \
         .join(of.toDF("a", "na", "ra"), "a").join(of.toDF("b", "nb", "rb"), "b")

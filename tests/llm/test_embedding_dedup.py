@@ -71,6 +71,45 @@ def test_small_windows_miss_links_but_make_none(spark):
     assert all(r.n_links <= max(want[r.vec_id]) for r in got.collect())
 
 
+def planted_pairs(n, dim=64, cosine=0.932, seed=5):
+    """2 n vectors of one label: each of n random directions with one at ``cosine`` to it."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal((n, dim))
+    y -= (x * y).sum(1)[:, None] * x
+    y *= math.sqrt(1 - cosine ** 2) / np.linalg.norm(y, axis=1)[:, None]
+    both = np.concatenate([x, cosine * x + y])
+    return [(i, v.tolist(), 1, "x", 1) for i, v in enumerate(both)]
+
+
+def test_passes_grow_with_the_leaders_of_a_label(spark):
+    n = 2000
+    df = spark.createDataFrame(planted_pairs(n), SCHEMA).repartition(3)
+    # 250 windows: two passes don't do
+    got = D.near_duplicate_vectors(df, passes=2, window=16).agg({"n_links": "sum"}).first()[0]
+    assert 0.95 * 2 * n <= got <= 2 * n
+
+
+def test_partitions_do_not_cut_windows(spark):
+    n = 1000
+    df = spark.createDataFrame(planted_pairs(n), SCHEMA).repartition(3)
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (2, 50):  # 50: ranges of some 40 rows, less than a window
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found.append(D.near_duplicate_vectors(df, window=64).agg({"n_links": "sum"}).first()[0])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] >= 0.97 * 2 * n
+
+
+def test_a_label_within_one_window_is_compared_whole(spark):
+    rows = planted_pairs(250)
+    got = D.near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA), passes=1)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
+
+
 @pytest.mark.parametrize("schema", [SCHEMA])
 def test_empty_table(spark, schema):
     assert D.near_duplicate_vectors(spark.createDataFrame([], schema)).count() == 0
