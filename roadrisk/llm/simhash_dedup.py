@@ -31,10 +31,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_group_stats, checkpoint, connected_components, drop_listed, ship, tidy
+from .common import attach_group_stats, checkpoint, connected_components, drop_listed, ship, text_or_empty, tidy
 
 SEED = 42
 #: set bits of each byte value, lowest first
@@ -61,19 +61,20 @@ def simhash(text: str | None, words_in_shingle: int) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words_in_shingle: int = 4) -> DataFrame:
-    """(doc_id, fp long), one row per row of ``docs``."""
+def fingerprints(docs: DataFrame, words_in_shingle: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long, columns to carry), one row per row of ``docs``."""
     ship(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             texts = b.column("text")
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([simhash(t.as_py(), words_in_shingle) for t in texts], pa.int64())],
-                names=["doc_id", "fp"])
+                [b.column("doc_id"), pa.array([simhash(t.as_py(), words_in_shingle) for t in texts], pa.int64()),
+                 *[b.column(c) for c in carry]],
+                names=["doc_id", "fp", *carry])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        tidy(run), "doc_id long, fp long")
+    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carry)
+    return d.mapInArrow(tidy(run), "doc_id long, fp long" + "".join(f", {c} {d.schema[c].dataType.simpleString()}" for c in carry))
 
 
 def bit_moments(nodes: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -200,24 +201,34 @@ def links(nodes: DataFrame, plan, distance: int) -> DataFrame:
         .select("a", "b").distinct()
 
 
+def component_lows(f: DataFrame, value: Column, distance: int) -> DataFrame:
+    """``f``, rows with a fingerprint, plus low: the smallest ``value`` of the row's component."""
+    nodes = checkpoint(f.groupBy("fp").agg(F.min(value).alias("low")))
+    roots = connected_components(links(nodes, plan_partitions(nodes, distance), distance))
+    low = checkpoint(roots.join(nodes, F.col("node") == F.col("fp")).select("node", "root", "low"))
+    # a component's smallest value, back on each of its nodes
+    low = attach_group_stats(low, ["root"], {"whole": (F.min("low"), F.min)}, ["node"]) \
+        .select(F.col("node").alias("fp"), "whole")
+    own = attach_group_stats(f, ["fp"], {"low": (F.min(value), F.min)}, ["doc_id"], lookup=low)
+    return own.select(*f.columns, F.coalesce("whole", "low").alias("low"))
+
+
 def near_duplicate_components(docs: DataFrame, words_in_shingle: int = 4, distance: int = 4) -> DataFrame:
     """(doc_id, fp long, component_id), one row per row of ``docs``."""
     f = checkpoint(fingerprints(docs, words_in_shingle))
-    nodes = checkpoint(f.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = connected_components(links(nodes, plan_partitions(nodes, distance), distance))
-    low = checkpoint(roots.join(nodes, F.col("node") == F.col("fp")).select("node", "root", "low"))
-    # a component's smallest id, back on each of its nodes
-    low = attach_group_stats(low, ["root"], {"component_id": (F.min("low"), F.min)}, ["node"]) \
-        .select(F.col("node").alias("fp"), "component_id")
-    own = attach_group_stats(f, ["fp"], {"low": (F.min("doc_id"), F.min)}, ["doc_id"], lookup=low)
-    return own.select("doc_id", "fp", F.coalesce("component_id", "low").alias("component_id"))
+    return component_lows(f, F.col("doc_id"), distance).withColumnRenamed("low", "component_id")
 
 
 def near_dedup(docs: DataFrame, words_in_shingle: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component.
-
-    Rows with a null doc_id stay. Only rows that a Bloom filter of the dropped
-    ids lets through shuffle."""
-    c = near_duplicate_components(docs, words_in_shingle, distance)
-    dropped = checkpoint(c.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"))
-    return drop_listed(docs, dropped, "doc_id")
+    """The rows of ``docs`` that are the first of their component by doc_id,
+    fingerprint and text: rows of one id are decided each by its own text.
+
+    Rows with a null doc_id stay, and so do rows equal in id and text to one
+    that stays (exact dedup leaves one of them). Only rows that a Bloom filter
+    of the dropped ones lets through shuffle."""
+    digest = F.unhex(F.sha2(F.concat(F.col("doc_id").cast("long").cast("string"), F.lit(":"), text_or_empty()), 256))
+    whole = docs.withColumn("__key", digest)  # null for a null id
+    f = checkpoint(fingerprints(whole, words_in_shingle, ("__key",)))
+    own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "fp", "__key"))
+    dropped = checkpoint(component_lows(f, own, distance).filter(own != F.col("low")).select("__key"))
+    return drop_listed(whole, dropped, "__key").select(*docs.columns)

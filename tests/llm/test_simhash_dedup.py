@@ -85,6 +85,14 @@ def test_near_dedup_keeps_the_smallest(spark):
     assert sorted((r.doc_id for r in S.near_dedup(cases.documents(spark)).collect()), key=repr) == kept
 
 
+def test_near_dedup_decides_rows_of_one_id_by_their_texts(spark):
+    some = lambda c: " ".join(f"{c}{j}" for j in range(300))
+    rows = [(0, some("w"), "en", "s", 1), (5, some("w").upper(), "en", "s", 1), (5, some("x"), "en", "s", 1),
+            (9, some("y"), "en", "s", 1), (9, some("y") + "  ", "en", "s", 1), (9, some("z"), "en", "s", 1), (10, some("x"), "en", "s", 1)]
+    got = sorted((r.doc_id, r.text.strip()) for r in S.near_dedup(cases.documents(spark, rows)).collect())
+    assert got == [(0, some("w")), (5, some("x")), (9, some("y")), (9, some("z"))]
+
+
 def test_empty_table(spark):
     docs = cases.documents(spark, [])
     assert S.near_duplicate_components(docs).count() == 0 and S.near_dedup(docs).count() == 0
