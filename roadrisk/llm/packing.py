@@ -30,8 +30,8 @@ from .common import checkpoint, ship, tidy
 from .tokenize import encoder
 
 
-#: pieces of text whose ids a worker remembers (some 35 MB)
-KEEP = 150_000
+#: pieces of text whose ids a worker remembers (some 50 MB)
+KEEP = 240_000
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = 4096) -> DataFrame:

@@ -5,8 +5,9 @@ space, so a text's ids are its pieces' ids, joined. Each worker keeps the ids
 of the pieces it has met. A new piece that is one word of Latin letters goes
 straight to the library's model (normaliser and pre-tokenizer would only map
 its characters, which a table taken from them does); any other piece goes
-through the whole tokenizer. Text that looks like a special token is ordinary
-text. Tests compare with the library's ids of whole texts.
+through the whole tokenizer. A text that holds an added token's string goes to
+the library whole, unless the encoder is ``plain``: then such strings are
+ordinary text. Tests compare with the library's ids of whole texts.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ _WIDE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205
 #: after a word, a run of these is one piece of its own for the pre-tokenizers
 _STOPS = string.punctuation
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple[str, int, bool], Encoder] = {}
 
 
 def _plain(word: str) -> bool:
@@ -42,7 +43,8 @@ def _runs_of_space(text: str) -> bool:
 
 class Known(dict):
     """Piece -> ids as bytes; a piece not met yet is encoded. ``lead``: what
-    stands before each piece in its text."""
+    stands before each piece in its text. Two generations: a piece of the old one
+    that is met again joins the young one, so words met once drive out no others."""
 
     def __init__(self, tokenizer, lead: str):
         from tokenizers.pre_tokenizers import ByteLevel
@@ -56,12 +58,20 @@ class Known(dict):
         #: ASCII letters stay, or are only lower-cased
         self.lowers = self.table[ord("A")] == "a"
         self.stops: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, piece: str) -> bytes:
+        out = self.old.get(piece)
+        if out is None:
+            out = self._new(piece)
+        self[piece] = out
+        return out
+
+    def _new(self, piece: str) -> bytes:
         word = piece.rstrip(_STOPS)
         if not word or not _plain(word):
             out = self._whole(self.lead + piece)
@@ -76,27 +86,31 @@ class Known(dict):
             out = self[word.lower()]
         else:
             out = self._model(word)
-        self[piece] = out
         return out
 
     def _model(self, word: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(self.mapped_lead + word)]
         return pack(f"<{len(ids)}I", *ids)
 
-    def clear(self) -> None:
-        super().clear()
+    def turn(self) -> None:
+        """The young generation becomes the old one, the old one is forgotten."""
+        self.old = dict(self)
+        self.clear()
         self.stops.clear()
 
 
 class Encoder:
     """A tokenizer file and the ids of the pieces met so far (at most ``keep`` of
-    them outlive a call, which bounds a worker's memory)."""
+    them outlive a call, which bounds a worker's memory). ``plain``: the strings
+    of added tokens are ordinary text."""
 
-    def __init__(self, path: str, keep: int = 1_200_000):
+    def __init__(self, path: str, keep: int = 1_200_000, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         t = self.tokenizer = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        t.encode_special_tokens = plain
+        #: strings that the library looks for in the whole text (some of them after lower-casing it)
+        self.added = [] if plain else [a.content.lower() for a in t.get_added_tokens_decoder().values()]
         #: white space gives no ids, so pieces are the words alone
         self.words_only = not t.encode(" ", add_special_tokens=False).ids
         self.keep, self.bare = keep, Known(t, "")
@@ -105,9 +119,12 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers."""
         bare, led = self.bare, self.led
-        if len(bare) + len(led) > self.keep:
-            bare.clear()
-            led.clear()
+        if len(bare) + (led is not bare and len(led)) > self.keep // 2:
+            bare.turn()
+            if led is not bare:
+                led.turn()
+        if self.added and any(a in low for low in [text.lower()] for a in self.added):
+            return bare._whole(text)
         if self.words_only:
             # the separators \x1c-\x1f aren't white space for the pre-tokenizers
             odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
@@ -127,7 +144,7 @@ class Encoder:
         return [self.ids(t) for t in texts]
 
 
-def encoder(path: str, keep: int = 1_200_000) -> Encoder:
-    if (path, keep) not in _encoders:
-        _encoders[path, keep] = Encoder(path, keep)
-    return _encoders[path, keep]
+def encoder(path: str, keep: int = 1_200_000, plain: bool = False) -> Encoder:
+    if (path, keep, plain) not in _encoders:
+        _encoders[path, keep, plain] = Encoder(path, keep, plain)
+    return _encoders[path, keep, plain]

@@ -1,9 +1,11 @@
+import functools
 import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from roadrisk.llm import packing, token_store
 from roadrisk.llm.queries import tokenizer_file
@@ -16,8 +18,14 @@ ODD = ["", " ", "  ", "\t", "\n", " a", "a ", "a  b", "a\n b", "a \nb", "don't",
        "é", "é", " ́", "ΑΣ", "日本", "İ", "ŉ", "ſ", "ª", "ǅ", "١2", "…", "!!", "w.,;", ".", "K", "\x85", "👍🏽", "ǆ.", "À,"]
 
 
-def whole(enc, text):
-    return np.array(enc.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+@functools.cache
+def fresh(name):
+    return Tokenizer.from_file(tokenizer_file(name))
+
+
+def whole(name, text):
+    """Ids by a tokenizer that the library under test never touched."""
+    return np.array(fresh(name).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @pytest.mark.parametrize("name", FILES)
@@ -26,7 +34,30 @@ def whole(enc, text):
 def test_pieces_give_the_ids_of_the_whole_text(name, parts):
     text = "".join(parts).encode("utf-8", "ignore").decode()
     enc = encoder(tokenizer_file(name))
-    assert enc.ids(text) == whole(enc, text)
+    assert enc.ids(text) == whole(name, text)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_added_tokens_are_the_librarys(name):
+    enc, plain = encoder(tokenizer_file(name)), encoder(tokenizer_file(name), plain=True)
+    for a in fresh(name).get_added_tokens_decoder().values():
+        for text in (f"hello {a.content} world", a.content, f"x{a.content}{a.content.upper()} \n{a.content}y"):
+            assert enc.ids(text) == whole(name, text)
+        text = f"hello {a.content} world"
+        assert plain.ids(text) != whole(name, text)
+    other = Tokenizer.from_file(tokenizer_file(name))
+    other.encode_special_tokens = True
+    assert plain.ids("hello <|endoftext|> you") == np.array(other.encode("hello <|endoftext|> you", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_words_met_once_drive_out_no_others():
+    enc = encoder(tokenizer_file(FILES[1]), keep=200)
+    calls = []
+    new = enc.bare._new
+    enc.bare._new = lambda piece: (calls.append(piece), new(piece))[1]
+    for i in range(400):
+        enc.ids(f"hot words stay once{i} only{i}")
+    assert calls.count("hot") == calls.count("stay") == 1 and len(enc.bare) + len(enc.bare.old) <= 210
 
 
 @pytest.mark.parametrize("name", FILES)
@@ -34,16 +65,15 @@ def test_given_documents_and_a_small_table(name):
     import pyarrow.parquet as pq
     small = encoder(tokenizer_file(name), keep=50)
     for t in pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist():
-        assert small.ids(t) == whole(small, t)
+        assert small.ids(t) == whole(name, t)
 
 
 def expected(rows, name, end_id):
-    enc = encoder(tokenizer_file(name))
-    return [(r[0], whole(enc, r[1] or "") + np.uint32(end_id).tobytes()) for r in rows]
+    return [(r[0], whole(name, r[1] or "") + np.uint32(end_id).tobytes()) for r in rows]
 
 
 def test_store_round_trip(spark, tmp_path):
-    rows = [r for r in cases.texts() if r[0] is not None]
+    rows = [r for r in cases.texts() if r[0] is not None] + [(300, "hello <|endoftext|> world", "en", "b", 1)]
     path = str(tmp_path / "store")
     got = token_store.token_digests(cases.documents(spark, rows), path, tokenizer_file(FILES[0])).collect()
     want = sorted(((d, len(i) // 4, zlib.crc32(i)) for d, i in expected(rows, FILES[0], 2)))
@@ -93,7 +123,7 @@ def check_packing(got, rows, limit=4096):
 
 
 def test_packing(spark):
-    rows = cases.texts()
+    rows = [*cases.texts(), (300, "a <|startoftext|> b <|ENDOFTEXT|> c <|endoftext|>", "en", "b", 1)]
     got = packing.packed_documents(cases.documents(spark, rows), tokenizer_file(FILES[1])).collect()
     n = check_packing(got, rows)
     assert n <= -(-sum(r.length for r in got) // 4096) + 1
