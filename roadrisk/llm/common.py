@@ -21,6 +21,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def few_rows(size: int) -> dict[str, int]:
+    """Options of a Parquet writer for very wide rows: row groups of about ``size``
+    bytes however few rows that is, so that a reader holds few at a time."""
+    return {"parquet.block.size": size, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}
+
+
 def tidy(run: Callable) -> Callable:
     """``run`` over the batches of a task, after which the worker, which Spark
     keeps for later tasks and stages, gives its freed memory back."""
