@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import (embedding_dedup, exact_dedup, license_scan, packing, pii_crf, quality_rank, secret_scan, simhash_dedup,
-               source_mix, token_alignment, token_store, vector_codes)
+               source_mix, substring_dedup, token_alignment, token_store, vector_codes)
 from .common import shared_path
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -74,9 +74,13 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digests(documents(spark, sf_dir), length=400)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_exact_dedup, op2_embedding_near_dedup, op3_license_scan, op4_pii_crf, op5_source_mix, op6_secret_scan,
-    op7_simhash_near_dedup, op8_token_store, op9_best_fit_packing, op10_quality_ranking, op11_token_alignment, op12_vector_codes)}
+    op7_simhash_near_dedup, op8_token_store, op9_best_fit_packing, op10_quality_ranking, op11_token_alignment, op12_vector_codes, op13_substring_dedup)}
 
 ORACLES = {
     "op1_exact_dedup": f"""
