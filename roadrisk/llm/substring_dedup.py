@@ -20,8 +20,9 @@ follows the trigger (the parse).
    the starts' corpus order, and starts that fall together in it are repeated.
    A key that more than `hot` classes share is spread instead: its starts meet by
    the hash of their whole string.
-4. Starts without a trigger within reach (runs of one character, say) meet by the
-   hash of their string from the beginning.
+4. Starts without a trigger within reach (periodic text, say) meet by the hash of
+   their string from the beginning. A document lists each such string once, with how
+   often it holds it, and the starts of those that it holds twice or more.
 
 Documents without repeated starts pass straight on; only others, found by a Bloom
 filter of bounded size, are joined with their spans.
@@ -114,10 +115,12 @@ def _phrases(data: bytes, sizes: np.ndarray, shape: Shape):
 
 
 def phrase_hashes(docs: DataFrame, shape: Shape) -> DataFrame:
-    """(id, th, phrases: array of (place, starts, key, class)): documents that hold a start."""
+    """(id, th, phrases: array of (place, starts, times, key, class), known: array of (low, high)):
+    documents that hold a start; known: runs of starts that the document itself repeats."""
     ship(docs.sparkSession)
-    each = pa.struct([("place", pa.int32()), ("starts", pa.int32()), ("key", pa.int64()), ("class", pa.int64())])
-    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("phrases", pa.list_(each))])
+    each = pa.struct([("place", pa.int32()), ("starts", pa.int32()), ("times", pa.int32()), ("key", pa.int64()), ("class", pa.int64())])
+    run_ = pa.struct([("low", pa.int32()), ("high", pa.int32())])
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("phrases", pa.list_(each)), ("known", pa.list_(run_))])
     common, whole, length = shape.length - shape.reach, shape.length, shape.length
 
     def run(batches):
@@ -144,17 +147,40 @@ def phrase_hashes(docs: DataFrame, shape: Shape) -> DataFrame:
                     else:
                         s = data[g:g + length]
                         key[i], cls[i] = h(s, 2), h(s, 0)
+                keep, times, runs = _once(found, cls)
+                found, key, cls = found[keep], key[keep], cls[keep]
+                begins = ends - size
+                place = found[:, 1] - begins[found[:, 0]]
                 n = np.bincount(found[:, 0], minlength=to - at)
                 rows = np.flatnonzero(n)
-                place = found[:, 1] - (ends - size)[found[:, 0]]
-                values = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(np.maximum(found[:, 2], 1), pa.int32()),
+                values = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(np.maximum(found[:, 2], 1), pa.int32()), pa.array(times, pa.int32()),
                                                      pa.array(key.view(np.int64)), pa.array(cls.view(np.int64))], fields=list(each))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[rows])]), pa.int32()), values)
+                known = pa.StructArray.from_arrays([pa.array(runs[:, i] - begins[runs[:, 0]], pa.int32()) for i in (1, 2)], fields=list(run_))
+                n_known = np.bincount(runs[:, 0], minlength=to - at)
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(x[rows])]), pa.int32()), v)
+                         for x, v in ((n, values), (n_known, known))]
                 take = pa.array(rows + at)
-                yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("th").take(take), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("th").take(take), *lists], schema=schema)
                 at = to
 
-    return docs.mapInArrow(tidy(run), "id long, th long, phrases array<struct<place int, starts int, key long, class long>>")
+    return docs.mapInArrow(tidy(run), "id long, th long, phrases array<struct<place int, starts int, times int, key long, class long>>, known array<struct<low int, high int>>")
+
+
+def _once(found: np.ndarray, cls: np.ndarray):
+    """Of `_phrases` rows in order: (those that stay, so that a string without trigger stands once per
+    document; how often the document holds each; runs (document, low, high) of strings it holds again)."""
+    at = np.flatnonzero(found[:, 2] == 0)
+    at = at[np.lexsort((at, cls[at], found[at, 0]))]
+    doc, c = found[at, 0], cls[at]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (c[1:] != c[:-1])])) if len(at) else at
+    n = np.diff(np.append(new, len(at)))
+    times = np.where(found[:, 2] > 0, 1, 0)
+    times[at[new]] = n
+    again = found[np.sort(at[np.repeat(n > 1, n)])]
+    edge = np.flatnonzero(np.concatenate([[True], (np.diff(again[:, 0]) != 0) | (np.diff(again[:, 1]) != 1)])) if len(again) else np.empty(0, np.int64)
+    runs = np.stack([again[edge, 0], again[edge, 1], again[np.append(edge, len(again))[1:] - 1, 1]], 1)
+    keep = np.flatnonzero(times)
+    return keep, times[keep], runs
 
 
 # --- the order of starts in a share -------------------------------------------
@@ -248,15 +274,16 @@ def repeated_spans(docs: DataFrame, path: str, shape: Shape, hot: int = 512) ->
     """(id, th, spans: array of (low, high)): repeated starts of documents (id, th, text)."""
     spark = docs.sparkSession
     phrase_hashes(docs, shape).write.parquet(f"{path}/phrases")
-    rows = spark.read.parquet(f"{path}/phrases").select("id", "th", F.explode("phrases").alias("p")) \
-        .select("id", "th", "p.place", "p.starts", "p.key", F.col("p.class").alias("cls"))
+    phrases = spark.read.parquet(f"{path}/phrases")
+    rows = phrases.select("id", "th", F.explode("phrases").alias("p")) \
+        .select("id", "th", "p.place", "p.starts", "p.times", "p.key", F.col("p.class").alias("cls"))
     # 1: a key of one trigger alone repeats nothing
-    shared = attach_group_stats(rows, ["key"], {"n_key": (F.count(F.lit(1)), F.sum), "lowest": (F.min("cls"), F.min), "highest": (F.max("cls"), F.max)},
+    shared = attach_group_stats(rows, ["key"], {"n_key": (F.sum("times"), F.sum), "lowest": (F.min("cls"), F.min), "highest": (F.max("cls"), F.max)},
                                 ["id", "th", "place"]).filter("n_key > 1")
-    shared.select("id", "th", "place", "starts", "key", "cls", (F.col("lowest") != F.col("highest")).alias("several")).write.parquet(f"{path}/shared")
+    shared.select("id", "th", "place", "starts", "times", "key", "cls", (F.col("lowest") != F.col("highest")).alias("several")).write.parquet(f"{path}/shared")
     # 2: occurrences of each class
     here = F.struct("id", "th", "place")
-    classes = attach_group_stats(spark.read.parquet(f"{path}/shared"), ["key", "cls"], {"n": (F.count(F.lit(1)), F.sum), "first": (F.min(here), F.min)},
+    classes = attach_group_stats(spark.read.parquet(f"{path}/shared"), ["key", "cls"], {"n": (F.sum("times"), F.sum), "first": (F.min(here), F.min)},
                                  ["id", "th", "place"])
     classes.withColumn("is_first", F.col("first") == here).drop("first").filter("n > 1 or several").write.parquet(f"{path}/classes")
     classes = spark.read.parquet(f"{path}/classes")
@@ -276,7 +303,8 @@ def repeated_spans(docs: DataFrame, path: str, shape: Shape, hot: int = 512) ->
     warm = warm.filter(f"octet_length(left) >= d and octet_length(right) >= {shape.length} - d") \
         .select("id", "th", (F.col("place") - F.col("d")).alias("low"), "n", F.xxhash64(string).alias("h1"), F.xxhash64(F.lit(1), string).alias("h2"))
     warm = attach_group_stats(warm, ["h1", "h2"], {"times": (F.count(F.lit(1)), F.sum)}, ["id", "th", "low"]).filter("times > 1 and n = 1")
-    spans = whole.unionByName(cool).unionByName(warm.select("id", "th", "low", F.col("low").alias("high")))
+    known = phrases.select("id", "th", F.explode("known").alias("k")).select("id", "th", "k.low", "k.high")
+    spans = whole.unionByName(known).unionByName(cool).unionByName(warm.select("id", "th", "low", F.col("low").alias("high")))
     spans.groupBy("id", "th").agg(F.collect_list(F.struct("low", "high")).alias("spans")).write.parquet(f"{path}/spans")
     return spark.read.parquet(f"{path}/spans")
 
