@@ -41,7 +41,7 @@ from .tokenize import encoder
 #: bytes of text in a block (a longer text is a block alone)
 BLOCK_BYTES = 2 << 20
 #: pieces of text whose ids a worker remembers, per tokenizer
-KEEP = 160_000
+KEEP = 400_000
 
 _models: dict[str, Pieces] = {}
 
@@ -61,31 +61,53 @@ class Pieces:
         self.entries = pa.array([bytes.fromhex(byte.fullmatch(p)[1]) if m.is_byte(i) else b"" if m.is_control(i) else p.replace("▁", " ").encode()
                                  for i, p in enumerate(names)], pa.binary())
         self.cuts = m.encode("a") == m.encode("a ")[:len(m.encode("a"))] and not any("\n" in p or "▁" in p.lstrip("▁") for p in names)
-        self.keep, self.young, self.old = keep, {}, {}
-        self.break_ids = m.encode("\n")
+        self.keep, self.break_ids = keep, m.encode("\n")
+        # encode puts a space before its text; after a line break none is wanted
+        self.led = _Met(lambda word: m.encode(word) if word else self.break_ids[:-1])
+        self.bare = _Met(lambda word: m.encode("\n" + word)[len(self.break_ids):])
 
-    def _piece(self, piece: str) -> bytes:
+    def ids(self, text: str) -> bytes:
+        """Ids of a text, as little-endian unsigned 32-bit integers."""
+        if not self.cuts or not text or "\0" in text or "▁" in text:
+            ids = self.model.encode(text)
+            return pack(f"<{len(ids)}I", *ids)
+        led, bare = self.led, self.bare
+        if len(led) + len(bare) > self.keep // 2:
+            led.turn()
+            bare.turn()
+        if any(x in text for x in ("  ", " \n", "\n ")) or text[0] == " " or text[-1] == " ":
+            return b"".join([led[p[1:]] if p[0] == " " else bare[p] for p in _PIECE.findall(" " + text)])
+        out = []
+        for i, line in enumerate(text.split("\n")):
+            first, *rest = line.split(" ")
+            if not i:
+                out.append(led[first])
+            else:
+                out.append(bare["\n"])
+                if first:
+                    out.append(bare[first])
+            out.extend(map(led.__getitem__, rest))
+        return b"".join(out)
+
+
+class _Met(dict):
+    """Piece -> its ids as bytes, in two generations: see `tokenize.Known`."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
         if out is None:
-            # encode puts a space before its text; after a line break none is wanted
-            if piece == " ":
-                ids = self.break_ids[:-1]
-            elif piece[0] == " ":
-                ids = self.model.encode(piece[1:])
-            else:
-                ids = self.model.encode("\n" + piece)[len(self.break_ids):]
+            ids = self.encode(piece)
             out = pack(f"<{len(ids)}I", *ids)
-        self.young[piece] = out
+        self[piece] = out
         return out
 
-    def ids(self, text: str) -> bytes:
-        if not self.cuts or not text or "\0" in text or "▁" in text:
-            ids = self.model.encode(text)
-            return pack(f"<{len(ids)}I", *ids)
-        if len(self.young) > self.keep // 2:
-            self.young, self.old = {}, self.young
-        young, piece = self.young, self._piece
-        return b"".join([young.get(p) or piece(p) for p in _PIECE.findall(" " + text)])
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
 
 _PIECE = re.compile(r" +[^ \n]*|\n|[^ \n]+")
@@ -120,7 +142,7 @@ class Aligner:
                 ids[0].append(b"")
                 ids[1].append(b"")
                 continue
-            ids[0].append(self.a.ids(" " + t))
+            ids[0].append(self.a.ids(t, lead=True))
             ids[1].append(self.b.ids(t))
         lists = [_lists(x) for x in ids]
         want = ["" if not t else " " + t for t in texts]

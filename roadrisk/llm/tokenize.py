@@ -116,27 +116,27 @@ class Encoder:
         self.keep, self.bare = keep, Known(t, "")
         self.led = self.bare if self.words_only else Known(t, " ")
 
-    def ids(self, text: str) -> bytes:
-        """Ids of a text, as little-endian unsigned 32-bit integers."""
+    def ids(self, text: str, lead: bool = False) -> bytes:
+        """Ids of a text (``lead``: of a space and the text), as little-endian unsigned 32-bit integers."""
         bare, led = self.bare, self.led
         if len(bare) + (led is not bare and len(led)) > self.keep // 2:
             bare.turn()
             if led is not bare:
                 led.turn()
         if self.added and any(a in low for low in [text.lower()] for a in self.added):
-            return bare._whole(text)
+            return bare._whole(" " + text if lead else text)
         if self.words_only:
             # the separators \x1c-\x1f aren't white space for the pre-tokenizers
             odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
             return b"".join(map(bare.__getitem__, _WORD.findall(text) if odd else text.split()))
-        if _runs_of_space(text):
-            return b"".join(map(bare.__getitem__, _PIECE.findall(text)))
+        if _runs_of_space(text) or lead and (not text or text[0].isspace()):
+            return b"".join(map(bare.__getitem__, _PIECE.findall(" " + text if lead else text)))
         out, line_break = [], bare["\n"]
         for i, line in enumerate(text.split("\n")):
             if i:
                 out.append(line_break)
             first, *rest = line.split(" ")
-            out.append(bare[first])
+            out.append(led[first] if lead and not i else bare[first])
             out.extend(map(led.__getitem__, rest))
         return b"".join(out)
 
