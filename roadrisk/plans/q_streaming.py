@@ -1,6 +1,6 @@
 """Streaming queries (X1-X5): each runs a Structured Streaming query to
-completion (availableNow) over the driver's files, closes the input so that
-the last windows and sessions come out too, and returns the sink table."""
+completion (availableNow) over the driver's files and returns all of its windows
+or sessions, those still open among them."""
 
 from __future__ import annotations
 
@@ -29,12 +29,8 @@ def _out(spark, name):
     return os.path.join(base, "streams", f"{name}-{uuid.uuid4().hex[:8]}")
 
 
-def _readings_stream(spark, sf, out):
-    """(stream of readings, what closes it)."""
-    ev = X.stream_source(spark, os.path.join(sf, "events.parquet"), X.EVENTS_SCHEMA)
-    r = views.readings_from_events(ev)
-    folder = os.path.join(out, "end")
-    return X.with_end(r, folder), lambda: X.end_input(r, folder, "timestamp")
+def _readings_stream(spark, sf):
+    return views.readings_from_events(X.stream_source(spark, os.path.join(sf, "events.parquet"), X.EVENTS_SCHEMA))
 
 
 SESSIONS_SQL = "WITH " + READINGS.strip().replace("readings AS (", "src AS (", 1) + """,
@@ -52,10 +48,8 @@ readings AS (
     "FROM chk", ", start_time AS session_start, end_time + INTERVAL 1 DAY AS session_end FROM chk") + f"\nWHERE {VALID} = 0")
 def q_stream_trip_summary(spark, sf):
     """Device sessions (1 day silence gap on this data) -> trip summaries."""
-    out = _out(spark, "trip_summary")
-    r, end = _readings_stream(spark, sf, out)
-    s = X.stream_trip_summary(r, TESTDATA_CONFIG, gap="1 day", watermark="1 day")
-    return rounded(X.run_to_table(s, out, end=end))
+    return rounded(X.stream_trip_summary(_readings_stream(spark, sf), _out(spark, "trip_summary"), TESTDATA_CONFIG,
+                                         gap="1 day", watermark="1 day"))
 
 
 @register("stream_event_counts", with_views("readings") + "," + FLAGS_SQL + """
@@ -65,11 +59,25 @@ SELECT date_trunc('hour', "timestamp") AS window_start, date_trunc('hour', "time
   CAST(sum(speeding) AS BIGINT) AS speeding
 FROM flags GROUP BY 1, 2""")
 def q_stream_event_counts(spark, sf):
-    """Event counts per 1-hour tumbling window (watermark 1 hour)."""
-    out = _out(spark, "event_counts")
-    r, end = _readings_stream(spark, sf, out)
-    s = X.stream_event_counts(r, TESTDATA_CONFIG, window="1 hour", watermark="1 hour")
-    return X.run_to_table(s, out, end=end)
+    """Event counts per 1-hour tumbling window."""
+    return X.stream_event_counts(_readings_stream(spark, sf), _out(spark, "event_counts"), TESTDATA_CONFIG, window="1 hour")
+
+
+@register("stream_event_counts_sliding", with_views("readings") + "," + FLAGS_SQL + """,
+k AS (SELECT unnest([0, 1, 2, 3]) AS back),
+w AS (
+  SELECT time_bucket(INTERVAL 15 MINUTES, "timestamp", TIMESTAMP '1970-01-01') - back * INTERVAL 15 MINUTES AS window_start, flags.*
+  FROM flags CROSS JOIN k
+)
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end,
+  count(*) AS readings, CAST(sum(harsh_brake) AS BIGINT) AS harsh_brake, CAST(sum(harsh_accel) AS BIGINT) AS harsh_accel,
+  CAST(sum(sharp_corner) AS BIGINT) AS sharp_corner, CAST(sum(phone_raw) AS BIGINT) AS phone_raw,
+  CAST(sum(speeding) AS BIGINT) AS speeding
+FROM w GROUP BY 1, 2""")
+def q_stream_event_counts_sliding(spark, sf):
+    """Event counts per hour, a window every 15 minutes."""
+    return X.stream_event_counts(_readings_stream(spark, sf), _out(spark, "event_counts_sliding"), TESTDATA_CONFIG,
+                                 window="1 hour", slide="15 minutes")
 
 
 @register("stream_score", rnd(with_views("scored") + "," + PRED_SQL + """
@@ -101,7 +109,4 @@ def q_stream_monitor(spark, sf):
     o = X.stream_source(spark, os.path.join(sf, "orders.parquet"), spark.createDataFrame([], ORDERS_SCHEMA).schema)
     pred = views.scored(spark, sf, orders=o)
     base = baseline_stats(views.scored(spark, sf))
-    out = _out(spark, "monitor")
-    folder = os.path.join(out, "end")
-    s = X.stream_monitor(X.with_end(pred, folder), base)
-    return rounded(X.run_to_table(s, out, end=lambda: X.end_input(pred, folder, "trip_date")))
+    return rounded(X.stream_monitor(pred, base, _out(spark, "monitor")))

@@ -2,24 +2,26 @@
 operators.
 
 Row-count windows do not exist on streams, so a closed trip is a session of
-one device (silence gap), and the phone debounce runs in a per-device
-stateful operator holding only the current run length and last event time.
-All aggregates are watermarked; sinks are files in the cluster's shared folder
-with a checkpoint location next to them, so a restarted query resumes
-exactly once. ``foreachBatch`` writes are keyed by batch id (idempotent).
+one device (silence gap). Every micro-batch lands in ``foreachBatch`` under its
+batch id (a replayed batch overwrites the same folders): window counts as
+partial aggregates that add up on reading, readings of open sessions as a table
+that the next micro-batch takes up. What is open when a query stops is folded on
+reading and stays open, so that the query can go on whenever more input
+comes. All folders are in the cluster's shared storage, next to the checkpoint.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT_CONFIG, ProcessingConfig
-from ..functions.ship import ship
-from ..operators.events import detect_events
+from ..operators.events import debounce_phone, detect_events
 from ..operators.scoring import score_predictions
 from ..operators.trips import summary_columns, with_quality
 
@@ -57,63 +59,34 @@ def _debounced_count(pairs: Column, n: int) -> Column:
     return F.aggregate(pairs, init, step, lambda acc: acc["hits"])
 
 
-def _run_lengths(flags, resets, run0):
-    """Vectorised run length of consecutive 1-flags, restarting at `resets`,
-    continuing a run of length `run0` carried in from earlier rows."""
-    import numpy as np
-
-    idx = np.arange(len(flags))
-    prev = np.concatenate([[1 if run0 > 0 else 0], flags[:-1]])
-    start = (flags == 1) & ((prev == 0) | resets)
-    start_idx = np.maximum.accumulate(np.where(start, idx, -1))
-    run = np.where(start_idx >= 0, idx - start_idx + 1, idx + 1 + run0)
-    return np.where(flags == 1, run, 0)
-
-
-def _debounce_state_fn(n: int, gap_us: int):
-    def fn(key, pdfs, state):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("reading_seq", kind="stable")
-        ts = pdf["timestamp"].to_numpy().astype("datetime64[us]").astype(np.int64)
-        run0, last = (state.get if state.exists else (0, None))
-        prev_ts = np.concatenate([[ts[0] if last is None else last], ts[:-1]])
-        resets = (ts - prev_ts) >= gap_us
-        run0 = 0 if (last is not None and ts[0] - last >= gap_us) else run0
-        run = _run_lengths(pdf["phone_raw"].to_numpy(), resets, run0)
-        state.update((int(run[-1]), int(ts[-1])))
-        yield pdf.assign(phone_use=(run >= n).astype("int32"))
-
-    return fn
-
-
-def debounce_stream(flags: DataFrame, n: int, gap: str, watermark: str, key: str = "device_id") -> DataFrame:
-    """E5 on a stream with O(1) state per device: the current run length of
-    phone flags and the last event time (runs restart after a session gap).
-    No state timeout (an event-time timeout would make the operator emit rows
-    behind the global watermark): state is two numbers per device ever seen.
-    Rows are ordered by reading_seq inside each micro-batch; a device's rows
-    that arrive out of order across micro-batches count in arrival order."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    spark = flags.sparkSession
-    ship(spark)
-    gap_us = int(spark.range(1).select(F.expr(f"unix_micros(timestamp'2000-01-01' + INTERVAL {gap})")
-                                       - F.expr("unix_micros(timestamp'2000-01-01')")).first()[0])
-    out = T.StructType(flags.schema.fields + [T.StructField("phone_use", T.IntegerType())])
-    d = flags.withWatermark("timestamp", watermark).groupBy(key).applyInPandasWithState(
-        _debounce_state_fn(n, gap_us), out, "run int, last_us long", "append", GroupStateTimeout.NoTimeout)
-    return d.withWatermark("timestamp", watermark)
-
-
-def stream_trip_summary(readings: DataFrame, cfg: ProcessingConfig = DEFAULT_CONFIG, gap: str = "5 minutes",
-                        watermark: str = "10 minutes") -> DataFrame:
-    """A1 on a stream — one trip per device session. The debounce runs
-    in a per-device stateful operator (bounded state), so the session
-    aggregate below is purely algebraic (no per-session row lists)."""
-    f = debounce_stream(detect_events(readings, cfg), cfg.sensors.phone_use_min_duration_sec, gap, watermark)
-    g = f.groupBy("device_id", F.session_window("timestamp", gap).alias("session")).agg(
+def _micros(gap: str) -> Column:
+    """Microseconds of an interval, as a constant."""
+    return F.expr(f"unix_micros(timestamp'2000-01-01' + INTERVAL {gap}) - unix_micros(timestamp'2000-01-01')")
+
+
+def with_sessions(readings: DataFrame, gap: str, key: str = "device_id", time: str = "timestamp") -> DataFrame:
+    """``readings`` plus session_start and session_last (event times). A session ends
+    where nothing comes for ``gap``. Readings of one device in one slot as wide as
+    the gap are always in one session, so only a row per (device, slot) is put in order;
+    a device with very many readings is spread over its slots. Rows without time drop out."""
+    slot = F.floor(F.unix_micros(F.col(time).cast("timestamp_ltz")) / _micros(gap))
+    d = readings.filter(F.col(time).isNotNull()).withColumn("__slot", slot)
+    slots = d.groupBy(key, "__slot").agg(F.min(time).alias("__a"), F.max(time).alias("__b"))
+    w = Window.partitionBy(key).orderBy("__slot")
+    new = F.coalesce(F.col("__a") - F.lag("__b").over(w) >= F.expr(f"INTERVAL {gap}"), F.lit(True))
+    whole = Window.partitionBy(key, "__session")
+    slots = slots.withColumn("__new", new.cast("int")).withColumn("__session", F.sum("__new").over(w)).select(
+        F.col(key).alias("__key"), F.col("__slot").alias("__s"),
+        F.min("__a").over(whole).alias("session_start"), F.max("__b").over(whole).alias("session_last"))
+    return d.join(slots, d[key].eqNullSafe(F.col("__key")) & (F.col("__slot") == F.col("__s"))).drop("__key", "__slot", "__s")
+
+
+def fold_sessions(flags: DataFrame, cfg: ProcessingConfig = DEFAULT_CONFIG, gap: str = "5 minutes") -> DataFrame:
+    """A1 over `detect_events` rows with sessions (`with_sessions`): phone debounce in reading order
+    by bucketed lags, one algebraic aggregate per session, quality gates, summary columns."""
+    d = flags.withColumn("__trip", F.struct("device_id", "session_start"))
+    d = debounce_phone(d, cfg, key="__trip")
+    g = d.groupBy("device_id", "session_start").agg(
         F.count(F.lit(1)).alias("n_readings"),
         F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"),
         F.avg("gps_accuracy_meters").alias("gps_accuracy_avg"),
@@ -129,22 +102,91 @@ def stream_trip_summary(readings: DataFrame, cfg: ProcessingConfig = DEFAULT_CON
                  "reading_seq").alias("first"),
         F.max_by(F.struct("gps_latitude", "gps_longitude"), "reading_seq").alias("last"),
     )
-    q = with_quality(g, cfg).filter("is_valid = 1") \
-        .withColumn("session_start", F.col("session.start")).withColumn("session_end", F.col("session.end"))
+    q = with_quality(g, cfg).filter("is_valid = 1").withColumn("session_end", F.col("end_time") + F.expr(f"INTERVAL {gap}"))
     return summary_columns(q, cfg, extra=("session_start", "session_end"))
 
 
-def stream_event_counts(readings: DataFrame, cfg: ProcessingConfig = DEFAULT_CONFIG, window: str = "1 minute",
-                        slide: str | None = None, watermark: str = "10 minutes") -> DataFrame:
-    """E1-E6 counts per tumbling (or sliding) window."""
-    f = detect_events(readings, cfg).withWatermark("timestamp", watermark)
+def stream_trip_summary(readings: DataFrame, out_dir: str, cfg: ProcessingConfig = DEFAULT_CONFIG, gap: str = "5 minutes",
+                        watermark: str = "10 minutes") -> DataFrame:
+    """A1 on a stream, one trip per device session; runs over all input there is and
+    returns the trips so far, sessions still open among them (`trips_so_far`).
+
+    A micro-batch joins the readings of open sessions that the one before left. Sessions
+    with nothing for ``gap`` before the watermark (latest event time less ``watermark``)
+    are closed: debounced in reading order, whatever order they came in, folded and
+    appended to data/. Readings older than the watermark of the batch before are late:
+    they go to late/ instead, none are lost silently. ``out_dir`` may be run again
+    when more input has come."""
+    spark = readings.sparkSession
+    at = lambda kind, n: os.path.join(out_dir, kind, f"batch_id={n}")
+
+    def land(batch: DataFrame, n: int) -> None:
+        f = detect_events(batch, cfg)
+        before = None
+        if n:
+            before = spark.read.parquet(at("progress", n - 1)).first()["watermark"]
+            late = F.col("timestamp") < F.lit(before)
+            f.filter(late).write.mode("overwrite").parquet(at("late", n))
+            f = f.filter(~F.coalesce(late, F.lit(False))).unionByName(spark.read.parquet(at("open", n - 1)))
+        f.write.mode("overwrite").parquet(at("landed", n))
+        f = spark.read.parquet(at("landed", n))
+        mark = f.agg((F.max("timestamp") - F.expr(f"INTERVAL {watermark}")).alias("watermark"))
+        if before is not None:
+            mark = mark.select(F.greatest("watermark", F.lit(before)).alias("watermark"))
+        mark.write.mode("overwrite").parquet(at("progress", n))
+        now = spark.read.parquet(at("progress", n)).first()["watermark"]
+        s = with_sessions(f, gap)
+        over = F.col("session_last") + F.expr(f"INTERVAL {gap}") <= F.lit(now)
+        s.filter(~over).select(*f.columns).write.mode("overwrite").parquet(at("open", n))
+        fold_sessions(s.filter(over), cfg, gap).write.mode("overwrite").parquet(at("data", n))
+        for kind in ("landed", "open"):  # what this batch has taken up
+            drop_folder(spark, at(kind, n if kind == "landed" else n - 2))
+
+    _run(readings, land, out_dir)
+    if not _exists(spark, os.path.join(out_dir, "progress")):  # no input yet
+        return fold_sessions(with_sessions(detect_events(spark.createDataFrame([], readings.schema), cfg), gap), cfg, gap)
+    return trips_so_far(spark, out_dir, cfg, gap)
+
+
+def trips_so_far(spark: SparkSession, out_dir: str, cfg: ProcessingConfig = DEFAULT_CONFIG, gap: str = "5 minutes") -> DataFrame:
+    """Closed trips and, folded from their readings up to now, the open ones (these stay open)."""
+    closed = spark.read.parquet(os.path.join(out_dir, "data"))
+    # every batch leaves one row of progress, whether or not it closed a trip
+    last = spark.read.parquet(os.path.join(out_dir, "progress")).agg(F.max("batch_id")).first()[0]
+    open_ = spark.read.parquet(os.path.join(out_dir, "open", f"batch_id={last}"))
+    return closed.drop("batch_id").unionByName(fold_sessions(with_sessions(open_, gap), cfg, gap))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove one of this module's own intermediate folders."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+FLAG_COLS = ("harsh_brake", "harsh_accel", "sharp_corner", "phone_raw", "speeding")
+
+
+def event_counts(readings: DataFrame, cfg: ProcessingConfig = DEFAULT_CONFIG, window: str = "1 minute",
+                 slide: str | None = None) -> DataFrame:
+    """X3 on a batch: E1-E6 counts per tumbling (or sliding) window."""
     w = F.window("timestamp", window, slide) if slide else F.window("timestamp", window)
-    return f.groupBy(w.alias("w")).agg(
-        F.count(F.lit(1)).alias("readings"), F.sum("harsh_brake").alias("harsh_brake"),
-        F.sum("harsh_accel").alias("harsh_accel"), F.sum("sharp_corner").alias("sharp_corner"),
-        F.sum("phone_raw").alias("phone_raw"), F.sum("speeding").alias("speeding"),
-    ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "readings",
-             "harsh_brake", "harsh_accel", "sharp_corner", "phone_raw", "speeding")
+    return detect_events(readings, cfg).groupBy(w.alias("w")).agg(
+        F.count(F.lit(1)).alias("readings"), *[F.sum(c).cast("long").alias(c) for c in FLAG_COLS],
+    ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "readings", *FLAG_COLS)
+
+
+def stream_event_counts(readings: DataFrame, out_dir: str, cfg: ProcessingConfig = DEFAULT_CONFIG, window: str = "1 minute",
+                        slide: str | None = None) -> DataFrame:
+    """E1-E6 counts per window over all that has come so far. A micro-batch lands its
+    own counts, one row per window it touches; windows add up on reading, so late
+    readings count too and the query may go on in the same ``out_dir`` at any time."""
+    parts = run_partials(readings, lambda batch: event_counts(batch, cfg, window, slide), out_dir)
+    return parts.groupBy("window_start", "window_end").agg(*[F.sum(c).alias(c) for c in ("readings", *FLAG_COLS)])
 
 
 def stream_score(scored_stream: DataFrame) -> DataFrame:
@@ -152,72 +194,58 @@ def stream_score(scored_stream: DataFrame) -> DataFrame:
     return score_predictions(scored_stream, ids=("driver_id", "trip_id", "trip_date"))
 
 
-def stream_monitor(pred_stream: DataFrame, baseline: DataFrame, time_col: str = "trip_date",
-                   window: str = "30 days", watermark: str = "60 days") -> DataFrame:
-    """R8 per event-time window against a static 1-row baseline (broadcast)."""
-    g = pred_stream.withWatermark(time_col, watermark).groupBy(F.window(time_col, window).alias("w")).agg(
-        F.count(F.lit(1)).alias("total_predictions"),
-        F.avg("claim_probability").alias("avg_claim_probability"),
-        F.avg((F.col("claim_probability") > 0.5).cast("double")).alias("high_risk_ratio"),
-        F.avg("claim_severity_prediction").alias("avg_severity"))
-    d = g.crossJoin(F.broadcast(baseline))
-    return d.select(
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "total_predictions",
-        "avg_claim_probability", "high_risk_ratio", "avg_severity",
-        F.try_divide(F.abs(F.col("avg_claim_probability") - F.col("claim_probability_mean")),
-                     F.col("claim_probability_mean")).alias("claim_probability_drift"),
-        F.try_divide(F.abs(F.col("avg_severity") - F.col("severity_mean")), F.col("severity_mean"))
-        .alias("severity_drift"))
-
-
-#: event time of the row that closes a stream, beyond any data
-END_OF_INPUT = "2200-01-01 00:00:00"
-
-
-def with_end(stream: DataFrame, folder: str) -> DataFrame:
-    """The stream and, unioned to it, a folder for one closing row (`end_input`)."""
-    spark = stream.sparkSession
-    spark.createDataFrame([], stream.schema).write.mode("append").parquet(folder)
-    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
-
-
-def end_input(stream: DataFrame, folder: str, time_col: str) -> None:
-    """Write the closing row: all null but its event time, which moves the
-    watermark past everything that came before; its own window never closes,
-    so it is never emitted."""
-    row = stream.sparkSession.range(1).select(*[
-        F.lit(END_OF_INPUT if f.name == time_col else None).cast(f.dataType).alias(f.name) for f in stream.schema])
-    row.write.mode("append").parquet(folder)
-
-
-def run_to_table(df: DataFrame, out_dir: str, fmt: str = "parquet", mode: str = "append", end=None) -> DataFrame:
-    """Run a streaming query to completion (availableNow) into files under
-    ``out_dir`` (checkpoint alongside) and return the written table.
-
-    ``end``: called once all input is read; the query then resumes from its
-    checkpoint, so a closing row written by it flushes the open windows."""
-    spark = df.sparkSession
-    for step in [None, end] if end else [None]:
-        if step:
-            step()
-        q = (df.writeStream.format(fmt).outputMode(mode)
-             .option("checkpointLocation", os.path.join(out_dir, "_checkpoint"))
-             .option("path", os.path.join(out_dir, "data"))
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
-    return spark.read.format(fmt).load(os.path.join(out_dir, "data"))
+def window_statistics(preds: DataFrame, time_col: str = "trip_date", window: str = "30 days") -> DataFrame:
+    """Counts and sums of predictions per event-time window; they add up over batches."""
+    p, s = F.col("claim_probability"), F.col("claim_severity_prediction")
+    return preds.groupBy(F.window(time_col, window).alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.count(p).alias("n_p"), F.sum(p).alias("sum_p"),
+        F.sum((p > 0.5).cast("long")).alias("high"), F.count(s).alias("n_s"), F.sum(s).alias("sum_s"),
+    ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "n_p", "sum_p", "high", "n_s", "sum_s")
+
+
+def stream_monitor(preds: DataFrame, baseline: DataFrame, out_dir: str, time_col: str = "trip_date",
+                   window: str = "30 days") -> DataFrame:
+    """R8 per event-time window against a static 1-row baseline (broadcast), over all
+    predictions that have come so far (as `stream_event_counts`)."""
+    parts = run_partials(preds, lambda batch: window_statistics(batch, time_col, window), out_dir)
+    g = parts.groupBy("window_start", "window_end").agg(*[F.sum(c).alias(c) for c in ("n", "n_p", "sum_p", "high", "n_s", "sum_s")])
+    p, s = F.try_divide("sum_p", "n_p"), F.try_divide("sum_s", "n_s")
+    drift = lambda now, base: F.try_divide(F.abs(now - F.col(base)), F.col(base))
+    return g.crossJoin(F.broadcast(baseline)).select(
+        "window_start", "window_end", F.col("n").alias("total_predictions"), p.alias("avg_claim_probability"),
+        F.try_divide("high", "n_p").alias("high_risk_ratio"), s.alias("avg_severity"),
+        drift(p, "claim_probability_mean").alias("claim_probability_drift"), drift(s, "severity_mean").alias("severity_drift"))
+
+
+def _run(df: DataFrame, land: Callable[[DataFrame, int], None], out_dir: str) -> None:
+    """Run a query over all input there is (availableNow), checkpoint in ``out_dir``."""
+    q = (df.writeStream.foreachBatch(land).option("checkpointLocation", os.path.join(out_dir, "_checkpoint"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
 
 
-def run_foreach_batch(df: DataFrame, out_dir: str) -> DataFrame:
-    """Idempotent micro-batch sink: each batch overwrites its own batch_id
-    folder, so a replayed batch after a failure rewrites the same files."""
-    spark = df.sparkSession
+def run_partials(df: DataFrame, fold: Callable[[DataFrame], DataFrame], out_dir: str) -> DataFrame:
+    """Each micro-batch, folded, in its own batch_id folder (a replayed batch after a
+    failure rewrites the same files); returns all of them."""
     data = os.path.join(out_dir, "data")
+    _run(df, lambda batch, n: fold(batch).write.mode("overwrite").parquet(os.path.join(data, f"batch_id={n}")), out_dir)
+    if not _exists(df.sparkSession, data):  # no input yet
+        return fold(df.sparkSession.createDataFrame([], df.schema)).withColumn("batch_id", F.lit(0))
+    return df.sparkSession.read.parquet(data)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(data, f"batch_id={batch_id}"))
 
-    q = (df.writeStream.foreachBatch(write).option("checkpointLocation", os.path.join(out_dir, "_checkpoint"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(data)
+def run_foreach_batch(df: DataFrame, out_dir: str) -> DataFrame:
+    """Idempotent micro-batch sink: rows as they are, a folder per batch."""
+    return run_partials(df, lambda batch: batch, out_dir)
+
+
+def read_records(records: DataFrame, schema: T.StructType, watermark: str = "10 minutes") -> DataFrame:
+    """X1, record form: rows as a message broker's reader gives them (key, value, topic,
+    partition, offset, timestamp), with JSON values -> their fields. A record that is
+    delivered again (same topic, partition, offset, within the watermark) counts
+    once; a value that doesn't parse gives a row of nulls but its record columns."""
+    d = records.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(["topic", "partition", "offset"]) \
+        if records.isStreaming else records.dropDuplicates(["topic", "partition", "offset"])
+    return d.select(F.col("key").cast("string").alias("record_key"), "topic", "partition", "offset", F.col("timestamp").alias("record_time"),
+                    F.from_json(F.col("value").cast("string"), schema, {"mode": "PERMISSIVE"}).alias("v")) \
+        .select("record_key", "topic", "partition", "offset", "record_time", "v.*")

@@ -62,3 +62,117 @@ def test_stream_trip_debounce_equals_batch_sessions(spark):
         F.avg("speed_mph").alias("average_speed_mph"), F.min("gps_latitude").alias("lat_min"), F.max("gps_latitude").alias("lat_max"),
         F.min("gps_longitude").alias("lon_min"), F.max("gps_longitude").alias("lon_max"))
     assert s.count() == with_quality(r, TESTDATA_CONFIG).filter("is_valid = 1").count()
+
+
+def _readings(spark, folder):
+    from roadrisk.streaming import streams as X
+    return views.readings_from_events(X.stream_source(spark, folder, X.EVENTS_SCHEMA))
+
+
+def _land(spark, folder, parts):
+    """Write the parts of the events one after the other; yields after each."""
+    for i, p in enumerate(parts):
+        p.coalesce(1).write.mode("append").parquet(folder)
+        yield i
+
+
+def _parts(spark, by):
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    return [ev.filter(F.expr(by) == i) for i in (0, 1)]
+
+
+def _half(spark):
+    mid = spark.read.parquet(f"{SF}/events.parquet").selectExpr("percentile_approx(unix_micros(cast(ts as timestamp)), 0.5)").first()[0]
+    return f"int(unix_micros(cast(ts as timestamp)) > {mid})"
+
+
+def test_event_counts_go_on_when_more_comes(spark, tmp_path):
+    from roadrisk.streaming import streams as X
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    total = views.readings(spark, SF).count()
+    # halves by id: the second file holds rows older than all of the first's latest
+    for i in _land(spark, folder, _parts(spark, "event_id % 2")):
+        got = X.stream_event_counts(_readings(spark, folder), out, TESTDATA_CONFIG, window="1 hour")
+    assert got.agg(F.sum("readings")).first()[0] == total
+    whole = X.event_counts(views.readings(spark, SF), TESTDATA_CONFIG, "1 hour")
+    assert got.exceptAll(whole).count() == 0 and whole.exceptAll(got).count() == 0
+    slid = X.stream_event_counts(_readings(spark, folder), str(tmp_path / "slid"), TESTDATA_CONFIG, window="1 hour", slide="15 minutes")
+    assert slid.agg(F.sum("readings")).first()[0] == 4 * total
+
+
+def test_trips_go_on_when_more_comes(spark, tmp_path):
+    from roadrisk.streaming import streams as X
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    r = views.readings(spark, SF)
+    want = X.fold_sessions(X.with_sessions(detect_events(r, TESTDATA_CONFIG), "1 day"), TESTDATA_CONFIG, "1 day")
+    run = lambda: X.stream_trip_summary(_readings(spark, folder), out, TESTDATA_CONFIG, gap="1 day", watermark="1 day")
+    for i in _land(spark, folder, _parts(spark, _half(spark))):
+        got = run()
+        if i == 0:
+            # sessions that the cut leaves open are there, and stay open
+            assert got.count() and spark.read.parquet(out + "/open/batch_id=0").count()
+    key = ["driver_id", "session_start", "session_end", "phone_usage_seconds", "harsh_braking_events"]
+    got, want = got.select(*key), want.select(*key)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert spark.read.parquet(out + "/late").count() == 0
+    assert run().count() == want.count()  # nothing new: the same again
+
+
+def test_readings_within_the_watermark_are_put_in_order(spark, tmp_path):
+    from roadrisk.streaming import streams as X
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    parts = _parts(spark, "event_id % 2")
+    for _ in _land(spark, folder, parts):
+        # nothing is late with a watermark longer than the data
+        got = X.stream_trip_summary(_readings(spark, folder), out, TESTDATA_CONFIG, gap="1 day", watermark="3650 days")
+    want = X.fold_sessions(X.with_sessions(detect_events(views.readings(spark, SF), TESTDATA_CONFIG), "1 day"), TESTDATA_CONFIG, "1 day")
+    key = ["driver_id", "session_start", "session_end", "phone_usage_seconds"]
+    assert got.select(*key).exceptAll(want.select(*key)).count() == 0 and got.count() == want.count()
+
+
+def test_late_readings_are_kept_aside(spark, tmp_path):
+    from roadrisk.streaming import streams as X
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    first, second = _parts(spark, _half(spark))
+    for _ in _land(spark, folder, [second, first]):
+        X.stream_trip_summary(_readings(spark, folder), out, TESTDATA_CONFIG, gap="1 day", watermark="1 day")
+    mark = spark.read.parquet(out + "/progress/batch_id=0").first()["watermark"]
+    assert spark.read.parquet(out + "/late").count() == views.readings_from_events(first).filter(F.col("timestamp") < F.lit(mark)).count() > 0
+
+
+def test_record_source_counts_each_record_once(spark, tmp_path):
+    from roadrisk.streaming import streams as X
+    schema = "key binary, value binary, topic string, partition int, offset long, timestamp timestamp"
+    rows = [(b"d1", b'{"device_id": "d1", "speed": 3.5}', "readings", 0, 1), (b"d1", b'{"device_id": "d1", "speed": 4.5}', "readings", 0, 2),
+            (b"d1", b'{"device_id": "d1", "speed": 3.5}', "readings", 0, 1), (b"d2", b"not json", "readings", 1, 1), (None, None, "readings", 1, 2)]
+    import datetime
+    df = spark.createDataFrame([(*r, datetime.datetime(2024, 1, 1, 0, i)) for i, r in enumerate(rows)], schema)
+    path = str(tmp_path / "records")
+    df.coalesce(1).write.parquet(path)
+    fields = spark.createDataFrame([], "device_id string, speed double").schema
+    stream = X.read_records(X.stream_source(spark, path, df.schema), fields)
+    got = X.run_foreach_batch(stream, str(tmp_path / "out")).drop("batch_id")
+    assert sorted((r.partition, r.offset, r.device_id, r.speed) for r in got.collect()) == [(0, 1, "d1", 3.5), (0, 2, "d1", 4.5), (1, 1, None, None), (1, 2, None, None)]
+    batch = X.read_records(df, fields)
+    assert batch.count() == 4
+
+
+def test_sessions_of_one_device_meet_over_slots(spark):
+    import datetime
+    from roadrisk.streaming import streams as X
+    at = [0, 4, 8, 13, 18, 22, 22.5, 40]
+    t0 = datetime.datetime(2024, 1, 1, 0, 3)
+    df = spark.createDataFrame([("d", t0 + datetime.timedelta(minutes=m)) for m in at] + [(None, t0), (None, None)], "device_id string, timestamp timestamp_ntz")
+    got = sorted((r.device_id or "", (r.session_start - t0).seconds / 60, (r.session_last - t0).seconds / 60, n) for r, n in
+                 ((r, r["count"]) for r in X.with_sessions(df, "5 minutes").groupBy("device_id", "session_start", "session_last").count().collect()))
+    # a silence of exactly the gap ends a session
+    assert got == [("", 0, 0, 1), ("d", 0, 8, 3), ("d", 13, 13, 1), ("d", 18, 22.5, 3), ("d", 40, 40, 1)]
+
+
+def test_streams_without_input(spark, tmp_path):
+    from roadrisk.streaming import streams as X
+    folder = str(tmp_path / "none")
+    spark.read.parquet(f"{SF}/events.parquet").limit(0).write.parquet(folder)
+    for n in range(2):
+        assert X.stream_event_counts(_readings(spark, folder), str(tmp_path / "a"), TESTDATA_CONFIG, window="1 hour").count() == 0
+        assert X.stream_trip_summary(_readings(spark, folder), str(tmp_path / "b"), TESTDATA_CONFIG, gap="1 day").count() == 0
