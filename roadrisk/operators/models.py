@@ -4,27 +4,33 @@ model-metrics table (D10) and its queries (W5, Q24-Q26).
 Training data is cut from its lineage with a reliable checkpoint into the
 cluster's shared ``spark.checkpoint.dir`` before the iterative fit, so an
 executor loss mid-training recomputes from the checkpoint, not from the raw
-scan. Splits and folds are hash-based (deterministic under repartition and
-task retry, unlike ``randomSplit``).
+scan. Splits and folds go by places in a hash order (deterministic under
+repartition and task retry, unlike ``randomSplit``), in each class for itself
+where they are stratified. Boosting stops early on a slice of the training
+rows that is set aside for it.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import math
 import os
+import random
+import statistics
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param.shared import HasInputCols, HasOutputCol
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import MODEL_METRICS_SCHEMA
-from ..sources.tables import checkpoint_dir, cut_lineage
+from ..sources.tables import cut_lineage
 from .evaluation import average_precision, classification_metrics, regression_metrics, roc_auc
 from .features import FEATURE_NAMES
 
@@ -46,6 +52,51 @@ def hash_folds(df: DataFrame, id_col: str, k: int = 5, seed: int = SEED, out: st
     return df.withColumn(out, F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed + 1)), F.lit(k)).cast("int"))
 
 
+#: rows that a range of the hash order, or a partition of a fit, holds on average
+RANGE_ROWS, FIT_ROWS = 50_000, 20_000
+HASH_BITS = 52
+
+
+def hash_places(df: DataFrame, id_col: str, strata: str | None = None, seed: int = SEED) -> DataFrame:
+    """``df`` plus place (0-based, in the order of a hash of the id, ties by the id) and
+    n_class (rows), within each value of ``strata``. The hash is uniform, so equal ranges of it
+    hold equally many rows: each is ordered by itself and starts after the rows
+    that lower ranges hold; a class with nearly all rows is spread over them all."""
+    d = df.withColumn("__h", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), 1, HASH_BITS // 4), 16, 10).cast("long")) \
+        .withColumn("__class", F.coalesce(F.col(strata).cast("string"), F.lit("null")) if strata else F.lit(""))
+    bits = max(0, math.ceil(math.log2(max(1, df.count() / RANGE_ROWS))))
+    d = d.withColumn("__range", F.shiftright("__h", HASH_BITS - bits))
+    n = d.groupBy("__class", "__range").agg(F.count(F.lit(1)).alias("__n"))
+    below = Window.partitionBy("__class").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.select("__class", "__range", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__below"),
+                 F.sum("__n").over(Window.partitionBy("__class")).alias("n_class"))
+    here = Window.partitionBy("__class", "__range").orderBy("__h", F.col(id_col))
+    return d.withColumn("__at", F.row_number().over(here)).join(n, ["__class", "__range"]) \
+        .withColumn("place", F.col("__below") + F.col("__at") - 1).drop("__h", "__class", "__range", "__at", "__below")
+
+
+def place_split(df: DataFrame, id_col: str, strata: str | None = None, train: float = 0.8, k: int = 5, validation: float = 0.1,
+                seed: int = SEED) -> DataFrame:
+    """M1/M2/M7: exact shares of every class. split: the first ``train`` of a class's places
+    train, the rest test; fold: training rows dealt to 0..k-1 in turn (null: test);
+    is_validation: the last ``validation`` of the training places, for early stopping."""
+    d = hash_places(df, id_col, strata, seed)
+    quota = F.floor(F.col("n_class") * train + 0.5)
+    trains = F.col("place") < quota
+    return d.withColumns({
+        "split": F.when(trains, F.lit("train")).otherwise(F.lit("test")),
+        "fold": F.when(trains, (F.col("place") % k).cast("int")),
+        "is_validation": trains & (F.col("place") >= F.floor(quota * (1 - validation) + 0.5)),
+    }).drop("place", "n_class")
+
+
+def for_fitting(df: DataFrame, id_col: str) -> DataFrame:
+    """Partitions by the number of rows, in a fixed order, lineage cut: every boosting round is a
+    job per tree level, and a rerun of a fit with row sampling must meet the same rows in the same places."""
+    parts = max(1, math.ceil(df.count() / FIT_ROWS))
+    return cut_lineage(df.repartition(parts, id_col).sortWithinPartitions(id_col))
+
+
 def split_report(df: DataFrame, label: str = "label", split: str = "split") -> DataFrame:
     """Rows and positive rate per split (stratification check)."""
     return df.groupBy(split).agg(F.count(F.lit(1)).alias("rows"), F.sum(label).cast("long").alias("positives"),
@@ -68,8 +119,14 @@ def _scaler():
     return StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
 
 
-def probability_estimator(kind: str = "gbt", params: dict | None = None, weight_col: str | None = "weight"):
-    """M5/M11 classifiers."""
+def _stops_early(est):
+    """Boosting that ends with the round after which the rows marked is_validation lose nothing more."""
+    est.set(est.validationTol, 0.0)
+    return est.setValidationIndicatorCol("is_validation")
+
+
+def probability_estimator(kind: str = "gbt", params: dict | None = None, weight_col: str | None = "weight", early_stop: bool = False):
+    """M5/M11 classifiers. ``early_stop``: boosting ends when rows marked is_validation gain no more."""
     p = dict(PROBABILITY_PARAMS if kind == "gbt" else {}, **(params or {}))
     if kind == "gbt":
         est = GBTClassifier(labelCol="label", featuresCol="features", seed=SEED, **p)
@@ -81,14 +138,15 @@ def probability_estimator(kind: str = "gbt", params: dict | None = None, weight_
         raise ValueError(f"unknown classifier {kind!r}")
     if weight_col:
         est = est.setWeightCol(weight_col)
-    return est
+    return _stops_early(est) if early_stop and kind == "gbt" else est
 
 
-def severity_estimator(kind: str = "gbt", params: dict | None = None):
+def severity_estimator(kind: str = "gbt", params: dict | None = None, early_stop: bool = False):
     """M8/M11 regressors (label is log1p(amount))."""
     p = dict(SEVERITY_PARAMS if kind == "gbt" else {}, **(params or {}))
     if kind == "gbt":
-        return GBTRegressor(labelCol="label", featuresCol="features", seed=SEED, **p)
+        est = GBTRegressor(labelCol="label", featuresCol="features", seed=SEED, **p)
+        return _stops_early(est) if early_stop else est
     if kind == "random_forest":
         return RandomForestRegressor(labelCol="label", featuresCol="features", seed=SEED, numTrees=100, **p)
     if kind in ("linear", "ridge", "lasso"):
@@ -101,8 +159,8 @@ def prepare_probability_data(features: DataFrame, label_col: str = "has_claim",
                              checkpoint: bool = True) -> DataFrame:
     """Features + label + weight + split, lineage cut into the shared checkpoint dir."""
     d = features.withColumn("label", F.col(label_col).cast("double"))
-    d = with_class_weight(hash_split(d, id_col))
-    return cut_lineage(d) if checkpoint else d
+    d = with_class_weight(place_split(d, id_col, "label"))
+    return for_fitting(d, id_col) if checkpoint else d
 
 
 TREE_KINDS = ("gbt", "random_forest")
@@ -118,7 +176,8 @@ def _stages(features, kind, est):
 
 def fit_probability(train: DataFrame, kind: str = "gbt", params: dict | None = None,
                     features=FEATURE_NAMES) -> PipelineModel:
-    return Pipeline(stages=_stages(features, kind, probability_estimator(kind, params))).fit(train)
+    stop = "is_validation" in train.columns
+    return Pipeline(stages=_stages(features, kind, probability_estimator(kind, params, early_stop=stop))).fit(train)
 
 
 def predict_probability(model: PipelineModel, df: DataFrame, keep=("trip_id", "driver_id", "label")) -> DataFrame:
@@ -141,13 +200,14 @@ def prepare_severity_data(features: DataFrame, amount_col: str = "claim_amount",
     """M8 data: claims only (J7-style filter), label = log1p(amount)."""
     d = features.filter((F.col(label_col) == 1) & (F.col(amount_col) > 0)) \
         .withColumn("label", F.log1p(F.col(amount_col).cast("double")))
-    d = hash_split(d, id_col)
-    return cut_lineage(d) if checkpoint else d
+    d = place_split(d, id_col)
+    return for_fitting(d, id_col) if checkpoint else d
 
 
 def fit_severity(train: DataFrame, kind: str = "gbt", params: dict | None = None,
                  features=FEATURE_NAMES) -> PipelineModel:
-    return Pipeline(stages=_stages(features, kind, severity_estimator(kind, params))).fit(train)
+    stop = "is_validation" in train.columns
+    return Pipeline(stages=_stages(features, kind, severity_estimator(kind, params, early_stop=stop))).fit(train)
 
 
 def predict_severity(model: PipelineModel, df: DataFrame, keep=("trip_id", "driver_id", "claim_amount")) -> DataFrame:
@@ -174,92 +234,141 @@ def feature_importance(spark: SparkSession, model: PipelineModel, features=FEATU
         .orderBy(F.desc("importance"), "position")
 
 
-def cross_validate_probability(data: DataFrame, k: int = 3, grid: dict | None = None, parallelism: int = 3,
-                               id_col: str = "trip_id", features=FEATURE_NAMES) -> DataFrame:
-    """K-fold CV (hash folds) over a parameter grid, AUC per setting."""
-    d = hash_folds(data, id_col, k)
-    est = probability_estimator("gbt")
-    pipe = Pipeline(stages=_stages(features, "gbt", est))
-    gb = ParamGridBuilder()
-    for name, values in (grid or {"maxDepth": [PROBABILITY_PARAMS["maxDepth"]]}).items():
-        gb = gb.addGrid(est.getParam(name), values)
-    maps = gb.build()
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
-                        evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC"),
-                        foldCol="fold", numFolds=k, parallelism=parallelism, seed=SEED)
-    m = cv.fit(d)
-    rows = [({p.name: float(v) for p, v in pm.items()}, float(a)) for pm, a in zip(maps, m.avgMetrics)]
-    spark = data.sparkSession
-    return spark.createDataFrame([(str(sorted(p.items())), a, k) for p, a in rows],
-                                 "params string, avg_auc double, folds int")
-
-
-def train_validation_search(data: DataFrame, grid: dict, train_ratio: float = 0.8, parallelism: int = 2,
-                            features=FEATURE_NAMES) -> tuple[PipelineModel, DataFrame]:
-    """Seeded grid search with a hash-free TrainValidationSplit."""
-    est = probability_estimator("gbt")
-    pipe = Pipeline(stages=_stages(features, "gbt", est))
-    gb = ParamGridBuilder()
-    for name, values in grid.items():
-        gb = gb.addGrid(est.getParam(name), values)
-    maps = gb.build()
-    tvs = TrainValidationSplit(estimator=pipe, estimatorParamMaps=maps, trainRatio=train_ratio, seed=SEED,
-                               parallelism=parallelism,
-                               evaluator=BinaryClassificationEvaluator(labelCol="label"))
-    m = tvs.fit(data)
-    spark = data.sparkSession
-    res = spark.createDataFrame([(str(sorted((p.name, float(v)) for p, v in pm.items())), float(a))
-                                 for pm, a in zip(maps, m.validationMetrics)], "params string, auc double")
-    return m.bestModel, res
-
-
-def fit_calibrated_probability(data: DataFrame, k: int = 3, id_col: str = "trip_id", features=FEATURE_NAMES,
-                               params: dict | None = None) -> list:
-    """M6: Platt calibration with k folds. Fold i fits the boosted trees on the
-    other folds and a one-feature LogisticRegression on the trees' margin for
-    fold i; predictions average the k calibrated probabilities. The k fits run
+def _evaluator(metric: str):
+    """What a setting is judged by in cross-validation."""
+    if metric == "f1":
+        return MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0)
+    if metric == "roc_auc":
+        return BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC")
+    return RegressionEvaluator(labelCol="label", metricName=metric)
+
+
+def _cross_validate(train: DataFrame, est, settings: list[dict], metrics: list[str], k: int, parallelism: int, features) -> list[list[tuple[float, float]]]:
+    """Per setting of a boosted model and metric, (mean, standard deviation) over the folds. Every
+    (setting, fold) is one fit, `parallelism` of them at a time; none is fitted on all rows."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    d = _assembler(features).transform(train).withColumn("fold", F.col("fold") % k).drop(*features)
+    est = est.setFeaturesCol("raw_features")
+
+    def one(job):
+        setting, fold = job
+        model = est.fit(d.filter(F.col("fold") != fold), {est.getParam(n): v for n, v in setting.items()})
+        pred = model.transform(d.filter(F.col("fold") == fold))
+        return [float(_evaluator(m).evaluate(pred)) for m in metrics]
+
+    with ThreadPoolExecutor(max_workers=parallelism) as ex:
+        got = list(ex.map(one, [(s, f) for s in settings for f in range(k)]))
+    per = [list(zip(*got[i * k:(i + 1) * k])) for i in range(len(settings))]
+    return [[(statistics.fmean(v), statistics.stdev(v) if k > 1 else 0.0) for v in evs] for evs in per]
+
+
+def cross_validate(train: DataFrame, target: str = "probability", k: int = 5, parallelism: int = 8, features=FEATURE_NAMES,
+                   params: dict | None = None) -> DataFrame:
+    """M7: k folds (by the fold column, stratified for the claim) of the configured model of a
+    target: ROC-AUC and F1 of the claim probability, RMSE of log1p(amount)."""
+    est = (probability_estimator if target == "probability" else severity_estimator)("gbt", None, early_stop=True)
+    metrics = ["roc_auc", "f1"] if target == "probability" else ["rmse"]
+    got, = _cross_validate(train, est, [params or {}], metrics, k, parallelism, features)
+    rows = [(target, name, k, mean, std) for name, (mean, std) in zip(metrics, got)]
+    return train.sparkSession.createDataFrame(rows, "target string, metric string, folds int, mean double, std double")
+
+
+def sampled_settings(n: int = 20, seed: int = SEED) -> list[dict]:
+    """``n`` seeded draws over seven parameters of Spark's boosted trees."""
+    rng = random.Random(seed)
+    return [{"maxDepth": rng.randint(3, 6), "maxIter": rng.randint(10, 40), "stepSize": round(math.exp(rng.uniform(math.log(0.01), math.log(0.3))), 4),
+             "subsamplingRate": round(rng.uniform(0.6, 1.0), 3), "featureSubsetStrategy": rng.choice(["all", "sqrt", "onethird", "0.6", "0.8"]),
+             "minInstancesPerNode": rng.randint(1, 10), "minInfoGain": round(rng.uniform(0.0, 0.01), 5)} for _ in range(n)]
+
+
+def random_search(train: DataFrame, target: str = "probability", n: int = 20, k: int = 3, parallelism: int = 8, seed: int = SEED,
+                  features=FEATURE_NAMES) -> DataFrame:
+    """Every sampled setting cross-validated on hash folds: F1 of the claim, RMSE of
+    log1p(amount). One row per setting with its mean, deviation and rank (1: best)."""
+    settings = sampled_settings(n, seed)
+    prob = target == "probability"
+    est = (probability_estimator if prob else severity_estimator)("gbt", None, early_stop=True)
+    got = _cross_validate(train, est, settings, ["f1" if prob else "rmse"], k, parallelism, features)
+    order = sorted(range(n), key=lambda i: (-got[i][0][0] if prob else got[i][0][0], i))
+    rows = [(target, i, order.index(i) + 1, str(sorted(p.items())), "f1" if prob else "rmse", m, sd, k)
+            for i, (p, ((m, sd),)) in enumerate(zip(settings, got))]
+    return train.sparkSession.createDataFrame(
+        rows, "target string, trial int, rank int, params string, metric string, mean double, std double, folds int")
+
+
+class AverageProbability(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Mean of the class-1 entries of probability vectors; its input columns and what made them go."""
+
+    def __init__(self, inputCols=None, outputCol="claim_probability"):
+        super().__init__()
+        self._set(inputCols=inputCols or [], outputCol=outputCol)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        cols = self.getInputCols()
+        p = sum((vector_to_array(F.col(c))[1] for c in cols), F.lit(0.0)) / len(cols)
+        return df.withColumn(self.getOutputCol(), p).drop(*[c for c in df.columns if c.startswith("__cal_")])
+
+
+def fit_calibrated_probability(data: DataFrame, k: int = 3, features=FEATURE_NAMES, params: dict | None = None) -> PipelineModel:
+    """M6: Platt calibration with k folds, as one pipeline that can be saved. Fold i fits the
+    boosted trees on the other folds and a logistic regression on their margin for fold i;
+    the last stage averages the k calibrated probabilities. The k fits run
     concurrently (Spark schedules jobs from several driver threads)."""
     from concurrent.futures import ThreadPoolExecutor
 
-    d = hash_folds(data, id_col, k, out="cal_fold")
+    assemble = VectorAssembler(inputCols=list(features), outputCol="__cal_features", handleInvalid="keep")
+    d = assemble.transform(data.withColumn("__cal_fold", F.col("fold") % k))
 
     def one(i):
-        gbt = fit_probability(d.filter(F.col("cal_fold") != i), "gbt", params, features)
-        hold = _margin(gbt, d.filter(F.col("cal_fold") == i), "m")
-        lr = LogisticRegression(labelCol="label", featuresCol="m_vec", maxIter=100).fit(
-            VectorAssembler(inputCols=["m"], outputCol="m_vec").transform(hold))
-        return gbt, lr
+        est = probability_estimator("gbt", params, early_stop="is_validation" in data.columns)
+        est = est.setFeaturesCol("__cal_features").setRawPredictionCol(f"__cal_raw{i}").setProbabilityCol(f"__cal_p{i}").setPredictionCol(f"__cal_y{i}")
+        trees = est.fit(d.filter(F.col("__cal_fold") != i))
+        # without weights: the sigmoid maps margins to the rate of claims as it is
+        sigmoid = LogisticRegression(labelCol="label", featuresCol=f"__cal_raw{i}", rawPredictionCol=f"__cal_lraw{i}", probabilityCol=f"__cal_lp{i}",
+                                     predictionCol=f"__cal_ly{i}", maxIter=100).fit(trees.transform(d.filter(F.col("__cal_fold") == i)))
+        return [trees, sigmoid]
 
     with ThreadPoolExecutor(max_workers=k) as ex:
-        return list(ex.map(one, range(k)))
-
-
-def _margin(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
-    t = model.transform(df)
-    return t.select(*df.columns, vector_to_array(F.col("rawPrediction"))[1].alias(out))
-
-
-def predict_calibrated(models: list, df: DataFrame, keep=("trip_id", "driver_id", "label")) -> DataFrame:
-    """Average of the fold-calibrated probabilities (one narrow plan)."""
-    d = df
-    probs = []
-    for i, (gbt, lr) in enumerate(models):
-        d = _margin(gbt, d, f"__m{i}")
-        d = VectorAssembler(inputCols=[f"__m{i}"], outputCol="m_vec").transform(d)
-        d = lr.transform(d)
-        d = d.select(*[c for c in d.columns if c not in ("m_vec", "rawPrediction", "probability", "prediction")],
-                     vector_to_array(F.col("probability"))[1].alias(f"__p{i}"))
-        probs.append(F.col(f"__p{i}"))
-    p = sum(probs[1:], probs[0]) / len(probs)
-    return d.select(*[c for c in keep if c in df.columns], p.alias("claim_probability"),
-                    (p > 0.5).cast("int").alias("predicted_label"))
-
-
-def save_model(model: PipelineModel, name: str, version_no: int, root: str | None = None) -> str:
-    """PipelineModel under <root>/<name>/v<n> in the shared folder."""
-    base = root or os.path.join(checkpoint_dir(SparkSession.getActiveSession()), "models")
-    path = os.path.join(base, name, f"v{version_no}")
-    model.write().overwrite().save(path)
+        pairs = list(ex.map(one, range(k)))
+    return PipelineModel([assemble, *[s for p in pairs for s in p], AverageProbability([f"__cal_lp{i}" for i in range(k)])])
+
+
+def predict_calibrated(model: PipelineModel, df: DataFrame, keep=("trip_id", "driver_id", "label")) -> DataFrame:
+    """Calibrated probability and hard label (p > 0.5), in one narrow plan."""
+    d = model.transform(df)
+    return d.select(*[c for c in keep if c in df.columns], "claim_probability",
+                    (F.col("claim_probability") > 0.5).cast("int").alias("predicted_label"))
+
+
+def tree_count(model: PipelineModel) -> int:
+    """Trees that boosting kept."""
+    return model.stages[-1].getNumTrees
+
+
+def compare_algorithms(data: DataFrame, target: str, kinds, fit=None, features=FEATURE_NAMES) -> DataFrame:
+    """Each algorithm fitted on the training rows and evaluated on the test rows: one row with
+    its metrics, or with the error that its fit ended with (the others go on)."""
+    spark, train, test = data.sparkSession, data.filter("split = 'train'"), data.filter("split = 'test'")
+    prob = target == "claim_probability"
+    fit = fit or (fit_probability if prob else fit_severity)
+    predict, evaluate = (predict_probability, evaluate_probability) if prob else (predict_severity, evaluate_severity)
+    rows = None
+    for i, kind in enumerate(kinds):
+        try:
+            met = evaluate(predict(fit(train, kind, features=features), test))
+            row = metrics_row(spark, target, i + 1, kind, met, features).withColumn("error", F.lit(None).cast("string"))
+        except Exception as e:  # any failure of one algorithm is a result of the comparison
+            none = metrics_row(spark, target, i + 1, kind, spark.range(1).select(F.lit(None).cast("double").alias("none")), features)
+            row = none.withColumn("error", F.lit(f"{type(e).__name__}: {e}"[:500]))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+def save_model(model: PipelineModel, name: str, version_no: int, root: str) -> str:
+    """PipelineModel under <root>/<name>/v<n>; a version that is there already is an error."""
+    path = os.path.join(root, name, f"v{version_no}")
+    model.write().save(path)
     return path
 
 
@@ -301,8 +410,17 @@ def list_versions(metrics: DataFrame) -> DataFrame:
         .alias("versions"), F.max("version_no").alias("latest_version_no"))
 
 
+def get_version(metrics: DataFrame, name: str, version: str | int | None = None) -> DataFrame:
+    """Q25: one version of a model ("v2" or 2), the latest where none is named."""
+    d = metrics.filter(F.col("name") == name)
+    if version is None:
+        return latest_versions(d)
+    return d.filter((F.col("version") == str(version)) | (F.col("version_no").cast("string") == str(version)))
+
+
 def normalised_comparison(results: DataFrame, metric: str = "rmse") -> DataFrame:
-    """Q26: 1 - metric / max(metric) over the compared algorithms (tiny table)."""
+    """Q26: 1 - metric / max(metric) over the compared algorithms (tiny table); a failed one has nulls and its error."""
     v = F.col("metrics")[metric]
-    return results.select("name", "algorithm", v.alias(metric),
-                          (1 - v / F.max(v).over(Window.partitionBy())).alias(f"normalised_{metric}"))
+    extra = ["error"] if "error" in results.columns else []
+    return results.select("name", "algorithm", F.lit(metric).alias("metric"), v.alias("value"),
+                          (1 - F.try_divide(v, F.max(v).over(Window.partitionBy("name")))).alias("normalised"), *extra)

@@ -11,8 +11,6 @@ from roadrisk.plans import catalog
 from tests.conftest import SF
 
 catalog.load_all()
-SLOW = {"train_probability", "train_severity", "feature_importance", "model_scoring", "cv_report",
-        "model_comparison", "model_registry"}
 
 
 def _norm(v):
@@ -43,7 +41,7 @@ def test_oracle(spark, con, name):
     assert s == d
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     assert E.queries()[name](spark, SF).count() > 0
 
