@@ -109,10 +109,20 @@ RULES = [
     ("CC0-1.0", ["CC0"]),
 ]
 
-#: Every known sentence holds one of these (a test checks it).
+#: Every sentence above holds one of these (a test checks it).
 KEY_WORDS = ["licen", "permi", "redistribut", "software"]
 
 
+def key_words(known) -> list[str]:
+    """Words of which every one of the known (normalised) sentences holds one: the
+    ones above and, for a sentence without, its longest word that is no holder's name."""
+    out = [w for w in KEY_WORDS if any(w in s for s in known)]
+    for s in known:
+        if not any(w in s for w in out):
+            out.append(max((w for w in s.split() if w not in re.split(r"\$\d| ", ANY_HOLDER)), key=len, default=""))
+    return out
+
+
 def normalise(sentence: str) -> str:
     return re.sub(NOT_A_WORD, " ", sentence.lower()).strip()
 
@@ -156,7 +166,7 @@ def license_matches(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rule
     ids = F.transform(found, lambda s: F.try_element_at(table, F.translate(s, "\n", " ")))
     low = F.lower(text)
     maybe = F.lit(False)
-    for w in KEY_WORDS:
+    for w in key_words(known):
         maybe = maybe | low.contains(w)
     d = docs.select("doc_id", F.when(maybe, ids).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
     # identifiers as '<a><b>': a rule is a run of them, and leaves '<>' behind

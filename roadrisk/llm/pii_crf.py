@@ -20,8 +20,10 @@ result; other columns don't matter.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 import re
 from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -340,12 +342,18 @@ def trained() -> Crf:
 
 
 def all_spans(crf: Crf, texts: list[str]):
-    """For each text: (base spans, all spans), both sorted."""
+    """For each text: (base spans, all spans), both sorted; found spans stay where no base span overlaps."""
     base = [base_spans(t) for t in texts]
     out = []
     for b, more in zip(base, label_texts(crf, texts)):
-        edges = sorted((s, e) for s, _, e in b)
-        free = [x for x in more if not any(s < x[2] and x[0] < e for s, e in edges)]
+        starts = sorted(s for s, _, _ in b)
+        # reach[i]: the farthest end of the i + 1 base spans that start first
+        reach = list(accumulate((e for _, e in sorted((s, e) for s, _, e in b)), max))
+        free = []
+        for x in more:
+            i = bisect_left(starts, x[2])
+            if not i or reach[i - 1] <= x[0]:
+                free.append(x)
         out.append((b, sorted(b + free)))
     return out
 

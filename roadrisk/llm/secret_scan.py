@@ -81,17 +81,17 @@ def update_ledger(versions: DataFrame, ledger_path: str, rules=tuple(RULES + MOR
     version = rule_version(rules)
     schema = "blob_id string, rule_version string, findings array<struct<start:int,ord:int,kind:string,end:int>>"
     seen = checkpoint(versions.select("path", F.sha2(text_or_empty(), 256).alias("blob_id")))
-    # one version of each blob stands for it; a null path joins as the smallest one
-    path = F.coalesce("path", F.lit(-(1 << 63)))
-    new = seen.groupBy("blob_id").agg(F.min(path).alias("path"))
+    # one version of each blob stands for it: that of its smallest path, a null one if it has no other
+    new = seen.groupBy("blob_id").agg(F.min("path").alias("path"))
     try:
         new = new.join(spark.read.schema(schema).parquet(ledger_path).filter(F.col("rule_version") == version), "blob_id", "left_anti")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    texts = versions.select(path.alias("path"), text_or_empty().alias("text")).withColumn("blob_id", F.sha2("text", 256))
+    texts = versions.select("path", text_or_empty().alias("text")).withColumn("blob_id", F.sha2("text", 256))
     # the path alone picks the row (paths with several versions also need the blob)
-    texts = texts.join(new.hint("shuffle_hash"), ["path", "blob_id"], "left_semi")
+    new = new.select(F.col("blob_id").alias("__blob"), F.col("path").alias("__path"))
+    texts = texts.join(new, (F.col("blob_id") == F.col("__blob")) & F.col("path").eqNullSafe(F.col("__path")), "left_semi")
     scan_blobs(texts, rules).withColumn("rule_version", F.lit(version)).select("blob_id", "rule_version", "findings") \
         .write.mode("append").parquet(ledger_path)
     ledger = spark.read.schema(schema).parquet(ledger_path).filter(F.col("rule_version") == version)

@@ -200,7 +200,8 @@ def mix(docs: DataFrame, block: int = 128, **how) -> DataFrame:
     # rows repeated under one id and text are told apart by number; what each takes is interchangeable
     key = Window.partitionBy("doc_id", "h").orderBy("row")
     plan = base.withColumn("nth", F.row_number().over(key)).join(taken, "row").select(
-        F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("nth").alias("__n"), "first", "times")
+        F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("nth").alias("__n"),
+        F.col("first").alias("__first"), F.col("times").alias("__times"))
     whole = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64(text_or_empty()))
     whole = whole.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__hash")))
     j = whole.join(plan, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__h")) & (F.col("__nth") == F.col("__n")))
@@ -222,5 +223,5 @@ def mix(docs: DataFrame, block: int = 128, **how) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return j.select(*docs.columns, F.col("first").alias("__first"), F.col("times").alias("__times")).mapInArrow(tidy(run), ddl)
+    return j.select(*docs.columns, "__first", "__times").mapInArrow(tidy(run), ddl)
 

@@ -154,3 +154,11 @@ def test_where_lines_join(spark):
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
     got = {r.doc_id: r.licences for r in L.license_scan(cases.documents(spark, rows)).collect()}
     assert [got[i] for i in range(len(rows))] == list(texts.values())
+
+
+def test_own_sentences_need_none_of_the_key_words(spark):
+    from roadrisk.llm import license_scan
+    rows = [(1, "Use it at your own risk. Nothing else."), (2, "use it at your\nown risk"), (3, "at your own"), (4, None)]
+    m = license_scan.license_matches(spark.createDataFrame(rows, "doc_id long, text string"), {"Risk": "Use it at your own risk"}, [("Risky", ["Risk"])])
+    assert {r.doc_id: r.licences for r in m.collect()} == {1: ["Risky"], 2: ["Risky"], 3: [], 4: []}
+    assert set(license_scan.key_words(license_scan.known_sentences())) <= set(license_scan.KEY_WORDS)

@@ -67,3 +67,17 @@ def test_ledger_scans_a_blob_once(spark, tmp_path):
 
 def test_empty_table(spark):
     assert X.secret_scan(cases.documents(spark, [])).count() == 0
+
+
+def test_paths_may_be_text_and_null(spark, tmp_path):
+    from roadrisk.llm import secret_scan as ss
+    token = "AKIA" + "A1" * 10
+    rows = [("src/a.py", f"key {token}"), ("src/b.py", f"key {token}"), (None, f"other {token}"), (None, "nothing"), ("src/a.py", "second version")]
+    path = str(tmp_path / "ledger")
+    versions = spark.createDataFrame(rows, "path string, text string")
+    got = ss.secret_findings(versions, path).collect()
+    assert sorted((r.path or "", len(r.findings or [])) for r in got) == [("", 0), ("", 1), ("src/a.py", 0), ("src/a.py", 1), ("src/b.py", 1)]
+    n = spark.read.parquet(path).count()
+    assert n == 4
+    # the second run finds all blobs in the ledger and scans none
+    assert len(ss.secret_findings(versions, path).collect()) == 5 and spark.read.parquet(path).count() == n

@@ -109,3 +109,16 @@ def test_empty_table(spark):
     assert M.mix_counts(docs).count() == 0 and M.mix(docs).count() == 0
     nothing = cases.documents(spark, [(1, None, "en", "a", 0), (2, " ", "en", None, 0)])
     assert {(r.size, r.target, r.taken) for r in M.mix_counts(nothing).collect()} == {(0, 0.0, 0)} and M.mix(nothing).count() == 0
+
+
+def test_mix_takes_documents_with_its_own_column_names(spark):
+    from roadrisk.llm import source_mix
+    from pyspark.sql import functions as F
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sequence(F.lit(0), F.col("id") % 200)).alias("text"),
+                                   F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    own = {n: F.lit(n) for n in ("times", "first", "src", "words", "row", "block", "size", "target", "h", "nth")}
+    plain = sorted((r.doc_id, r.text) for r in source_mix.mix(docs).collect())
+    got = source_mix.mix(docs.withColumns(own))
+    rows = got.collect()
+    assert got.columns == ["doc_id", "text", "source", *own] and all(r[n] == n for r in rows for n in own)
+    assert sorted((r.doc_id, r.text) for r in rows) == plain
