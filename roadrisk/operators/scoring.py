@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.ids import content_ids
 from ..functions.quantiles import exact_quantiles
 from ..functions.scalar import cut, cut_rank, safe_div
 from . import evaluation as V
@@ -40,9 +41,10 @@ def score_predictions(df: DataFrame, p: str = "claim_probability", sev: str = "c
                       timestamp: bool = False) -> DataFrame:
     """R1 tail + R3-R5: expected amount, risk score, category, interval.
     Ids travel through the projection (never positional); R2: a missing
-    trip_id is replaced by a generated unique id (not positional-stable)."""
+    trip_id is made from the row's content (`content_ids`): unique, and the same on every run."""
     if "trip_id" in ids and "trip_id" not in df.columns:
-        df = df.withColumn("trip_id", F.concat(F.lit("trip_"), F.monotonically_increasing_id().cast("string")))
+        df = content_ids(df, "trip_id", F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})) \
+            .withColumn("trip_id", F.concat(F.lit("trip_"), "trip_id"))
     cols = [c for c in ids if c in df.columns]
     out = [*cols, F.col(p).alias("claim_probability"), F.col(sev).alias("claim_severity_prediction"),
            (F.col(p) * F.col(sev)).alias("expected_claim_amount"),
@@ -158,7 +160,7 @@ def unscored(trips: DataFrame, scored: DataFrame, key: str = "trip_id") -> DataF
 
 def with_claim_drivers(trips: DataFrame, key: str = "driver_id") -> DataFrame:
     """Trips of drivers that have at least one claim (left semi join)."""
-    claimants = trips.filter(F.col("has_claim") == 1).select(key)
+    claimants = trips.filter(F.col("has_claim") == 1).select(key).distinct()
     return trips.join(claimants, key, "left_semi")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ids import content_ids
 from .. import config as C
 from ..schemas import (NUMERIC_READING_FIELDS, OPTIONAL_NUMERIC_FIELDS, RAW_DOC, RAW_READING,
                        READING_FIELDS)
@@ -149,12 +150,9 @@ def read_raw_documents(spark: SparkSession, path: str, pattern: str = "*.json",
         reader = reader.option("wholetext", True)
     text = reader.text(path).select(F.col("_metadata.file_path").alias("file_path"), "value")
     if json_lines:
-        # Line number inside a file is not exposed; a monotonically increasing
-        # id is unique per line and stable for the same input split.
-        text = text.filter(F.trim("value") != "").withColumn("doc_no", F.monotonically_increasing_id())
-    else:
-        text = text.withColumn("doc_no", F.lit(0).cast("long"))
-    return text
+        # no line numbers inside a file: a line is told by its content, equal ones by their number
+        return content_ids(text.filter(F.trim("value") != ""), "doc_no", F.col("value"), ["file_path"])
+    return text.withColumn("doc_no", F.lit("0"))
 
 
 def read_readings_json(spark: SparkSession, path: str, pattern: str = "*.json",
