@@ -126,3 +126,15 @@ def privacy_projection(trip_rows: DataFrame) -> DataFrame:
     drop = [c for c in ("start_time", "end_time", "timestamp", "gps_latitude", "gps_longitude", "device_id")
             if c in trip_rows.columns]
     return trip_rows.drop(*drop)
+
+
+def union_batches(batches: dict[str, DataFrame], source: str = "batch") -> DataFrame:
+    """Batches of trips under each other, by column name; a column that a batch lacks is null
+    there, ``source`` names the batch. No batch: an error."""
+    if not batches:
+        raise ValueError("no batches to unite")
+    out = None
+    for name, df in batches.items():
+        d = df.withColumn(source, F.lit(name))
+        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    return out

@@ -8,6 +8,7 @@ from ..functions.scalar import r as round6
 from ..operators import analytics as A
 from ..operators import drivers as D
 from ..operators import features as FE
+from ..operators import trips as TR
 from . import views
 from .catalog import R, register, rounded
 from .oracle_sql import rnd
@@ -91,6 +92,31 @@ def q_weekday(spark, sf):
     return rounded(A.weekday_profile(views.trips(spark, sf)))
 
 
+@register("week_profile", rnd(with_views("trips") + """
+SELECT CAST(week(trip_date) AS INTEGER) AS week_number, dayname(trip_date) AS day_of_week, count(*) AS trips,
+  avg(distance_miles) AS distance_miles_mean
+FROM trips GROUP BY 1, 2""", ["distance_miles_mean"]))
+def q_week_profile(spark, sf):
+    """Trips by ISO week and weekday of the real trip date."""
+    t = FE.calendar_columns(views.trips(spark, sf))
+    return rounded(t.groupBy("week_number", "day_of_week").agg(F.count(F.lit(1)).alias("trips"), F.avg("distance_miles").alias("distance_miles_mean")))
+
+
+@register("trip_batches_union", with_views("trips") + """
+SELECT CASE trip_id % 3 WHEN 0 THEN 'whole' WHEN 1 THEN 'no zones' ELSE 'no distance' END AS batch, count(*) AS trips,
+  CAST(count(CASE WHEN trip_id % 3 <> 1 THEN start_zone END) AS BIGINT) AS with_zone,
+  CAST(count(CASE WHEN trip_id % 3 <> 2 THEN distance_miles END) AS BIGINT) AS with_distance,
+  CAST(sum(trip_id) AS BIGINT) AS trip_id_sum
+FROM trips GROUP BY 1""")
+def q_batches(spark, sf):
+    """Three batches, two of which lack columns, united by name."""
+    t = views.trips(spark, sf)
+    part = lambda i: t.filter(F.col("trip_id") % 3 == i)
+    u = TR.union_batches({"whole": part(0), "no zones": part(1).drop("start_zone", "end_zone"), "no distance": part(2).drop("distance_miles")})
+    return u.groupBy("batch").agg(F.count(F.lit(1)).alias("trips"), F.count("start_zone").alias("with_zone"),
+                                  F.count("distance_miles").alias("with_distance"), F.sum("trip_id").alias("trip_id_sum"))
+
+
 @register("time_of_day_rates", rnd(with_views("trips") + """
 SELECT time_of_day, count(*) AS trips, avg(average_speed_mph) AS average_speed_mph_mean,
   avg(CAST(phone_usage_seconds > 0 AS INTEGER)) * 100 AS phone_usage_rate_pct
