@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+import os
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import analytics as A
+from ..operators import drivers as D
 from ..operators import evaluation as V
 from ..operators import features as FE
 from ..operators import scoring as S
+from ..sources.tables import checkpoint_dir, write_driver_aggregates, write_predictions, write_summary_json
 from . import views
 from .catalog import lit, register, rounded
 from .oracle_sql import rnd
@@ -95,6 +99,28 @@ def q_prediction_summary(spark, sf):
     return rounded(S.prediction_summary(_pred(spark, sf)))
 
 
+@register("named_sinks", with_views("scored") + """
+SELECT 'drivers' AS sink, count(DISTINCT driver_id) AS rows, count(driver_id) AS trips, CAST(sum(driver_id) AS BIGINT) AS key_sum FROM trips
+UNION ALL SELECT 'predictions', count(*), count(*), CAST(sum(trip_id) AS BIGINT) FROM scored
+UNION ALL SELECT 'summary', 1, count(*), CAST(sum(CAST(claim_probability > 0.5 AS INTEGER)) AS BIGINT) FROM scored""")
+def q_named_sinks(spark, sf):
+    """Driver table, predictions and their summary written, read back and counted
+    (key_sum: driver of every trip, trip ids, high-risk trips)."""
+    base = os.path.join(checkpoint_dir(spark), "sinks", uuid.uuid4().hex)
+    at = {n: os.path.join(base, n) for n in ("drivers", "predictions", "summary")}
+    write_driver_aggregates(D.driver_features_basic(views.trips(spark, sf)), at["drivers"])
+    write_predictions(_pred(spark, sf), at["predictions"])
+    write_summary_json(S.prediction_summary(spark.read.parquet(at["predictions"])), at["summary"])
+    row = lambda df, name, *cols: df.agg(*cols).select(
+        F.lit(name).alias("sink"), *[F.col(c).cast("long").alias(c) for c in ("rows", "trips", "key_sum")])
+    n = F.count(F.lit(1))
+    return row(spark.read.parquet(at["drivers"]), "drivers", n.alias("rows"), F.sum("total_trips").alias("trips"),
+               F.sum(F.col("driver_id") * F.col("total_trips")).alias("key_sum")) \
+        .unionByName(row(spark.read.parquet(at["predictions"]), "predictions", n.alias("rows"), n.alias("trips"), F.sum("trip_id").alias("key_sum"))) \
+        .unionByName(row(spark.read.json(at["summary"]), "summary", n.alias("rows"), F.sum("total_predictions").alias("trips"),
+                         F.sum("high_risk_count").alias("key_sum")))
+
+
 @register("high_risk_report", rnd(with_views("scored") + "," + PRED_SQL + """
 SELECT driver_id, trip_id, claim_probability, expected_claim_amount FROM pred WHERE claim_probability > 0.5""",
                                   ["claim_probability", "expected_claim_amount"]))

@@ -55,9 +55,19 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     w.save(path)
 
 
+def write_driver_aggregates(drivers: DataFrame, path: str, buckets: int = 16, key: str = "driver_id") -> None:
+    """Driver table, spread over ``buckets`` folders by a hash of the driver."""
+    write_table(drivers, path, buckets=buckets, bucket_col=key)
+
+
+def write_predictions(predictions: DataFrame, path: str, mode: str = "append") -> None:
+    """Scored trips by risk category; batches are appended."""
+    write_table(predictions, path, mode=mode, partition_by=["risk_category"])
+
+
 def write_summary_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A (one-row) summary DataFrame written as JSON."""
-    df.coalesce(1).write.mode(mode).json(path)
+    """A summary of one row (or one per group) as JSON lines, nulls written out."""
+    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
