@@ -15,17 +15,24 @@ size-1 inner links need no pairs, and windows compare leaders only. Two
 classes whose leaders are near enough to hold a linked pair are compared
 member by member in blocks of bounded size; only counts leave a block.
 
-Two leaders meet for certain in a pass if their codes share the first
-log2(leaders / window) bits (directions in general position), each of which
-they share with probability 1 - angle / pi. So a label with more leaders gets
-more passes, as many as bring a pair at the link angle together with
-probability ``recall``; a label that fits one window gets one, which compares
-all its pairs.
+Codes of a label are taken from its mean, so that leaders crowded round one
+direction spread as well. Two leaders meet for certain in a pass if their codes
+share the first log2(leaders / window) bits, each of which they share with
+probability 1 - angle / pi, the angle seen from the mean. So a label with more
+leaders gets more passes, as many as bring a pair at the link angle together
+with probability ``recall``; a label that fits one window gets one, which
+compares all its pairs.
+
+The formula knows one crowd, not several. So after each round every label
+counts the near pairs that one pass and that two passes found; from these
+follows how many no pass found (Chao's estimate for repeated samples). A label
+whose share found is below ``recall`` gets twice the passes, until it is reached
+or the windows of its passes would add up to the label itself: then its window
+grows to the whole label, compared in pairs of blocks, and nothing is missed.
 
 Cosines are computed in double precision. Links reported are verified; links
 missed are those whose classes never meet in a window (tests measure recall
-against brute force). Leaders crowded round one direction fill windows faster
-than the formula says.
+against brute force, crowded labels too).
 
 Edge cases: a vector that is null, empty, zero or has a null or non-finite
 component, or whose label is null, links with nothing (n_links 0, its own
@@ -44,6 +51,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bounded import broadcast_if_small
 from .common import attach_group_stats, checkpoint, connected_components, running_starts, ship, shuffle_partitions
 
 #: slack of the angle bounds, far above double rounding
@@ -124,71 +132,146 @@ def gather_classes(vectors: DataFrame, cosine: float, seed: int, bits: int, wind
     return _sorted_pass(vectors, seed, bits).mapInPandas(run, "row long, leader long, near double")
 
 
-def passes_needed(n: Column, radius: Column, cosine: float, window: int, least: int, recall: float) -> Column:
+def passes_needed(n: Column, radius: Column, crowd: Column, cosine: float, window: int, least: int, recall: float) -> Column:
     """Passes after which two linked members' leaders have met with probability
     ``recall``, for ``n`` leaders of classes of at most ``radius``, whose members
-    lie off their leaders in unrelated directions."""
-    angle = F.acos(F.lit(cosine) * F.cos(radius) * F.cos(radius))
-    meet = F.pow(1 - angle / math.pi, F.log2(n / window))
-    more = F.ceil(math.log(1 - recall) / F.log1p(-meet)).cast("int")
+    lie off their leaders in unrelated directions. ``crowd`` is the squared
+    length of the leaders' mean: the mean cosine of two of them."""
+    seen = (F.lit(cosine) * F.cos(radius) * F.cos(radius) - crowd) / F.greatest(1 - crowd, F.lit(1e-9))
+    meet = F.pow(1 - F.acos(F.greatest(F.lit(-0.9), F.least(seen, F.lit(1.0)))) / math.pi, F.log2(n / window))
+    more = F.ceil(F.least(F.lit(1e9), math.log(1 - recall) / F.log1p(-F.least(meet, F.lit(1 - 1e-9))))).cast("int")
     return F.when(n <= window, F.lit(1)).otherwise(F.greatest(F.lit(least), more))
 
 
-def code_places(leaders: DataFrame, cosine: float, seed: int, bits: int, window: int, passes: int, recall: float) -> DataFrame:
-    """(pass, label, dim, row, n, place): each leader's place, from 0, in the code
-    order of its label and length, for every pass that these need."""
-    group = ["label", "dim"]
-    sized = attach_group_stats(leaders, group, {"n": (F.count("*"), F.sum), "most": (F.max("radius"), F.max)}, ["row"])
-    sized = sized.filter("n > 1").withColumn("passes", passes_needed(F.col("n"), F.col("most"), cosine, window, passes, recall))
+GROUP = ["label", "dim"]
+
 
+def centres(leaders: DataFrame) -> DataFrame:
+    """(label, dim, centre): the mean of a label's unit vectors."""
     def run(frames):
         for f in frames:
-            for _, part in f.groupby("dim"):
+            for (label, dim), part in f.groupby(GROUP):
                 x = _unit(part["embedding"])
-                for k in range(part["passes"].max()):
-                    own = (part["passes"] > k).to_numpy()
-                    out = part.loc[own, ["label", "dim", "row", "n"]]
-                    yield out.assign(code=_code(x[own], seed + k, bits)).assign(**{"pass": k})
+                yield pd.DataFrame({"label": label, "dim": dim, "at": np.arange(dim), "s": x.sum(0), "k": len(x)})
+
+    label = leaders.schema["label"].dataType.simpleString()
+    sums = leaders.select(*GROUP, "embedding").mapInPandas(run, f"label {label}, dim int, at int, s double, k long")
+    mean = sums.groupBy(*GROUP, "at").agg((F.sum("s") / F.sum("k")).alias("m"))
+    return mean.groupBy(*GROUP).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda e: e["m"]).alias("centre"))
+
+
+def code_places(leaders: DataFrame, seed: int, bits: int) -> DataFrame:
+    """(pass, label, dim, row, n, place): each leader's place, from 0, in the code
+    order of its label and length, for passes ``lo`` to before ``hi``."""
+    def run(frames):
+        for f in frames:
+            for _, part in f.groupby(GROUP):
+                x, centre = _unit(part["embedding"]), part["centre"].iat[0]
+                if centre is not None:
+                    x = x - np.asarray(centre)
+                for k in range(part["lo"].iat[0], part["hi"].iat[0]):
+                    yield part[["label", "dim", "row", "n"]].assign(code=_code(x, seed + k, bits)).assign(**{"pass": k})
 
     label = leaders.schema["label"].dataType.simpleString()
-    coded = sized.select("label", "dim", "row", "n", "passes", "embedding").mapInPandas(
+    coded = leaders.select(*GROUP, "row", "n", "lo", "hi", "centre", "embedding").mapInPandas(
         run, f"label {label}, dim int, row long, n long, code binary, pass int")
     # the row number ends the order: copies with the same code may be parted
-    return running_starts(coded.withColumn("one", F.lit(1)), ["pass", *group], ["code", "row"], "one", "place") \
-        .select("pass", *group, "row", "n", "place")
+    return running_starts(coded.withColumn("one", F.lit(1)), ["pass", *GROUP], ["code", "row"], "one", "place") \
+        .select("pass", *GROUP, "row", "n", "place")
 
 
-def near_classes(leaders: DataFrame, cosine: float, seed: int, bits: int, window: int, passes: int, recall: float) -> DataFrame:
-    """(a, b, c) with a < b: leaders in one window of a pass, c their cosine, near
-    enough for their classes to hold a linked pair."""
+def _compared(dealt: DataFrame, key: list[str], order: list[str], cosine: float, window: int) -> DataFrame:
+    """(label, dim, a, b, c, likely) with a < b: leaders of equal ``key``, near enough
+    for their classes to hold a linked pair, c their cosine. A row that is ``own``
+    is compared with the last ``window`` rows before it that are ``held``."""
     link = math.acos(cosine) + SLACK
-    cut = 2 * window
-    key = ["pass", "label", "dim", "block"]
 
     def run(frames):
         last = old = old_row = old_r = None
         for part in _runs(frames, BLOCK, key):
             here = tuple(part[k].iat[0] for k in key)
-            x, rows = _unit(part["embedding"]), part["row"].to_numpy()
-            r, own = part["radius"].to_numpy(), part["own"].to_numpy()
+            x, rows, r = _unit(part["embedding"]), part["row"].to_numpy(), part["radius"].to_numpy()
+            own, held = part["own"].to_numpy(), part["held"].to_numpy()
             if here != last:
                 last, old, old_row, old_r = here, np.empty((0, x.shape[1])), np.empty(0, np.int64), np.empty(0)
             both, both_row, both_r = np.concatenate([old, x]), np.concatenate([old_row, rows]), np.concatenate([old_r, r])
-            s = x @ both.T
-            limit = np.cos(np.minimum(math.pi, link + r[:, None] + both_r[None, :]))
-            # rows of the block before compare there
-            i, j = np.nonzero((s >= limit) & own[:, None] & (np.arange(len(both))[None, :] < len(old) + np.arange(len(x))[:, None]))
-            yield pd.DataFrame({"a": np.minimum(rows[i], both_row[j]), "b": np.maximum(rows[i], both_row[j]), "c": s[i, j]})
-            old, old_row, old_r = both[-window:], both_row[-window:], both_r[-window:]
-
+            if own.any():
+                s = x @ both.T
+                limit = np.cos(np.minimum(math.pi, link + r[:, None] + both_r[None, :]))
+                before = np.arange(len(both))[None, :] < len(old) + np.arange(len(x))[:, None]
+                stays = np.concatenate([np.ones(len(old), bool), held])
+                i, j = np.nonzero((s >= limit) & own[:, None] & before & stays[None, :])
+                yield pd.DataFrame({
+                    "label": part["label"].iat[0], "dim": part["dim"].iat[0], "a": np.minimum(rows[i], both_row[j]),
+                    "b": np.maximum(rows[i], both_row[j]), "c": s[i, j],
+                    "likely": s[i, j] >= cosine * np.cos(r[i]) * np.cos(both_r[j])})
+            if held.any():
+                stays = np.concatenate([np.ones(len(old), bool), held])
+                old, old_row, old_r = both[stays][-window:], both_row[stays][-window:], both_r[stays][-window:]
+
+    label = dealt.schema["label"].dataType.simpleString()
+    return dealt.repartition(shuffle_partitions(dealt.sparkSession), *key).sortWithinPartitions(*key, *order) \
+        .mapInPandas(run, f"label {label}, dim int, a long, b long, c double, likely boolean")
+
+
+def near_in_windows(leaders: DataFrame, cosine: float, seed: int, bits: int, window: int) -> DataFrame:
+    """Near leaders (see ``_compared``), once for each pass whose window they share.
+    Blocks of two windows of places get the window before them along."""
+    cut = 2 * window
     block = F.floor(F.col("place") / cut).cast("long")
     along = (F.col("place") % cut >= cut - window) & ((block + 1) * cut < F.col("n"))
-    dealt = code_places(leaders, cosine, seed, bits, window, passes, recall).select(
-        "pass", "label", "dim", "row", "place", F.explode(F.when(along, F.array(block, block + 1)).otherwise(F.array(block))).alias("block")) \
-        .withColumn("own", F.col("block") == block)
-    return dealt.join(leaders.select("row", "embedding", "radius"), "row") \
-        .repartition(shuffle_partitions(leaders.sparkSession), *key).sortWithinPartitions(*key, "place") \
-        .mapInPandas(run, "a long, b long, c double")
+    dealt = code_places(leaders, seed, bits).select(
+        "pass", *GROUP, "row", "place", F.explode(F.when(along, F.array(block, block + 1)).otherwise(F.array(block))).alias("block")) \
+        .withColumn("own", F.col("block") == block).withColumn("held", F.lit(True))
+    return _compared(dealt.join(leaders.select("row", "embedding", "radius"), "row"),
+                     ["pass", *GROUP, "block"], ["place"], cosine, window)
+
+
+def near_in_label(leaders: DataFrame, cosine: float, rows: int) -> DataFrame:
+    """Near leaders (see ``_compared``) of whole labels: blocks of some ``rows`` rows by
+    row hash, every two of which meet in one piece of work of bounded size."""
+    last = F.floor((F.col("n") - 1) / rows).cast("long")
+    block = F.pmod(F.xxhash64("row"), last + 1)
+    dealt = leaders.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))) \
+        .select(*GROUP, "row", "embedding", "radius", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")) \
+        .withColumn("own", F.col("block") == F.col("j")).withColumn("held", F.col("block") == F.col("i"))
+    return _compared(dealt, [*GROUP, "i", "j"], ["block", "row"], cosine, 1 << 62)
+
+
+def near_classes(leaders: DataFrame, cosine: float, seed: int, bits: int, window: int, passes: int, recall: float) -> DataFrame:
+    """(a, b, c) with a < b: leaders that met, near enough for their classes to
+    hold a linked pair, c their cosine. Rounds of passes, as the module's head says;
+    what a round decides is one row per label."""
+    leaders = checkpoint(attach_group_stats(
+        leaders, GROUP, {"n": (F.count("*"), F.sum), "most": (F.max("radius"), F.max)}, ["row"]).filter("n > 1"))
+    labels = leaders.groupBy(*GROUP).agg(F.max("n").alias("n"), F.max("most").alias("most"))
+    labels = labels.join(centres(leaders.filter(F.col("n") > window)), GROUP, "left")
+    crowd = F.coalesce(F.aggregate("centre", F.lit(0.0), lambda s, e: s + e * e), F.lit(0.0))
+
+    def all_of(hi):  # windows of so many passes compare as much as the whole label
+        return hi * F.lit(2.0 * window) >= F.col("n")
+
+    hi = passes_needed(F.col("n"), F.col("most"), crowd, cosine, window, passes, recall)
+    todo = checkpoint(labels.withColumn("lo", F.lit(0)).withColumn("hi", hi).select(
+        *GROUP, "n", "centre", "lo", "hi", ((F.col("hi") > F.greatest(F.lit(1), F.lit(passes))) & all_of(F.col("hi"))).alias("all")))
+    found = None
+    while True:
+        now = leaders.select(*GROUP, "row", "embedding", "radius").join(broadcast_if_small(todo), GROUP)
+        met = near_in_windows(now.filter("NOT all"), cosine, seed, bits, window).unionByName(
+            near_in_label(now.filter("all"), cosine, 8 * window)).withColumn("times", F.lit(1).cast("long"))
+        met = met if found is None else met.unionByName(found)
+        found = checkpoint(met.groupBy(*GROUP, "a", "b").agg(
+            F.max("c").alias("c"), F.max("likely").alias("likely"), F.sum("times").alias("times")))
+        counts = found.filter("likely").groupBy(*GROUP).agg(
+            F.count("*").cast("double").alias("s"), F.count_if(F.col("times") == 1).cast("double").alias("once"),
+            F.count_if(F.col("times") == 2).cast("double").alias("twice"))
+        missed = (1 - 1 / F.col("hi")) * F.col("once") * (F.col("once") - 1) / (2 * (F.col("twice") + 1))
+        twice = 2 * F.col("hi")
+        todo = checkpoint(todo.filter(~F.col("all") & (F.col("n") > window)).join(counts, GROUP)
+                          .filter(missed > (1 - recall) * (F.col("s") + missed))
+                          .select(*GROUP, "n", "centre", F.col("hi").alias("lo"), twice.alias("hi"), all_of(twice).alias("all")))
+        if todo.isEmpty():
+            return found.select("a", "b", "c")
 
 
 def compare_members(pairs: DataFrame, members: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
@@ -235,10 +318,10 @@ def near_duplicate_vectors(df: DataFrame, cosine: float = 0.93, passes: int = 8,
     member = checkpoint(gather_classes(vectors, cosine, seed, bits, window))
     classes = checkpoint(member.groupBy("leader").agg(
         F.count("*").alias("size"), F.acos(F.least(F.lit(1.0), F.min("near"))).alias("radius")))
-    leaders = checkpoint(vectors.join(classes, F.col("row") == F.col("leader")).select(*vectors.columns, "radius"))
+    leaders = vectors.join(classes, F.col("row") == F.col("leader")).select(*vectors.columns, "radius")
     met = near_classes(leaders, cosine, seed + 1, bits, window, passes, recall)
     of = classes.select(F.col("leader"), F.col("size"), F.col("radius"))
-    met = met.groupBy("a", "b").agg(F.max("c").alias("c")) \
+    met = met \
         .join(of.toDF("a", "na", "ra"), "a").join(of.toDF("b", "nb", "rb"), "b")
     met = checkpoint(met.withColumn("sure", F.when((F.col("na") == 1) & (F.col("nb") == 1), F.col("c") >= cosine).otherwise(
         F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c")))) + F.col("ra") + F.col("rb")

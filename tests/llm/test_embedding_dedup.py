@@ -110,6 +110,40 @@ def test_a_label_within_one_window_is_compared_whole(spark):
     assert sorted(tuple(r) for r in got.collect()) == brute(rows)
 
 
+def crowded(n, crowds, between=0.88, cosine=0.935, dim=64, seed=9):
+    """2 n vectors of one label round ``crowds`` directions, those of one crowd at
+    some ``between`` to each other; n of them have a partner at ``cosine``."""
+    rng = np.random.default_rng(seed)
+
+    def off(x):  # a random direction across x
+        y = rng.standard_normal(x.shape)
+        y -= (x * y).sum(1)[:, None] * x
+        return y / np.linalg.norm(y, axis=1)[:, None]
+
+    axes = rng.standard_normal((crowds, dim))
+    axes = (axes / np.linalg.norm(axes, axis=1)[:, None])[rng.integers(0, crowds, n)]
+    x = math.sqrt(between) * axes + math.sqrt(1 - between) * off(axes)
+    both = np.concatenate([x, cosine * x + math.sqrt(1 - cosine ** 2) * off(x)])
+    return both, [(i, v.tolist(), 1, "x", 1) for i, v in enumerate(both)]
+
+
+@pytest.mark.parametrize("crowds", [1, 12])
+def test_crowded_labels_keep_their_links(spark, crowds):
+    x, rows = crowded(3000, crowds)
+    x = x.astype(np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    true = int((x @ x.T >= 0.93).sum()) - len(x)
+    got = D.near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA).repartition(3), window=64).agg({"n_links": "sum"}).first()[0]
+    assert 0.95 * true <= got <= true
+
+
+def test_windows_grow_to_the_whole_label(spark):
+    # one crowd: no number of passes is cheaper than the label itself, in blocks of 32 rows
+    x, rows = crowded(300, 1)
+    got = D.near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA).repartition(3), window=4, passes=2)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
+
+
 @pytest.mark.parametrize("schema", [SCHEMA])
 def test_empty_table(spark, schema):
     assert D.near_duplicate_vectors(spark.createDataFrame([], schema)).count() == 0
