@@ -6,7 +6,9 @@ The trip number mod 6 picks the shape: 0 list with a trip document, 1 list of
 readings without times, 2 trip document, 3 document with ``readings`` that
 lack device and accuracy and hold booleans, 4 one flat document a reading,
 5 documents that can't be parsed. Some speeds are quoted, null, garbage or
-"NaN"; some trips hold a bad time.
+"NaN"; some trips hold a bad time. Every fifth trip of shape 2 has the accuracy
+null throughout (0, not the default), every fifth of shape 0 has the app in its
+metadata alone; metadata names an app and a scenario besides.
 """
 
 from __future__ import annotations
@@ -52,12 +54,13 @@ def documents(r: DataFrame) -> DataFrame:
         F.when(shape.isin(1, 3, 4), trip),
         F.when(shape.isin(1, 4), field("device_id", "device_id")),
         F.when(shape != 1, time),
-        F.when(shape != 3, field("gps_accuracy_meters", "gps_accuracy_meters")),
+        F.when((shape == 2) & (F.col("trip_key") % 5 == 1), F.lit('"gps_accuracy_meters":null'))
+        .when(shape != 3, field("gps_accuracy_meters", "gps_accuracy_meters")),
         F.when(shape == 3, field("screen_on", "screen_on = 1")).otherwise(field("screen_on", "screen_on")),
         F.when(shape == 0, field("speed_ms", "speed_mph / 4")),
         speed,
-        *[field(c, c) for c in ("gps_latitude", "gps_longitude", "accelerometer_x", "accelerometer_y", "accelerometer_z",
-                                "app_foreground")],
+        *[field(c, c) for c in ("gps_latitude", "gps_longitude", "accelerometer_x", "accelerometer_y", "accelerometer_z")],
+        F.when((shape != 0) | (F.col("trip_key") % 5 != 2), field("app_foreground", "app_foreground")),
     ]
     one = r.select("trip_key", "reading_seq", "device_id", shape.alias("shape"),
                    F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("doc"))
@@ -66,8 +69,9 @@ def documents(r: DataFrame) -> DataFrame:
     trips = one.filter("shape <> 4").groupBy("trip_key", "shape", "device_id").agg(
         F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("reading_seq", "doc"))), lambda x: x["doc"]))
         .alias("list"))
-    meta = F.format_string('{"trip_metadata":{"trip_id":"t%d","device_id":"%s"},"sensor_readings":[%s]}',
-                           "trip_key", "device_id", "list")
+    meta = F.format_string(
+        '{"trip_metadata":{"trip_id":"t%d","device_id":"%s","scenario":"s%d","app_foreground":"com.trip"},"sensor_readings":[%s]}',
+        "trip_key", "device_id", "trip_key", "list")
     value = (F.when(F.col("shape") == 0, F.concat(F.lit("["), meta, F.lit("]")))
              .when(F.col("shape") == 1, F.concat(F.lit("["), F.col("list"), F.lit("]")))
              .when(F.col("shape") == 2, meta)
@@ -95,10 +99,12 @@ readings AS (
     CASE WHEN shape = 1 THEN TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(seq AS BIGINT)) ELSE "timestamp" END AS "timestamp",
     CASE WHEN shape = 3 THEN 'unknown_device' ELSE device_id END AS device_id,
     gps_latitude, gps_longitude,
-    CASE WHEN shape = 3 THEN 20.0 ELSE gps_accuracy_meters END AS gps_accuracy_meters,
+    CASE WHEN shape = 3 THEN 20.0 WHEN shape = 2 AND trip_key % 5 = 1 THEN 0.0 ELSE gps_accuracy_meters END AS gps_accuracy_meters,
     CASE WHEN shape = 0 THEN speed_mph / 4 * {lit(C.MS_TO_MPH)}
          WHEN reading_seq % 13 = 0 OR reading_seq % 17 = 0 OR reading_seq % 19 = 0 THEN 0.0 ELSE speed_mph END AS speed_mph,
-    accelerometer_x, accelerometer_y, accelerometer_z, screen_on, app_foreground
+    accelerometer_x, accelerometer_y, accelerometer_z, screen_on,
+    CASE WHEN shape = 0 AND trip_key % 5 = 2 THEN 'com.trip' ELSE app_foreground END AS app_foreground,
+    CASE WHEN shape IN (0, 2) THEN 's' || CAST(trip_key AS VARCHAR) END AS scenario
   FROM numbered WHERE shape <> 5 AND NOT (shape = 2 AND trip_key % 7 = 3)
 )"""
 
@@ -106,11 +112,11 @@ readings AS (
 @register("json_readings", JSON_SQL + f"""
 SELECT {', '.join('"timestamp"' if c == 'timestamp' else
                   f'(floor(({c}) * 1000000.0 + 0.5000076293945312) / 1000000.0) AS {c}'
-                  if c.startswith(('gps', 'speed', 'acc')) else c for c in COLUMNS)} FROM readings""")
+                  if c.startswith(('gps', 'speed', 'acc')) else c for c in COLUMNS)}, scenario FROM readings""")
 def q_json_readings(spark, sf):
     """Raw documents -> normalised readings, every shape and defect."""
     r = read_readings_json(spark, landed(spark, sf), "*.txt", json_lines=True, convert_speed_ms=True)
-    return rounded(r.select(*COLUMNS))
+    return rounded(r.select(*COLUMNS, F.col("metadata")["scenario"].alias("scenario")))
 
 
 @register("json_trip_summary", JSON_SQL + "," + FLAGS_SQL + "," + FOLD_SQL + SUMMARY_SELECT + f"\nWHERE {VALID} = 0")

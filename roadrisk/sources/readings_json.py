@@ -2,13 +2,16 @@
 
 Every file (or, with ``json_lines=True``, every line) is one document in one
 of five shapes: list of trip docs, list of readings, one trip doc, a
-``{readings: [...]}`` doc, or one flat reading. The text is parsed twice with
-one wide schema (as an array and as an object); per document we build an
-array of trips, each an array of readings, then ``posexplode`` twice so the
-reading order inside a trip (``reading_seq``) is exact.
-
-Column-absence defaults (N1) are decided per trip with ``exists`` over the
-trip's reading array, i.e. on the document row itself: no window, no shuffle.
+``{readings: [...]}`` doc, or one flat reading. The text is parsed with one
+document schema (as an array or as an object), flat readings once more as maps;
+per document we build an array of trips, each an array of readings, then
+``posexplode`` twice so the reading order inside a trip (``reading_seq``) is exact.
+
+Readings are maps, so a key that is there with a null differs from one that is
+absent. Column-absence defaults (N1) are decided per trip by the union of its
+readings' keys, i.e. on the document row itself: no window, no shuffle. Every
+``trip_metadata`` key stands for a column that no reading has; all of them are
+kept in the column ``metadata`` as well.
 A multi-line JSON file can only be parsed by one task; for large landings use
 JSON lines (one document per line) or Parquet, which split.
 """
@@ -21,12 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions.ids import content_ids
 from .. import config as C
-from ..schemas import (NUMERIC_READING_FIELDS, OPTIONAL_NUMERIC_FIELDS, RAW_DOC, RAW_READING,
-                       READING_FIELDS)
-
-
-def _reading_from_doc(e: Column) -> Column:
-    return F.struct(*[e[f].alias(f) for f in READING_FIELDS])
+from ..schemas import NUMERIC_READING_FIELDS, OPTIONAL_NUMERIC_FIELDS, RAW_DOC, RAW_READING, READING_FIELDS, TRIP_METADATA
 
 
 CORRUPT = "_corrupt_record"
@@ -56,22 +54,24 @@ def parse_documents(text: DataFrame) -> DataFrame:
     # kind is decided from the first non-blank character.
     is_array, obj = _parsed(text)
     arr = F.when(is_array, F.from_json("value", T.ArrayType(RAW_DOC)))
-    d = text.select("file_path", "doc_no", arr.alias("arr"), obj.alias("obj"))
+    d = text.select("file_path", "doc_no", "value", arr.alias("arr"), obj.alias("obj"))
+    d = d.withColumn("flat", F.when(F.col("obj.sensor_readings").isNull() & F.col("obj.readings").isNull(),
+                                    F.from_json("value", RAW_READING)))
+    d = d.withColumn("flats", F.when((F.size("arr") > 0) & F.col("arr")[0]["sensor_readings"].isNull(),
+                                     F.from_json("value", T.ArrayType(RAW_READING))))
     trip_t = lambda rd, meta: F.struct(rd.alias("readings"), meta.alias("meta"))
-    no_meta = F.lit(None).cast(RAW_DOC["trip_metadata"].dataType)
-    list_of_trips = F.transform("arr", lambda e: trip_t(e["sensor_readings"], e["trip_metadata"]))
-    list_of_readings = F.array(trip_t(F.transform("arr", _reading_from_doc), no_meta))
+    no_meta = F.lit(None).cast(TRIP_METADATA)
     o = F.col("obj")
+    # a document that names sensor_readings or readings without having any gives no trips
     trips = (
-        F.when(F.col("arr").isNotNull() & (F.size("arr") > 0) & F.col("arr")[0]["sensor_readings"].isNotNull(),
-               list_of_trips)
-        .when(F.col("arr").isNotNull() & (F.size("arr") > 0), list_of_readings)
-        .when(F.col("arr").isNotNull(), F.array().cast(T.ArrayType(T.StructType([
-            T.StructField("readings", T.ArrayType(RAW_READING)),
-            T.StructField("meta", RAW_DOC["trip_metadata"].dataType)]))))
+        F.when((F.size("arr") > 0) & (F.col("flats").isNull() | F.map_contains_key(F.col("flats")[0], "sensor_readings")),
+               F.transform("arr", lambda e: trip_t(e["sensor_readings"], e["trip_metadata"])))
+        .when(F.size("arr") > 0, F.array(trip_t(F.col("flats"), no_meta)))
         .when(o["sensor_readings"].isNotNull(), F.array(trip_t(o["sensor_readings"], o["trip_metadata"])))
+        .when(F.map_contains_key("flat", "sensor_readings"), F.lit(None))
         .when(o["readings"].isNotNull(), F.array(trip_t(o["readings"], no_meta)))
-        .when(o.isNotNull(), F.array(trip_t(F.array(_reading_from_doc(o)), no_meta)))
+        .when(F.map_contains_key("flat", "readings"), F.lit(None))
+        .when(o.isNotNull(), F.array(trip_t(F.array("flat"), no_meta)))
     )
     d = d.select("file_path", "doc_no", F.posexplode(trips).alias("trip_idx", "trip"))
     return d.select(
@@ -79,30 +79,39 @@ def parse_documents(text: DataFrame) -> DataFrame:
         "file_path",
         F.col("trip.readings").alias("readings"),
         F.col("trip.meta").alias("meta"),
-    ).filter(F.size("readings") > 0)
+    ).filter((F.size("readings") > 0) & (F.exists("readings", lambda r: F.size(r) > 0) | (F.coalesce(F.size("meta"), F.lit(0)) > 0)))
 
 
 def normalize_readings(trips: DataFrame, convert_speed_ms: bool = False) -> DataFrame:
     """N1-N5 on one row per trip, then explode to one row per reading."""
-    def present(f: str) -> Column:
-        return F.exists("readings", lambda r: r[f].isNotNull())
-
-    cols = ["trip_key", "file_path", "readings", "meta"]
-    flags = [present(f).alias(f"__has_{f}") for f in READING_FIELDS]
-    ts_ok = F.forall(
-        "readings", lambda r: r["timestamp"].isNull() | F.try_to_timestamp(r["timestamp"]).isNotNull()
-    ).alias("__ts_ok")
-    t = trips.select(*cols, *flags, ts_ok)
-    # An unparsable timestamp drops the whole trip.
-    t = t.filter("__ts_ok")
-    x = t.select("*", F.posexplode("readings").alias("reading_seq", "r"))
+    def names(keys, r):
+        return F.array_union(keys, F.coalesce(F.map_keys(r), F.array().cast("array<string>")))
+
+    keys = F.aggregate("readings", F.array().cast("array<string>"), names)
+    t = trips.select("trip_key", "file_path", "readings", "meta", keys.alias("__keys"))
+    flags = []
+    for f in READING_FIELDS:
+        flags += [F.array_contains("__keys", f).alias(f"__has_{f}"),
+                  F.coalesce(F.map_contains_key("meta", f), F.lit(False)).alias(f"__meta_{f}")]
+    t = t.select("*", *flags)
+    # An unparsable timestamp drops the whole trip; N4: without any, times are made up.
+    good = lambda x: x.isNull() | F.try_to_timestamp(x).isNotNull()
+    own, of_trip = F.col("__has_timestamp"), F.col("meta")["timestamp"]
+    t = t.filter(F.when(own, F.forall("readings", lambda r: good(r["timestamp"])))
+                 .otherwise(F.coalesce(good(of_trip), F.lit(True))))
+    t = t.withColumn("__timed", F.when(own, F.exists("readings", lambda r: r["timestamp"].isNotNull()))
+                     .otherwise(of_trip.isNotNull()))
+    x = t.drop("__keys").select("*", F.posexplode("readings").alias("reading_seq", "r")).drop("readings")
 
     def has(f):
-        return F.col(f"__has_{f}")
+        return F.col(f"__has_{f}") | F.col(f"__meta_{f}")
+
+    def raw(f):  # S4: trip_metadata fills columns that no reading carries
+        return F.when(F.col(f"__has_{f}"), F.col("r")[f]).when(F.col(f"__meta_{f}"), F.col("meta")[f])
 
     def num(f: str, default: float) -> Column:
         # N1 then N2: absent column -> default; present but null/garbage/"NaN" -> 0.
-        x = F.nanvl(F.col("r")[f].try_cast("double"), F.lit(0.0))
+        x = F.nanvl(raw(f).try_cast("double"), F.lit(0.0))
         return F.when(has(f), F.coalesce(x, F.lit(0.0))).otherwise(F.lit(default))
 
     defaults = dict(C.READING_DEFAULTS)
@@ -111,28 +120,25 @@ def normalize_readings(trips: DataFrame, convert_speed_ms: bool = False) -> Data
     out = [
         "trip_key",
         F.col("reading_seq").cast("long").alias("reading_seq"),
-        F.when(has("timestamp"), F.try_to_timestamp(F.col("r")["timestamp"]))
+        F.when(F.col("__timed"), F.try_to_timestamp(raw("timestamp")))
         .otherwise(start + F.make_interval(secs=F.col("reading_seq").cast("decimal(18,6)")))
         .alias("timestamp"),
-        # trip_metadata fills columns that no reading carries.
-        F.when(has("trip_id"), F.col("r")["trip_id"]).otherwise(F.coalesce(F.col("meta")["trip_id"], stem))
-        .alias("trip_id"),
-        F.when(has("device_id"), F.col("r")["device_id"])
-        .otherwise(F.coalesce(F.col("meta")["device_id"], F.lit("unknown_device"))).alias("device_id"),
+        F.when(has("trip_id"), raw("trip_id")).otherwise(stem).alias("trip_id"),
+        F.when(has("device_id"), raw("device_id")).otherwise(F.lit("unknown_device")).alias("device_id"),
     ]
     for f in NUMERIC_READING_FIELDS:
         out.append(num(f, defaults[f]).alias(f))
-    screen = F.col("r")["screen_on"]
+    screen = raw("screen_on")
     out.append(
         F.when(has("screen_on"),
                F.when(F.lower(screen).isin("true", "1", "1.0"), 1).otherwise(0))
         .otherwise(F.lit(defaults["screen_on"])).alias("screen_on")
     )
-    out.append(F.when(has("app_foreground"), F.col("r")["app_foreground"])
+    out.append(F.when(has("app_foreground"), raw("app_foreground"))
                .otherwise(F.lit(defaults["app_foreground"])).alias("app_foreground"))
     for f in OPTIONAL_NUMERIC_FIELDS:
-        out.append(F.col("r")[f].try_cast("double").alias(f))
-    out.append(F.col("r")["network_type"].alias("network_type"))
+        out.append(raw(f).try_cast("double").alias(f))
+    out += [raw("network_type").alias("network_type"), F.col("meta").alias("metadata")]
     res = x.select(*out)
     if convert_speed_ms:
         # N6 (opt-in; the reference loader leaves speed_ms unconverted).

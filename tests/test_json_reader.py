@@ -106,3 +106,38 @@ def test_malformed_files_give_no_trips_and_nan_is_zero(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == [("t", 0.0), ("t", 5.0)]
     out = rejected_documents(read_raw_documents(spark, str(tmp_path))).select("value").collect()
     assert sorted(r.value for r in out) == sorted(bad.values())
+
+
+def test_present_nulls_differ_from_absent_keys(spark, tmp_path):
+    rd = [reading(i, gps_accuracy_meters=None, app_foreground=None, device_id=None, timestamp=None) for i in range(3)]
+    write(tmp_path, "nulls.json", {"trip_metadata": {"device_id": "dev", "accelerometer_z": 1}, "sensor_readings": rd})
+    write(tmp_path, "mixed.json", {"readings": [{"trip_id": "m", "speed_mph": 4}, {"trip_id": "m", "gps_accuracy_meters": 7}]})
+    r = {}
+    for x in read_readings_json(spark, str(tmp_path)).orderBy("reading_seq").collect():
+        r.setdefault(x["trip_id"], []).append(x)
+    assert [x["gps_accuracy_meters"] for x in r["nulls"]] == [0.0] * 3  # there, but null: not the default
+    assert all(x["app_foreground"] is None and x["device_id"] is None for x in r["nulls"])
+    assert [x["accelerometer_z"] for x in r["nulls"]] == [9.81] * 3  # the readings' own value wins
+    assert [str(x["timestamp"]) for x in r["nulls"]][1] == "2024-01-01 00:00:01"  # no time at all: made up
+    assert [(x["speed_mph"], x["gps_accuracy_meters"], x["accelerometer_z"]) for x in r["m"]] == [(4.0, 0.0, 9.81), (0.0, 7.0, 9.81)]
+
+
+def test_metadata_of_any_key_fills_absent_columns(spark, tmp_path):
+    rd = [{"speed_mph": 10}, {"speed_mph": 20}]
+    meta = {"trip_id": "t", "scenario": "rain", "battery_level": 55, "gps_accuracy_meters": "3.5", "screen_on": True,
+            "network_type": "5g", "timestamp": "2025-01-02T03:04:05", "weather": None}
+    write(tmp_path, "m.json", [{"trip_metadata": meta, "sensor_readings": rd}])
+    got = read_readings_json(spark, str(tmp_path)).orderBy("reading_seq").collect()
+    assert [x["speed_mph"] for x in got] == [10.0, 20.0]
+    for x in got:
+        assert (x["battery_level"], x["gps_accuracy_meters"], x["screen_on"], x["network_type"]) == (55.0, 3.5, 1, "5g")
+        assert str(x["timestamp"]) == "2025-01-02 03:04:05" and x["device_id"] == "unknown_device"
+        assert x["metadata"]["scenario"] == "rain" and "weather" in x["metadata"]
+
+
+def test_documents_without_any_reading_give_no_trips(spark, tmp_path):
+    empty = [{"sensor_readings": None, "speed_mph": 3}, {"readings": None, "speed_mph": 3}, {"readings": []}, {}, [], [{}],
+             {"sensor_readings": [{}]}, [{"sensor_readings": None}, {"sensor_readings": [{"speed_mph": 8, "trip_id": "only"}]}]]
+    for i, d in enumerate(empty):
+        write(tmp_path, f"{i}.json", d)
+    assert [(x["trip_id"], x["speed_mph"]) for x in read_readings_json(spark, str(tmp_path)).collect()] == [("only", 8.0)]
