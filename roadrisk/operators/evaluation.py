@@ -3,7 +3,7 @@
 ROC-AUC and average precision are exact (ties count half / step form) and
 never put all rows in one task: rows are first reduced to one row per
 distinct score (pos/neg counts), then running sums come from
-``ordered_prefix_sums`` (range buckets + broadcast offsets).
+``ranged_prefix_sums`` (ranges by the data's size + broadcast offsets).
 """
 
 from __future__ import annotations
@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.prefix import ordered_prefix_sums
+from ..functions.prefix import ranged_prefix_sums
 from ..functions.quantiles import exact_quantiles
-from ..sources.tables import cut_lineage
 from ..functions.scalar import safe_div
 
 
@@ -66,27 +65,21 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
     return per.unionByName(avg_rows)
 
 
-def score_table(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 64,
-                extra: list | None = None, materialize: bool = True) -> DataFrame:
+def score_table(df: DataFrame, label: str = "label", score: str = "score", buckets: int | None = None,
+                extra: list | None = None) -> DataFrame:
     """One row per distinct score with pos/neg counts and inclusive
     ascending running sums (cum_pos, cum_neg) plus global totals. `extra`
     aggregates ride along in the same group-by (one pass over the rows).
 
-    The per-score table is read several times by the prefix sums; it is
-    checkpointed once (shared folder) so the input pipeline runs once."""
+    The per-score table is sorted into ranges and checkpointed once (shared
+    folder), so the input pipeline runs once; ``buckets`` fixes the number of ranges."""
     y = F.col(label).cast("long")
     s = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"), *(extra or []))
-    if materialize:
-        s = cut_lineage(s)
-    s = ordered_prefix_sums(s, "score", ["pos", "neg"], buckets=buckets)
-    if materialize:
-        s = cut_lineage(s)
-    tot = s.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return s.crossJoin(F.broadcast(tot))
+    return ranged_prefix_sums(s, "score", ["pos", "neg"], buckets).withColumnsRenamed({"total_pos": "P", "total_neg": "N"})
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 64) -> DataFrame:
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
     """V3: exact ROC-AUC, ties count half; 0.0 when only one class is present."""
     t = score_table(df, label, score, buckets)
     below = F.col("cum_neg") - F.col("neg")
@@ -97,7 +90,7 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", buckets:
         F.col("P").alias("positives"), F.col("N").alias("negatives"))
 
 
-def curve_points(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 64) -> DataFrame:
+def curve_points(df: DataFrame, label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
     """V6: per distinct threshold (predict 1 when score >= threshold):
     tp, fp, tpr, fpr, precision, recall."""
     t = score_table(df, label, score, buckets)
@@ -109,7 +102,7 @@ def curve_points(df: DataFrame, label: str = "label", score: str = "score", buck
         _zero_div(tp, tp + fp).alias("precision"), _zero_div(tp, F.col("P")).alias("recall"))
 
 
-def average_precision(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 64) -> DataFrame:
+def average_precision(df: DataFrame, label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
     """V4: step-form average precision sum(dR * P); 0.0 for one class."""
     t = score_table(df, label, score, buckets)
     tp = F.col("P") - (F.col("cum_pos") - F.col("pos"))
@@ -119,14 +112,13 @@ def average_precision(df: DataFrame, label: str = "label", score: str = "score",
         F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("ap")).otherwise(F.lit(0.0)).alias("average_precision"))
 
 
-def pr_auc_trapezoid(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 64) -> DataFrame:
+def pr_auc_trapezoid(df: DataFrame, label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
     """V5: trapezoid area under the precision-recall points (thresholds
     descending, starting at recall 0 / precision 1)."""
     pts = curve_points(df, label, score, buckets)
     # Trapezoid between consecutive thresholds: neighbours in descending score
     # order are neighbours in the ascending prefix table, joined on rank.
-    ranked = ordered_prefix_sums(pts.withColumn("one", F.lit(1)), "threshold", ["one"], buckets=buckets,
-                                 prefix="rank_")
+    ranked = ranged_prefix_sums(pts.withColumn("one", F.lit(1)), "threshold", ["one"], buckets, prefix="rank_")
     prev = ranked.select((F.col("rank_one") - 1).alias("rank_one"), F.col("recall").alias("r_hi"),
                          F.col("precision").alias("p_hi"))
     j = ranked.join(prev, "rank_one", "left")

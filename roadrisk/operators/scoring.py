@@ -118,7 +118,7 @@ def baseline_stats(pred: DataFrame) -> DataFrame:
                     F.avg("claim_severity_prediction").alias("severity_mean"))
 
 
-def live_performance(pred: DataFrame, claims: DataFrame, buckets: int = 64, threshold: float = 0.5) -> DataFrame:
+def live_performance(pred: DataFrame, claims: DataFrame, buckets: int | None = None, threshold: float = 0.5) -> DataFrame:
     """R9 + J2: predictions inner-join actual claims on trip_id, then claim
     rates, ROC-AUC, precision/recall at the threshold and severity RMSE/MAE
     on claims. AQE picks broadcast or sort-merge for the join from runtime

@@ -2,11 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roadrisk.functions.ordered import ordered_lags
-from roadrisk.functions.prefix import ordered_prefix_sums
+from roadrisk.functions.prefix import ordered_prefix_sums, ranged_prefix_sums
 from roadrisk.plans import views
 from roadrisk.plans.catalog import load_all, QUERIES
 from tests.conftest import SF
@@ -93,3 +94,16 @@ def test_grouped_quantiles_keep_only_bracketed_values(spark):
     # the values meet their group's sketch by broadcast, not by a shuffle on the group
     plan = cells._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 9])
+def test_ranged_prefix_sums_at_any_number_of_ranges(spark, ranges):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).cast("double").alias("s"), (F.col("id") % 7).alias("x"))
+    got = {r["s"]: (r["cum_x"], r["total_x"]) for r in ranged_prefix_sums(df.repartition(5), "s", ["x"], ranges).collect()}
+    run, want = 0, {}
+    rows = sorted((float(i * 37 % 1000), i % 7) for i in range(1000))
+    for s, x in rows:
+        run += x
+        want[s] = (run, sum(x for _, x in rows))
+    assert got == want
+    assert ranged_prefix_sums(df.filter("false"), "s", ["x"], ranges).count() == 0
