@@ -56,7 +56,7 @@ def ordered_lags(
     wk = Window.partitionBy(*keys).orderBy(bk).rowsBetween(-n, -1)
     carry = tails.select(
         *part, F.array_sort(F.flatten(F.collect_list("__tail").over(wk))).alias("__carry")
-    )
+    ).filter(F.size("__carry") > 0)  # a group's first bucket, mostly its only one, takes nothing over
     d = d.join(carry, on=part, how="left")
     out_cols = []
     for j in range(1, n + 1):

@@ -130,23 +130,25 @@ def predicate_rates(trips: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Q13: Pearson r for every ordered pair, computed once per unordered pair
-    in one aggregate pass, unpivoted to (x, y, r)."""
+    """Q13: Pearson r for every ordered pair, computed once per unordered pair.
+
+    Rows are unpivoted to (pair, a, b) and folded by pair before the shuffle:
+    one ``corr`` buffer a pair and task, in whole-stage codegen, where one
+    ``corr`` column for each pair would be a row of hundreds of buffers."""
     columns = list(columns)
-    aggs, pairs = [], []
-    for i, a in enumerate(columns):
-        for b in columns[i + 1:]:
-            aggs.append(F.corr(a, b).alias(f"{a}\u0001{b}"))
-            pairs.append((a, b))
-    one = df.agg(*aggs) if aggs else df.agg(F.lit(1))
-    rows = []
-    for a, b in pairs:
-        v = F.col(f"`{a}\u0001{b}`")
-        rows.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), v.alias("r")))
-        rows.append(F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), v.alias("r")))
-    for a in columns:
-        rows.append(F.struct(F.lit(a).alias("x"), F.lit(a).alias("y"), F.lit(1.0).alias("r")))
-    return one.select(F.inline(F.array(*rows)))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+    names = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in pairs])
+    itself = label_table(df.sparkSession, columns, "x").select("x", F.col("x").alias("y"), F.lit(1.0).alias("r"))
+    if not pairs:
+        return itself
+    values = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+        for i, (a, b) in enumerate(pairs)])))
+    # without rows every pair still has its (null) row
+    known = df.sparkSession.range(1).select(F.posexplode(names).alias("pair", "p")).select("pair", "p.x", "p.y")
+    r = known.join(values.groupBy("pair").agg(F.corr("a", "b").alias("r")), "pair", "left")
+    both = F.array(F.struct("x", "y", "r"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "r"))
+    return r.select(F.inline(both)).unionByName(itself)
 
 
 def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -89,13 +89,38 @@ def test_grouped_quantiles_keep_only_bracketed_values(spark):
     got = {r.g: r.q for r in exact_quantiles(small, "x", probs, out="q", by=["g"]).collect()}
     assert got.keys() == want.keys() and all(abs(a - b) <= 1e-9 * max(1.0, abs(b)) for g in want for a, b in zip(got[g], want[g]))
     v = df.select("g", F.col("x").alias("__v")).filter("x IS NOT NULL")
-    cells = _cells(v, _sketches(v, probs, ["g"], 10_000), probs, ["g"], 10_000)
+    cells = _cells(v, _sketches(v, probs, ["g"], 10_000)[0], probs, ["g"], 10_000)
     assert cells.count() < 120_000 * 8 * len(probs) / 10_000 + 50
     # the values meet their group's sketch by broadcast, not by a shuffle on the group
     plan = cells._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_quantiles_of_many_cells_run_in_ranges(spark):
+    from roadrisk.functions.quantiles import exact_quantiles
+    probs = [0.0, 0.1, 0.5, 0.95, 1.0]
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 6 == 0, "ties").alias("g"),
+        F.when(F.col("id") % 3 > 0, F.exp(F.randn(6) * 4)).otherwise(F.col("id") % 7).alias("x")).checkpoint()
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("x", probs).alias("q")).collect()}
+    whole = df.agg(F.percentile("x", probs)).first()[0]
+
+    def same(a, b):
+        return all(abs(p - q) <= 1e-9 * max(1.0, abs(q)) for p, q in zip(a, b))
+
+    for accuracy, task_cells in ((100, 50), (10_000, 50), (10_000, 3)):
+        grouped = exact_quantiles(df.filter("g IS NOT NULL"), "x", probs, out="q", by=["g"], accuracy=accuracy, task_cells=task_cells)
+        got = {r.g: r.q for r in grouped.collect()}
+        assert set(got) == {"hot", "ties"} and all(same(got[g], want[g]) for g in got)
+        alone = exact_quantiles(df, "x", probs, accuracy=accuracy, task_cells=task_cells)
+        assert same(alone.first()[0], whole)
+        # cells are dealt by range before they are put in order
+        assert "hashpartitioning(__range" in alone._jdf.queryExecution().executedPlan().toString()
+    empty = spark.createDataFrame([], "g string, x double")
+    assert exact_quantiles(empty, "x", [0.5], task_cells=0).first()[0] == [None]
+    assert exact_quantiles(empty, "x", [0.5], by=["g"], task_cells=0).count() == 0
+
+
 @pytest.mark.parametrize("ranges", [None, 1, 9])
 def test_ranged_prefix_sums_at_any_number_of_ranges(spark, ranges):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).cast("double").alias("s"), (F.col("id") % 7).alias("x"))
