@@ -12,10 +12,14 @@
    over estimated cost: probes sent plus candidates met, the latter from the
    partition's squared value counts over all nodes.
 4. Every node is filed under its value in each probed partition and probes all
-   values within t_i there; a candidate pair leaves the join only if it is
-   within `distance`. Pairs in a bucket that the node's twin already reaches
-   aren't listed: only verified links leave.
-5. Components of the links by alternating stars.
+   values within t_i there. First a probe meets one representative of each
+   bucket, the node of the most rows; components of these verified links settle
+   most of a crowded group at one row a probe. Then a probe meets the members of
+   buckets that hold a larger component than its own, and what is listed are the
+   different components of pairs within `distance`. A pair not listed is
+   connected already, so no component is split.
+5. Components by alternating stars: of the first links, then of the components
+   that the second links join.
 
 Edge cases: null text is empty; a text without words has fingerprint zero and
 links like any other; a text with fewer words than a shingle is one shingle;
@@ -179,33 +183,77 @@ def plan_partitions(nodes: DataFrame, distance: int, max_parts: int = 6, probe_c
     return min(plans, key=lambda x: x[0])[1]
 
 
+def keyed(nodes: DataFrame, plan, around: bool) -> DataFrame:
+    """(columns of ``nodes``, k, v): each node under its value in every probed
+    partition, and with ``around`` under all values within the threshold."""
+    out = []
+    for k, (bits, t) in enumerate(plan):
+        flips = [mask_of(x) for r in range(t + 1 if around else 1) for x in itertools.combinations(bits, r)]
+        value = F.col("fp").bitwiseAND(F.lit(mask_of(bits)))
+        out.append(nodes.select(
+            *nodes.columns, F.lit(k).alias("k"),
+            (F.explode(F.transform(F.array(*[F.lit(x) for x in flips]), lambda x: value.bitwiseXOR(x)))
+             if len(flips) > 1 else value).alias("v")))
+    whole = out[0]
+    for o in out[1:]:
+        whole = whole.unionByName(o)
+    return whole
+
+
+def near_by(a: str, b: str, distance: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+
+
+def first_links(nodes: DataFrame, plan, distance: int) -> DataFrame:
+    """Distinct (a, b): nodes (fp, n) within ``distance`` of a bucket's representative."""
+    heads = keyed(nodes, plan, False).groupBy("k", "v").agg(F.max(F.struct("n", "fp"))["fp"].alias("b"))
+    return keyed(nodes.select(F.col("fp")), plan, True).join(heads, ["k", "v"]) \
+        .filter((F.col("fp") != F.col("b")) & near_by("fp", "b", distance)) \
+        .select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
+
+
+def second_links(nodes: DataFrame, plan, distance: int) -> DataFrame:
+    """Distinct (a, b): the roots of all pairs of nodes (fp, root, size) within
+    ``distance`` whose roots differ.
+
+    Either node of a pair probes the bucket that holds the other, so the one of the smaller
+    component is enough: it probes buckets that hold a larger one. A crowd of one
+    component never meets itself, and an outlier in its bucket meets it once."""
+    rank, rank2 = F.struct("size", "root"), F.struct("size2", "root2")
+    filed = keyed(nodes, plan, False)
+    largest = filed.groupBy("k", "v").agg(F.max(rank).alias("most"))
+    probes = keyed(nodes, plan, True).join(largest, ["k", "v"]).filter(rank < F.col("most")).drop("most")
+    other = filed.withColumnsRenamed({"fp": "fp2", "root": "root2", "size": "size2"})
+    return probes.join(other, ["k", "v"]).filter((rank < rank2) & near_by("fp", "fp2", distance)) \
+        .select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct()
+
+
 def links(nodes: DataFrame, plan, distance: int) -> DataFrame:
-    """Distinct (a, b), a < b, of all fingerprints within ``distance``."""
-    def keyed(fp: str, around: bool):
-        out = []
-        for k, (bits, t) in enumerate(plan):
-            flips = [mask_of(x) for r in range(t + 1 if around else 1) for x in itertools.combinations(bits, r)]
-            value = F.col("fp").bitwiseAND(F.lit(mask_of(bits)))
-            out.append(nodes.select(
-                F.col("fp").alias(fp), F.lit(k).alias("k"),
-                (F.explode(F.transform(F.array(*[F.lit(x) for x in flips]), lambda x: value.bitwiseXOR(x)))
-                 if len(flips) > 1 else value).alias("v")))
-        whole = out[0]
-        for o in out[1:]:
-            whole = whole.unionByName(o)
-        return whole
-
-    a, b = keyed("a", True), keyed("b", False)
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return a.alias("a_").join(b.alias("b_"), (F.col("a_.k") == F.col("b_.k")) & (F.col("a_.v") == F.col("b_.v")) & near) \
-        .select("a", "b").distinct()
+    """Distinct (a, b), a < b, of all fingerprints within ``distance``, one row per pair: for
+    callers who want the pairs themselves; components take ``near_roots``."""
+    nodes = nodes.select("fp")
+    other = keyed(nodes, plan, False).withColumnRenamed("fp", "b")
+    return keyed(nodes, plan, True).withColumnRenamed("fp", "a").join(other, ["k", "v"]) \
+        .filter((F.col("a") < F.col("b")) & near_by("a", "b", distance)).select("a", "b").distinct()
+
+
+def near_roots(nodes: DataFrame, plan, distance: int) -> DataFrame:
+    """(fp, root) of every node (fp, n): root is one fingerprint of its component."""
+    settled = connected_components(first_links(nodes, plan, distance)).withColumnRenamed("node", "fp")
+    rooted = nodes.join(settled, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    # very many nodes may have one root: they are split
+    size = {"size": (F.count("*"), F.sum)}
+    rooted = checkpoint(attach_group_stats(rooted, ["root"], size, ["fp"]))
+    joined = connected_components(second_links(rooted, plan, distance)).withColumnsRenamed({"root": "top", "node": "root"})
+    return attach_group_stats(rooted.drop("size"), ["root"], size, ["fp"], lookup=joined) \
+        .select("fp", F.coalesce("top", "root").alias("root"))
 
 
 def component_lows(f: DataFrame, value: Column, distance: int) -> DataFrame:
     """``f``, rows with a fingerprint, plus low: the smallest ``value`` of the row's component."""
-    nodes = checkpoint(f.groupBy("fp").agg(F.min(value).alias("low")))
-    roots = connected_components(links(nodes, plan_partitions(nodes, distance), distance))
-    low = checkpoint(roots.join(nodes, F.col("node") == F.col("fp")).select("node", "root", "low"))
+    nodes = checkpoint(f.groupBy("fp").agg(F.min(value).alias("low"), F.count("*").alias("n")))
+    roots = near_roots(nodes.select("fp", "n"), plan_partitions(nodes, distance), distance)
+    low = checkpoint(roots.join(nodes, "fp").select(F.col("fp").alias("node"), "root", "low"))
     # a component's smallest value, back on each of its nodes
     low = attach_group_stats(low, ["root"], {"whole": (F.min("low"), F.min)}, ["node"]) \
         .select(F.col("node").alias("fp"), "whole")

@@ -55,6 +55,49 @@ def test_links_find_every_pair(spark):
         assert {(r.a, r.b) for r in S.links(nodes, p, 4).collect()} == want
 
 
+def crowds():
+    """Crowds round a centre, chains of steps within the distance, strangers: signed fingerprints."""
+    rng = random.Random(4)
+    flip = lambda f, k: f ^ sum(1 << b for b in rng.sample(range(64), k))
+    fps = {rng.getrandbits(64) for _ in range(200)}
+    for radius, members in ((1, 60), (2, 400), (3, 200), (5, 100)):
+        centre = rng.getrandbits(64)
+        fps |= {flip(centre, rng.randint(0, radius)) for _ in range(members)}
+    for _ in range(10):
+        f = rng.getrandbits(64)
+        for _ in range(12):
+            f = flip(f, 4)
+            fps.add(f)
+    return sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+
+
+def test_roots_equal_brute_force_at_any_thresholds(spark):
+    signed = crowds()
+    want = brute([f & (2 ** 64 - 1) for f in signed], list(range(len(signed))))
+    nodes = spark.createDataFrame([(f, 1 + i % 5) for i, f in enumerate(signed)], "fp long, n long")
+    groups = S.group_bits(*S.bit_moments(nodes), 4)
+    for p in (S.plan_partitions(nodes, 4), list(zip(groups, [1, 0, 0, 0])), [(groups[0], 2), (groups[2], 0), (groups[3], 0)]):
+        root = {r.fp: r.root for r in S.near_roots(nodes, p, 4).collect()}
+        assert len(root) == len(signed) and all(r in root for r in root.values())
+        low = {}
+        for i, f in enumerate(signed):
+            low.setdefault(root[f], i)
+        assert [low[root[f]] for f in signed] == want
+
+
+def test_second_links_leave_settled_crowds_alone(spark):
+    """A crowd within the distance of its representative costs a row a member, not one a pair."""
+    rng = random.Random(6)
+    crowd = sorted({sum(1 << b for b in rng.sample(range(63), rng.randint(0, 2))) for _ in range(500)} | {0})
+    nodes = spark.createDataFrame([(f, 9 if f == 0 else 1) for f in crowd], "fp long, n long")
+    plan = S.plan_partitions(nodes, 4)
+    first = S.first_links(nodes, plan, 4)
+    assert S.links(nodes, plan, 4).count() == len(crowd) * (len(crowd) - 1) // 2
+    assert {f for r in first.collect() for f in (r.a, r.b)} == set(crowd)
+    rooted = nodes.select("fp", F.lit(0).cast("long").alias("root"), F.lit(len(crowd)).cast("long").alias("size"))
+    assert S.second_links(rooted, plan, 4).count() == 0
+
+
 def test_allocation_is_the_cheapest():
     import itertools
     rng = random.Random(2)
