@@ -9,7 +9,7 @@ File format (Parquet files in one folder, written by Spark's committer):
   shard before this block), the offset index (doc_ids, offsets into payload
   with the end last, n_tokens) and payload, the documents' frames end to end.
 
-Shards are ranges of doc_id, so (shard, block, place) is ascending doc_id
+Shards are ranges of doc_id, as many as the bytes of the texts ask for, so (shard, block, place) is ascending doc_id
 order. A short document is read by itself: `read_documents` filters on
 first_doc and last_doc, which reaches the Parquet scan, and unpacks one frame;
 reading only the index never touches the payload column.
@@ -40,6 +40,9 @@ from .tokenize import encoder
 
 BLOCK_BYTES = 1 << 20
 BLOCK_DOCS = 4096
+#: bytes of text a shard is meant to hold, and how many shards there may be before they grow beyond that
+SHARD_BYTES = 32 << 20
+MOST_SHARDS = 20_000
 
 
 def _frame_ids(ids: bytes, end_id: int, width: int) -> bytes:
@@ -68,8 +71,18 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, s
         return b""
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, level: int = 3) -> None:
-    """Tokenise all ``docs`` and write the store. Texts shuffle once, into ranges of doc_id."""
+def shards_for(docs: DataFrame, shard_bytes: int = SHARD_BYTES, most: int = MOST_SHARDS) -> int:
+    """Ranges to cut ``docs`` into: by the bytes of their texts, so that what a task reads doesn't
+    grow with the table; no fewer than the cluster has cores, unless a range had less than 1 MB."""
+    size = docs.agg(F.sum(F.octet_length(text_or_empty()).cast("long"))).first()[0] or 0
+    busy = min(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (1 << 20)))
+    return max(1, min(most, max(busy, -(-size // shard_bytes))))
+
+
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, level: int = 3,
+                shard_bytes: int = SHARD_BYTES) -> None:
+    """Tokenise all ``docs`` and write the store. Texts shuffle once, into ranges of doc_id
+    of some ``shard_bytes`` each."""
     import zstandard
     from tokenizers import Tokenizer
     spark = docs.sparkSession
@@ -121,7 +134,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, lev
     order = [F.col("doc_id").asc_nulls_first(), F.col("__n"), F.col("__h")]
     parts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")) \
         .withColumns({"__n": F.char_length("text"), "__h": F.xxhash64("text")}) \
-        .repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+        .repartitionByRange(shards_for(docs, shard_bytes), *order).sortWithinPartitions(*order).select("doc_id", "text")
     parts.mapInArrow(run, ddl).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 

@@ -99,6 +99,21 @@ def test_store_uses_its_dictionary(spark, tmp_path):
     assert len(dictionary) > 1000 and width == 2
 
 
+def test_shards_follow_the_bytes_of_the_texts(spark, tmp_path):
+    rows = [(i, f"word{i} " * 500, "en", "s", 1) for i in range(400)]
+    docs = cases.documents(spark, rows)
+    size = sum(len(r[1]) for r in rows)
+    assert token_store.shards_for(docs, 100_000) == -(-size // 100_000) and token_store.shards_for(docs, 100_000, 3) == 3
+    assert token_store.shards_for(docs) == min(spark.sparkContext.defaultParallelism, -(-size // (1 << 20)))
+    assert token_store.shards_for(docs.filter("false")) == 1
+    many, few = str(tmp_path / "many"), str(tmp_path / "few")
+    token_store.write_store(docs, many, tokenizer_file(FILES[0]), shard_bytes=100_000)
+    token_store.write_store(docs, few, tokenizer_file(FILES[0]))
+    assert spark.read.parquet(f"{many}/blocks").select("shard").distinct().count() > 10
+    got = [sorted((r.doc_id, r.start, bytes(r.ids)) for r in token_store.read_store(spark, p).collect()) for p in (many, few)]
+    assert got[0] == got[1] and len(got[0]) == 400
+
+
 def test_store_with_null_ids_and_empty_table(spark, tmp_path):
     rows = cases.texts()
     got = token_store.token_digests(cases.documents(spark, rows), str(tmp_path / "a"), tokenizer_file(FILES[0])).collect()
