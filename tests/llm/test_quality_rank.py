@@ -63,6 +63,34 @@ def test_threshold_means_the_same_when_the_sample_is_capped(spark):
         assert abs(np.mean(m.score(np.array([Q.features(t) for t in texts])) < 0.3) - 1 / 8) < 0.06
 
 
+def test_every_training_row_counts(spark):
+    # label 1 is told by a mark that few texts hold, label 0 is rare: a sample of 40 of each label learns neither
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["ab", "Cde.", "fghi", "jk,"], int(rng.integers(20, 60)))) + (" 777" if i % 37 == 1 else "") for i in range(2000)]
+    docs = cases.documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, int(i % 29 > 0), 0) for i in range(2000)], "doc_id long, quality int, toxic int")
+    learnt = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5]
+    x = np.array([Q.features(texts[i]) for i in learnt])
+    q = np.array([int(i % 29 > 0) for i in learnt])
+    whole = Q.train(docs, labels)
+    assert np.allclose(whole.centre, x.mean(0)) and np.allclose(whole.spread[whole.spread != 1], x.std(0)[x.std(0) > 1e-9])
+    one = Q.fit(*(np.array(sorted(x[q == k].tolist())) for k in (1, 0)))
+    assert all(np.allclose(a, b, atol=1e-8) for a, b in zip(whole, one))
+    many = Q.train(docs, labels, per_label=40)
+    assert np.allclose(many.centre, whole.centre) and np.allclose(many.spread, whole.spread)
+    assert np.corrcoef(many.weights, whole.weights)[0, 1] > 0.95
+    # the threshold is the exact quantile over all training rows
+    assert np.isclose(many.threshold, np.quantile(many.strength(x), (q == 0).mean()))
+
+
+def test_blocks_hold_every_row(spark):
+    rows = spark.createDataFrame([(i, int(i % 50 > 0), [float(i)] + [0.0] * (len(Q.FEATURES) - 1)) for i in range(1000)], "id long, quality int, x array<double>")
+    got = Q.training_blocks(rows, (20, 980), 100).collect()
+    x0, x1 = ([set(r[c][::len(Q.FEATURES)]) for r in got] for c in ("x0", "x1"))
+    assert len(got) == 10 and set.union(*x0) == set(range(0, 1000, 50)) and sum(map(len, x1)) == 980 == len(set.union(*x1))
+    assert min(map(len, x0)) == 20  # the rare label's rows stand in every block
+
+
 def test_awkward_rows(spark):
     docs = cases.documents(spark)
     labels = spark.createDataFrame([(1, 0, 0), (4, 1, 0), (4, 0, 1), (5, None, 0), (None, 1, 0), (9, 7, 0), (100, 1, 0), (101, 1, 0), (200, 0, 0)],
