@@ -100,3 +100,24 @@ def test_version_lookup(spark):
         rows = r if rows is None else rows.unionByName(r)
     def at(*x): return [r["version_no"] for r in M.get_version(rows, *x).collect()]
     assert at("a") == [10] and at("a", 2) == [2] and at("a", "v1") == [1] and at("a", 3) == [] and at("c") == []
+
+
+def test_partitions_of_a_fit_are_bounded():
+    assert [M.fit_partitions(n) for n in (0, 1, 20_000, 20_001, 120_000)] == [1, 1, 1, 2, 6]
+    # a tree level shuffles its histograms once per partition: 2,700 of them at 54 million rows before
+    assert M.fit_partitions(9_000_000) == M.fit_partitions(54_000_000) == 64 and M.fit_partitions(10 ** 9) == 1000
+
+
+def test_features_follow_once_the_rows_are_dealt(table):
+    def derive(d): return d.withColumn("f4", F.col("f1") * 2)
+    early, late = M.prepare_probability_data(derive(table)), M.prepare_probability_data(table, derive=derive)
+    cols = sorted(early.columns)
+    assert early.select(cols).collect() == late.select(cols).collect()
+
+
+def test_fits_at_once(prob, monkeypatch):
+    assert M._fits_at_once(prob, 8) == 8
+    monkeypatch.setattr(M, "FIT_AT_ONCE", 1300)  # 600 rows
+    assert M._fits_at_once(prob, 8) == 2
+    monkeypatch.setattr(M, "FIT_AT_ONCE", 10)
+    assert M._fits_at_once(prob, 8) == 1
