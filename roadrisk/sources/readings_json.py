@@ -30,32 +30,35 @@ from ..schemas import NUMERIC_READING_FIELDS, OPTIONAL_NUMERIC_FIELDS, RAW_DOC,
 CORRUPT = "_corrupt_record"
 
 
-def _parsed(text: DataFrame) -> tuple[Column, Column]:
-    """(is the document a list, the document as an object or null). A document
+def _parsed(text: DataFrame) -> DataFrame:
+    """``text`` plus is_list, and obj (the document as an object or null). A document
     that isn't JSON, or neither a list nor an object, is null: from_json alone
-    would make a struct of nulls of it."""
+    would make a struct of nulls of it. Each step is a column that the next refers
+    to: inside one expression the text would be parsed at every mention."""
     bare = F.regexp_replace("value", r"^[\s\uFEFF]+", "")
     checked = F.from_json("value", T.StructType([*RAW_DOC.fields, T.StructField(CORRUPT, T.StringType())]),
                           {"columnNameOfCorruptRecord": CORRUPT})
-    good = F.when(bare.startswith("{") & checked[CORRUPT].isNull(), checked)
-    return bare.startswith("["), F.when(good.isNotNull(), F.struct(*[good[f.name].alias(f.name) for f in RAW_DOC.fields]))
+    d = text.withColumn("__head", F.substring(bare, 1, 1))
+    d = d.select("*", (F.col("__head") == "[").alias("is_list"), F.when(F.col("__head") == "{", checked).alias("__checked"))
+    c = F.col("__checked")
+    obj = F.when(c.isNotNull() & c[CORRUPT].isNull(), F.struct(*[c[f.name].alias(f.name) for f in RAW_DOC.fields]))
+    return d.withColumn("obj", obj).drop("__head", "__checked")
 
 
 def rejected_documents(text: DataFrame) -> DataFrame:
     """(file_path, doc_no, value) of the documents that cannot be parsed and give no trips."""
-    is_array, obj = _parsed(text)
     arr = F.from_json("value", T.ArrayType(RAW_DOC))
-    return text.filter(F.coalesce(~F.when(is_array, arr.isNotNull()).otherwise(obj.isNotNull()), F.lit(True)))
+    good = F.when(F.col("is_list"), arr.isNotNull()).otherwise(F.col("obj").isNotNull())
+    return _parsed(text).filter(F.coalesce(~good, F.lit(True))).select(*text.columns)
 
 
 def parse_documents(text: DataFrame) -> DataFrame:
     """(file_path, doc_no, value) -> one row per trip: trip_key, readings, meta."""
     # from_json with an array schema also wraps a lone object, so the top-level
     # kind is decided from the first non-blank character.
-    is_array, obj = _parsed(text)
-    arr = F.when(is_array, F.from_json("value", T.ArrayType(RAW_DOC)))
-    d = text.select("file_path", "doc_no", "value", arr.alias("arr"), obj.alias("obj"))
-    d = d.withColumn("flat", F.when(F.col("obj.sensor_readings").isNull() & F.col("obj.readings").isNull(),
+    arr = F.when(F.col("is_list"), F.from_json("value", T.ArrayType(RAW_DOC)))
+    d = _parsed(text).select("file_path", "doc_no", "value", arr.alias("arr"), "obj")
+    d = d.withColumn("flat", F.when(F.col("obj").isNotNull() & F.col("obj.sensor_readings").isNull() & F.col("obj.readings").isNull(),
                                     F.from_json("value", RAW_READING)))
     d = d.withColumn("flats", F.when((F.size("arr") > 0) & F.col("arr")[0]["sensor_readings"].isNull(),
                                      F.from_json("value", T.ArrayType(RAW_READING))))
@@ -84,10 +87,8 @@ def parse_documents(text: DataFrame) -> DataFrame:
 
 def normalize_readings(trips: DataFrame, convert_speed_ms: bool = False) -> DataFrame:
     """N1-N5 on one row per trip, then explode to one row per reading."""
-    def names(keys, r):
-        return F.array_union(keys, F.coalesce(F.map_keys(r), F.array().cast("array<string>")))
-
-    keys = F.aggregate("readings", F.array().cast("array<string>"), names)
+    no_names = F.array().cast("array<string>")
+    keys = F.array_distinct(F.flatten(F.transform("readings", lambda r: F.coalesce(F.map_keys(r), no_names))))
     t = trips.select("trip_key", "file_path", "readings", "meta", keys.alias("__keys"))
     flags = []
     for f in READING_FIELDS:

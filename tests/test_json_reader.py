@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from roadrisk.config import DEFAULT_CONFIG
 from roadrisk.operators import trips as TR
-from roadrisk.sources.readings_json import read_readings_json
+from roadrisk.sources.readings_json import parse_documents, read_readings_json
 
 
 def reading(i, **kw):
@@ -141,3 +141,10 @@ def test_documents_without_any_reading_give_no_trips(spark, tmp_path):
     for i, d in enumerate(empty):
         write(tmp_path, f"{i}.json", d)
     assert [(x["trip_id"], x["speed_mph"]) for x in read_readings_json(spark, str(tmp_path)).collect()] == [("only", 8.0)]
+
+
+def test_a_document_is_parsed_once_per_schema(spark):
+    """An object, a list, a flat reading and a list of flat readings: four readings of the text at most."""
+    d = spark.createDataFrame([("f", "0", "{}")], "file_path string, doc_no string, value string").repartition(1)
+    plan = parse_documents(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("from_json(") <= 4
