@@ -121,3 +121,22 @@ def test_fits_at_once(prob, monkeypatch):
     assert M._fits_at_once(prob, 8) == 2
     monkeypatch.setattr(M, "FIT_AT_ONCE", 10)
     assert M._fits_at_once(prob, 8) == 1
+
+
+def test_inputs_alone_are_written_for_a_fit(table):
+    d = M.prepare_probability_data(table, derive=lambda d: d.withColumn("f4", F.col("f1") * 2))
+    written = d._jdf.queryExecution().optimizedPlan().collectLeaves().head().output().mkString(",")
+    assert "f1" in written and "f4" not in written and "f4" in d.columns
+
+
+def test_folds_of_a_calibration_read_their_rows_once(prob):
+    read = prob.sparkSession.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+    n = prob.count()
+    M.fit_calibrated_probability(prob.filter("split = 'train'").unionByName(prob.filter("split = 'test'").withColumn("fold", F.lit(0)))
+                                 .mapInPandas(seen, prob.schema), 2, NAMES, {"maxIter": 1})
+    assert read.value == n
