@@ -140,3 +140,22 @@ def test_folds_of_a_calibration_read_their_rows_once(prob):
     M.fit_calibrated_probability(prob.filter("split = 'train'").unionByName(prob.filter("split = 'test'").withColumn("fold", F.lit(0)))
                                  .mapInPandas(seen, prob.schema), 2, NAMES, {"maxIter": 1})
     assert read.value == n
+
+
+def test_a_comparison_takes_the_boosted_trees_that_are_fitted(spark, monkeypatch):
+    from roadrisk.plans import q_models as Q
+    real, kinds = {"p": M.fit_probability, "s": M.fit_severity}, []
+
+    def fit(which):
+        def one(train, kind="gbt", params=None, features=M.FEATURE_NAMES):
+            kinds.append(which + kind)
+            if kind != "gbt":
+                raise ValueError("left out")
+            return real[which](train, kind, {"maxIter": 1}, features)
+        return one
+    monkeypatch.setattr(Q, "_FITTED", {})
+    monkeypatch.setattr(M, "fit_probability", fit("p"))
+    monkeypatch.setattr(M, "fit_severity", fit("s"))
+    got = {r["algorithm"]: r["error"] for r in Q.q_model_comparison(spark, "/root/testdata/sf0.001").filter("name = 'claim_severity'").collect()}
+    assert sorted(kinds) == ["pgbt", "plogistic_regression", "prandom_forest", "sgbt", "slasso", "slinear", "srandom_forest", "sridge"]
+    assert got["gbt"] is None and got["ridge"] == "ValueError: left out"
