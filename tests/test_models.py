@@ -159,3 +159,16 @@ def test_a_comparison_takes_the_boosted_trees_that_are_fitted(spark, monkeypatch
     got = {r["algorithm"]: r["error"] for r in Q.q_model_comparison(spark, "/root/testdata/sf0.001").filter("name = 'claim_severity'").collect()}
     assert sorted(kinds) == ["pgbt", "plogistic_regression", "prandom_forest", "sgbt", "slasso", "slinear", "srandom_forest", "sridge"]
     assert got["gbt"] is None and got["ridge"] == "ValueError: left out"
+
+
+def test_kept_rows_are_written_not_cached(prob):
+    train = prob.filter("split = 'train'")
+    want = sorted((r.f1, r.label, r.fold) for r in train.collect())
+    with M._kept(train, "f1") as d:
+        level = d.storageLevel  # a cached partition's batches stayed in the memory of the serializer before
+        assert not level.useMemory and not level.useDisk and d.rdd.getNumPartitions() == train.rdd.getNumPartitions()
+        assert sorted((r.f1, r.label, r.fold) for r in d.collect()) == want
+        path = d.sparkSession._jvm.org.apache.hadoop.fs.Path(d._jdf.logicalPlan().rdd().getCheckpointFile().get())
+        files = path.getFileSystem(d.sparkSession._jsc.hadoopConfiguration())
+        assert files.exists(path)
+    assert not files.exists(path)
