@@ -172,3 +172,21 @@ def test_kept_rows_are_written_not_cached(prob):
         files = path.getFileSystem(d.sparkSession._jsc.hadoopConfiguration())
         assert files.exists(path)
     assert not files.exists(path)
+
+
+def test_an_evaluation_makes_one_table_of_scores(spark):
+    d = spark.range(200).select(F.col("id").alias("trip_id"), (F.col("id") % 3 == 0).cast("double").alias("label"),
+                                F.when(F.col("id") % 50 != 0, (F.col("id") % 17) / 17).alias("claim_probability"))
+    d = d.withColumn("predicted_label", (F.col("claim_probability") > 0.5).cast("int")).coalesce(1)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+    ev = d.select(F.col("label").cast("int").alias("label"), F.col("claim_probability").alias("score"))
+    M.score_table(d.mapInPandas(seen, d.schema), score="claim_probability").count()
+    once, before = read.value, read.value
+    got = M.evaluate_probability(d.mapInPandas(seen, d.schema)).first()
+    assert read.value - before == once + 200  # a table for each area before, and the pass of the counts
+    assert (got.roc_auc, got.average_precision) == (M.roc_auc(ev).first().roc_auc, M.average_precision(ev).first().average_precision)
